@@ -5,12 +5,14 @@ Plan, for documents of any number:
    the global order (rare first), never the result;
 2. one scan turns each text into (size, 128-bit digest of its set, prefix in the global order). Equal sets become one
    representative, its smallest doc_id; copies go no further;
-3. prefixes meet by shingle. Each task first joins its own postings, so that a shingle sends one row per task however
-   frequent it is; what meets becomes edges, and their connected components the candidate groups;
-4. whole sets are sent once to their candidate group, where a trie over the ordered prefixes is traversed: documents
+3. prefixes meet by shingle, frequent shingles in pairs of blocks. Documents that meet compare 64-byte sketches; pairs
+   whose sketches differ by more than eight standard deviations from what the least similarity allows can't link
+   (a chance under 10**-12 a pair, of the kind of a hash collision). What is left is a sparse graph, and its connected
+   components are the candidate groups;
+4. whole texts are sent once to their candidate group, where a trie over the ordered prefixes is traversed: documents
    below a node share its overlap, and subtrees are pruned by their remaining length. Survivors get an exact check;
-5. a candidate group beyond ``most_docs`` or ``most_shingles`` isn't put in one task: its documents meet by shared
-   prefix shingle instead, and shingles of too many documents in pairs of blocks. Nothing is capped.
+5. a candidate group beyond ``most_docs`` or ``most_shingles`` isn't put in one task: the trie then works within shared
+   prefix shingles, in pairs of blocks beyond the bound. Nothing is capped.
 Links inside a group only need to keep it connected, so pairs that are connected already aren't checked again.
 """
 
@@ -30,6 +32,8 @@ from routelens.llm.shingles import mix, shingle_sets
 
 #: Hashed counters of the order; a fixed bound, whatever the input.
 ORDER_BITS = 22
+#: Cells of a sketch (one byte each), and documents of a block.
+SKETCH, BLOCK = 64, 2048
 
 
 def _least_overlap(n: int, num: int, den: int) -> int:
@@ -176,27 +180,45 @@ def _global_order(docs: DataFrame, k: int) -> np.ndarray:
     return table
 
 
+_EDGES = (np.arange(1, SKETCH, dtype=np.uint64)) << np.uint64(64 - SKETCH.bit_length() + 1)
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    """One byte of the least shingle of each of SKETCH hash ranges (0 where none is): a differing shingle alters one."""
+    at = np.concatenate(([0], np.searchsorted(s, _EDGES), [len(s)]))
+    out = np.zeros(SKETCH, np.uint8)
+    held = at[1:] > at[:-1]
+    out[held] = (s[at[:-1][held]] >> np.uint64(20)).astype(np.uint8)
+    return out.tobytes()
+
+
+def _most_differing(num: int, den: int) -> int:
+    share = num / den
+    return int(SKETCH * (1 - share) + 8 * (SKETCH * share * (1 - share)) ** 0.5) + 1
+
+
 def _prefix_rows(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = order.value
         for b in batches:
-            size, d1, d2, prefix = [], [], [], []
+            size, d1, d2, prefix, sketches = [], [], [], [], []
             for s in shingle_sets(*text_bytes(b.column(1)), k):
                 n = len(s)
                 size.append(n)
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 d1.append(int.from_bytes(d[:8], "little", signed=True))
                 d2.append(int.from_bytes(d[8:], "little", signed=True))
+                sketches.append(_sketch(s))
                 p = n - _least_overlap(n, num, den) + 1 if n else 0
                 if p < n:
                     level = table[_cells(s)]
                     s = s[np.lexsort((s, level))[:p]]
                 prefix.append(s.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "n", "d1", "d2", "prefix"]
+                [b.column(0), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(prefix, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n", "d1", "d2", "prefix", "sketch"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, d1 long, d2 long, prefix binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, d1 long, d2 long, prefix binary, sketch binary")
 
 
 def _postings(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -205,16 +227,75 @@ def _postings(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tokens, np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(off) // 8)
 
 
-def _met(tokens: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token, least rep) per token, and edges (rep, least rep) of those with several."""
-    by = np.lexsort((reps, tokens))
-    tokens, reps = tokens[by], reps[by]
-    first = np.ones(len(tokens), bool)
-    first[1:] = tokens[1:] != tokens[:-1]
-    least = reps[np.flatnonzero(first)][np.cumsum(first) - 1] if len(tokens) else reps
-    other = reps != least
-    edges = np.unique(np.stack([reps[other], least[other]]), axis=1) if other.any() else np.empty((2, 0), np.int64)
-    return tokens[first], reps[first], edges[0], edges[1]
+def _meeting(unique: DataFrame, order) -> DataFrame:
+    """(g, g2, rep) of prefix shingles that several representatives share; frequent ones in pairs of blocks."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = order.value
+        for b in batches:
+            tokens, reps = _postings(b)
+            for i in range(0, len(tokens), 1 << 15):
+                t, r = tokens[i : i + (1 << 15)], reps[i : i + (1 << 15)]
+                blocks = np.int64(1) << np.maximum(0, table[_cells(t)].astype(np.int64) - (BLOCK.bit_length() - 1))
+                at = np.repeat(np.arange(len(t)), blocks)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                own = (mix(r.view(np.uint64)) >> np.uint64(1)).astype(np.int64)[at] % blocks[at]
+                pair = np.minimum(own, other) * (1 << 31) + np.maximum(own, other)
+                yield pa.RecordBatch.from_arrays([pa.array(t[at].view(np.int64)), pa.array(pair), pa.array(r[at])], ["g", "g2", "rep"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        g, g2, rep = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+        key = mix(g.view(np.uint64)) ^ mix(g2.view(np.uint64) + np.uint64(1))
+        by = np.argsort(key, kind="stable")
+        new = np.ones(len(by), bool)
+        new[1:] = key[by][1:] != key[by][:-1]
+        count = np.diff(np.concatenate((np.flatnonzero(new), [len(by)])))
+        keep = by[np.repeat(count > 1, count)]
+        for i in range(0, len(keep), 1 << 16):
+            k = keep[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(g[k]), pa.array(g2[k]), pa.array(rep[k])], ["g", "g2", "rep"])
+
+    kind = "g long, g2 long, rep long"
+    return unique.select("rep", "prefix").mapInArrow(spread, kind).repartition("g", "g2").mapInArrow(several, kind)
+
+
+def _likely_edges(met: DataFrame, unique: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): a forest over the representatives of each (g, g2) whose sizes and sketches allow a link."""
+    most = _most_differing(num, den)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        g, g2, rep, n = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4))
+        sketch = np.frombuffer(b"".join(b"".join(b.column(4).to_pylist()) for b in held), np.uint8).reshape(-1, SKETCH)
+        by = np.lexsort((rep, g2, g))
+        new = np.flatnonzero(np.concatenate(([True], (g[by][1:] != g[by][:-1]) | (g2[by][1:] != g2[by][:-1]))))
+        a, b = [], []
+        for i, j in zip(new.tolist(), [*new[1:].tolist(), len(by)], strict=True):
+            left = by[i:j]
+            while len(left) > 1:  # one likely component after the other, by breadth
+                front, left = [left[0]], left[1:]
+                while front and len(left):
+                    x = front.pop()
+                    fits = (den * np.minimum(n[left], n[x]) >= num * np.maximum(n[left], n[x])) & (np.count_nonzero(sketch[left] != sketch[x], axis=1) <= most)
+                    if fits.any():
+                        got = left[fits]
+                        front.extend(got.tolist())
+                        a.append(np.full(len(got), rep[x]))
+                        b.append(rep[got])
+                        left = left[~fits]
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            edges = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+            a, b = _forest(edges[0], edges[1])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    rows = met.join(unique.groupBy("rep").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")), "rep")
+    return rows.select("g", "g2", "rep", "n", "sketch").repartition("g", "g2").mapInArrow(compare, "a long, b long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,49 +306,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         roots.union(i, j)
     top = np.array([roots.find(i) for i in range(len(nodes))], np.int64)
     out = top != np.arange(len(nodes))
-    return nodes[out], nodes[top[out]] if out.any() else nodes[out]
-
-
-_EDGE = "kind int, token long, a long, b long"
-
-
-def _candidate_edges(unique: DataFrame) -> DataFrame:
-    """Edges between representatives that share a prefix shingle; a task sends a shingle once."""
-
-    def out(tokens, reps, a, b) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(tokens), 1 << 16):
-            t = tokens[i : i + (1 << 16)].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(t), np.int32)), pa.array(t), pa.array(reps[i : i + (1 << 16)]), pa.nulls(len(t), pa.int64())], ["kind", "token", "a", "b"])
-        if len(a):
-            # an edge row is dealt by its first end, not by a shingle
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int32)), pa.array(a), pa.array(a), pa.array(b)], ["kind", "token", "a", "b"])
-
-    def gathered(batches, postings) -> tuple[list, list, list, list]:
-        tokens, reps, a, b = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for x in batches:
-            if postings:
-                t, r = _postings(x)
-            else:
-                edge = x.column(0).to_numpy() == 1
-                a.append(x.column(2).to_numpy()[edge])
-                b.append(x.column(3).to_numpy(zero_copy_only=False)[edge].astype(np.int64))
-                t, r = x.column(1).to_numpy()[~edge].view(np.uint64), x.column(2).to_numpy()[~edge]
-            tokens.append(t)
-            reps.append(r)
-        return np.concatenate(tokens), np.concatenate(reps), np.concatenate(a), np.concatenate(b)
-
-    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, r, _, _ = gathered(batches, True)
-        t, r, a, b = _met(t, r)
-        yield from out(t, r, *_forest(a, b))
-
-    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, r, a, b = gathered(batches, False)
-        _, _, a2, b2 = _met(t, r)
-        yield from out([], [], *_forest(np.concatenate([a, a2]), np.concatenate([b, b2])))
-
-    sent = unique.select("rep", "prefix").mapInArrow(before, _EDGE)
-    return sent.repartition("token").mapInArrow(after, _EDGE).select("a", "b")
+    return nodes[out], nodes[top[out]]
 
 
 def _grouped_links(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -297,23 +336,7 @@ def _grouped_links(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return rows.select("g", "g2", "rep", "text").repartition("g", "g2").sortWithinPartitions("g", "g2").mapInArrow(solve, "rep long, root long")
 
 
-def _met_in_blocks(unique: DataFrame, large: DataFrame, most_docs: int) -> DataFrame:
-    """(g, g2, rep) for representatives of large candidate groups: by shared prefix shingle, in pairs of blocks beyond the bound."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t, r = _postings(b)
-            for i in range(0, len(t), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(t[i : i + (1 << 16)].view(np.int64)), pa.array(r[i : i + (1 << 16)])], ["g", "rep"])
-
-    posts = materialize(unique.join(large.select("rep"), "rep", "left_semi").select("rep", "prefix").mapInArrow(explode, "g long, rep long"), "postings")
-    often = posts.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").withColumn("s", F.ceil(F.col("c") / F.lit(max(1, most_docs // 2))).cast("int"))
-    met = posts.join(often, "g").withColumn("x", F.pmod(F.xxhash64("rep"), F.col("s").cast("long")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda y: F.least("x", y).cast("long") * 1_000_000 + F.greatest("x", y))
-    return met.select("g", F.explode(pairs).alias("g2"), "rep")
-
-
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, most_docs: int = 4096, most_shingles: int = 3_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, most_docs: int = 8192, most_shingles: int = 3_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles (set size), component_id (smallest doc_id reachable by links).
 
     ``docs`` needs doc_id and text; other columns are ignored, whatever their names. Two documents link when
@@ -327,9 +350,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = spark.sparkContext.broadcast(_global_order(docs, k))
     rows = materialize(_prefix_rows(docs, k, num, den, order), "prefixes")
-    unique = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix"), F.min("n").alias("n"))
+    unique = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix"), F.min("sketch").alias("sketch"), F.min("n").alias("n"))
     unique = materialize(unique, "sets")
-    groups = connected_components(_candidate_edges(unique))
+    met = materialize(_meeting(unique, order), "meeting")
+    groups = connected_components(_likely_edges(met, unique, num, den))
     groups = materialize(unique.groupBy("rep").agg(F.max("n").alias("n")).join(groups.withColumnRenamed("node", "rep"), "rep"), "groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     fits = (F.col("docs") <= most_docs) & (F.col("shingles") <= most_shingles)
@@ -340,7 +364,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     found = _grouped_links(small, k, num, den)
     large = groups.where("not fits").select("rep")
     if large.limit(1).count():
-        blocks = _met_in_blocks(unique, large, most_docs)
+        blocks = met.join(large, "rep", "left_semi")
         edges = _grouped_links(texts.join(blocks, "rep"), k, num, den).select(F.col("rep").alias("a"), F.col("root").alias("b"))
         found = found.unionByName(connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("root")))
     found = materialize(found.groupBy("rep").agg(F.min("root").alias("root")), "links")
