@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routelens.llm.common import bounded_batches, materialize
+from routelens.llm.common import bounded_batches, materialize, small_side
 from routelens.llm.jaccard_join import jaccard_components
 from routelens.llm.packing import pack
 from routelens.llm.pii import mask_pii
@@ -22,6 +22,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the quality classifier keeps."""
     bounded_batches(spark)
     rejected = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("not keep").select(F.col("doc_id").alias("_doc_id")).distinct()
+    rejected = small_side(rejected, "rejected")
     return docs.join(rejected, docs["doc_id"] == rejected["_doc_id"], "left_anti")
 
 
@@ -29,6 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group that shares 80 % of its five-word shingles: the one of smallest doc_id."""
     found = jaccard_components(docs, k=5, num=4, den=5)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_doc_id")).distinct()
+    gone = small_side(gone, "gone")
     return docs.join(gone, docs["doc_id"] == gone["_doc_id"], "left_anti")
 
 

@@ -38,6 +38,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of up to five numbers that a broadcast may hold: about 100 MB as a hash table.
+MOST_BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder, and marked for broadcast if its counted rows are within the bound; beyond it
+    the join exchanges both sides. For key tables that meet whole texts."""
+    df = materialize(df, tag)
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST_ROWS else df
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

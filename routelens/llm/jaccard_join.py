@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.common import bounded_batches, materialize, text_bytes
+from routelens.llm.common import bounded_batches, materialize, small_side, text_bytes
 from routelens.llm.components import connected_components
 from routelens.llm.shingles import mix, shingle_sets
 
@@ -360,7 +360,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     sizes = sizes.select("component", (fits | (F.col("docs") == 1)).alias("fits"))
     groups = groups.join(sizes, "component")
     texts = docs.withColumnRenamed("doc_id", "rep")
-    small = texts.join(groups.where("fits").select("rep", F.col("component").alias("g"), F.lit(0).cast("long").alias("g2")), "rep")
+    small = texts.join(small_side(groups.where("fits").select("rep", F.col("component").alias("g"), F.lit(0).cast("long").alias("g2")), "fitting"), "rep")
     found = _grouped_links(small, k, num, den)
     large = groups.where("not fits").select("rep")
     if large.limit(1).count():

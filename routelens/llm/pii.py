@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.common import digest_columns, materialize
+from routelens.llm.common import digest_columns, materialize, small_side
 
 #: Base kinds in order, their patterns, and characters without which none matches.
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -132,7 +132,7 @@ def mask_pii(docs: DataFrame, **method) -> DataFrame:
     first one's kind. Other columns stay, and a column n_chars follows the new text. Null texts stay null."""
     names = [c for c in docs.columns]
     found = materialize(_found(docs), "found")
-    more = materialize(contextual_spans(found, **method), "more").select(F.col("doc_id").alias("_d"), F.col("h1").alias("_a"), F.col("h2").alias("_b"), F.col("more").alias("_more"))
+    more = small_side(contextual_spans(found, **method), "more").select(F.col("doc_id").alias("_d"), F.col("h1").alias("_a"), F.col("h2").alias("_b"), F.col("more").alias("_more"))
     rows = digest_columns(docs.withColumnRenamed("text", "_text").withColumn("text", F.coalesce("_text", F.lit(""))))
     rows = rows.join(more, rows["doc_id"].eqNullSafe(more["_d"]) & (rows["h1"] == more["_a"]) & (rows["h2"] == more["_b"]), "left")
     base = "concat(" + ", ".join(f"transform({sql}, z -> named_struct('s', z.s, 'e', z.e, 'kind', {i}))" for i, (k, sql) in enumerate(base_spans().items())) + ")"
