@@ -23,6 +23,7 @@ from routelens.llm.common import bounded_batches
 from routelens.llm.spaced import SpacedEncoder
 
 _WORD = 8  # log2 of the bits of a bitmap word
+_BITS = [1 << i for i in range(1 << _WORD)]
 
 
 class RankQueue:
@@ -38,8 +39,8 @@ class RankQueue:
         if bucket is None:
             self.buckets[rank] = [position]
             w = rank >> _WORD
-            self.words[w] |= 1 << (rank & 255)
-            self.top |= 1 << w
+            self.words[w] |= _BITS[rank & 255]
+            self.top |= _BITS[w] if w < 256 else 1 << w
         else:
             heappush(bucket, position)
 
@@ -61,7 +62,7 @@ class RankQueue:
 
 
 class BytePairEncoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 200_000, longest: int = 48):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 1_000_000, longest: int = 48):
         import regex
 
         self.ranks, self.find = ranks, regex.compile(pattern).findall
@@ -69,7 +70,7 @@ class BytePairEncoder:
         self.queue = RankQueue(max(ranks.values(), default=0))
         self.held: dict[str, bytes] = {}
         self.most, self.longest = most, longest
-        self.encode = SpacedEncoder(self._matches)
+        self.encode = SpacedEncoder(self._matches, most=700_000)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
