@@ -23,43 +23,19 @@ from routelens.llm.common import bounded_batches
 from routelens.llm.spaced import SpacedEncoder
 
 _WORD = 8  # log2 of the bits of a bitmap word
-_BITS = [1 << i for i in range(1 << _WORD)]
+_BITS = [1 << i for i in range(1 << 13)]  # vocabularies of up to 2**21 ranks
 
 
 class RankQueue:
-    """Positions by merge rank, smallest rank and then leftmost position first."""
+    """Positions by merge rank: a bitmap word per 256 ranks, and a bucket (heap of positions) per rank that has any.
+
+    The word above, with a bit per bitmap word, is the caller's; all are empty again when a pre-token is done.
+    """
 
     def __init__(self, most: int):
         self.words = [0] * ((most >> _WORD) + 1)
-        self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            w = rank >> _WORD
-            self.words[w] |= _BITS[rank & 255]
-            self.top |= _BITS[w] if w < 256 else 1 << w
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, position); (-1, -1) when empty."""
-        if not self.top:
-            return -1, -1
-        w = (self.top & -self.top).bit_length() - 1
-        word = self.words[w]
-        rank = (w << _WORD) | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[w] = word = word & (word - 1)
-            if not word:
-                self.top &= self.top - 1
-        return rank, position
-
 
 class BytePairEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 1_000_000, longest: int = 48):
@@ -77,41 +53,57 @@ class BytePairEncoder:
         ranks = self.ranks
         if (whole := ranks.get(piece)) is not None:
             return [whole]
-        n, queue = len(piece), self.queue
+        # the queue's push and pop, written out: this loop is nearly all of the work
+        n, get = len(piece), ranks.get
+        words, buckets, top, bits = self.queue.words, self.queue.buckets, 0, _BITS
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pair = [-1] * n
         for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
-            if r is not None:
+            r = get(piece[i : i + 2], -1)
+            if r >= 0:
                 pair[i] = r
-                queue.push(r, i)
-        while True:
-            r, i = queue.pop()
-            if r < 0:
-                break
+                if r in buckets:
+                    heappush(buckets[r], i)
+                else:
+                    buckets[r] = [i]
+                    w = r >> _WORD
+                    words[w] |= bits[r & 255]
+                    top |= bits[w]
+        while top:
+            w = (top & -top).bit_length() - 1
+            word = words[w]
+            r = (w << _WORD) | ((word & -word).bit_length() - 1)
+            bucket = buckets[r]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[r]
+                words[w] = word = word & (word - 1)
+                if not word:
+                    top &= top - 1
             if pair[i] != r:
                 continue
             j = end[i]
             pair[j] = -1
             e = end[i] = end[j]
+            h = before[i]
             if e < n:
                 before[e] = i
-                r = ranks.get(piece[i : end[e]])
-                if r is None:
-                    pair[i] = -1
-                else:
-                    pair[i] = r
-                    queue.push(r, i)
+                pair[i] = r = get(piece[i : end[e]], -1)
             else:
-                pair[i] = -1
-            h = before[i]
-            if h >= 0:
-                r = ranks.get(piece[h:e])
-                if r is None:
-                    pair[h] = -1
-                else:
-                    pair[h] = r
-                    queue.push(r, h)
+                pair[i] = r = -1
+            for at in (i, h):
+                if at == h:
+                    if h < 0:
+                        break
+                    pair[h] = r = get(piece[h:e], -1)
+                if r >= 0:
+                    if r in buckets:
+                        heappush(buckets[r], at)
+                    else:
+                        buckets[r] = [at]
+                        w = r >> _WORD
+                        words[w] |= bits[r & 255]
+                        top |= bits[w]
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
