@@ -18,7 +18,10 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         "select vec_id, label, unnest(range(len(embedding))) as pos, cast(unnest(embedding) as double) as x from embeddings",
     ),
     "centroids": "select label, pos, avg(x) as c from dims group by label, pos",
-    "closeness": "select d.vec_id, d.label, round(sum(d.x * c.c), 9) as near from dims d join centroids c on d.label = c.label and d.pos = c.pos group by d.vec_id, d.label",
+    "closeness": (
+        "select d.vec_id, d.label, round(aggregate(zip_with(d.embedding, c.v, (x, y) -> cast(x as double) * y), cast(0 as double), (s, z) -> s + z), 9) as near from embeddings d join (select label, transform(array_sort(collect_list(struct(pos, c))), z -> z.c) as v from centroids group by label) c on c.label = d.label where d.embedding is not null",
+        "select d.vec_id, d.label, round(sum(d.x * c.c), 9) as near from dims d join centroids c on d.label = c.label and d.pos = c.pos group by d.vec_id, d.label",
+    ),
     "representatives": "select label as cluster_id, rn as rank, vec_id as slug from (select *, row_number() over (partition by label order by near desc, vec_id) as rn from closeness) t where rn <= 3",
     "rep_scores": "select r.cluster_id, r.rank, r.slug, p.e, p.g, case when p.e is null and p.g is null then null when p.g is null or p.e <= p.g then 'edit' else 'gen' end as best from representatives r left join score_pairs p on p.slug = r.slug",
     "votes": "select cluster_id, count(case when best = 'edit' then 1 end) as edit_votes, count(case when best = 'gen' then 1 end) as gen_votes, avg(e) as mean_e, avg(g) as mean_g, count(best) as n_reps_used from rep_scores group by cluster_id",

@@ -22,19 +22,22 @@ _SIZES = "select cluster_id, count(*) as size from assignments group by cluster_
 _BUDGET = f"""select v.cluster_id, z.size, v.edit_votes, v.gen_votes, v.mean_e, v.mean_g, b.n, b.be, b.bg, b.gap, b.votes
  from votes v join ({_SIZES}) z on z.cluster_id = v.cluster_id
  left join (select cluster_id, count(*) as n, avg(e) as be, avg(g) as bg, avg(abs(e - g)) as gap, count(case when e < g then 1 end) as votes from rep_scores where e is not null and g is not null group by cluster_id) b on b.cluster_id = v.cluster_id"""
-_PPL_RATIO = "case when n is null then 0.5 else 1 / (1 + exp((be - bg) / 0.1)) end"
+_PPL_RATIO = "case when n is null then 0.5 else 1 / (1 + exp(be - bg)) end"
 _PPL_CONF = "case when n is null then 0 else least(abs(bg - be) / 10, 1) end"
 _VOTE_RATIO = "case when n is null then 0.5 else 0.5 + (votes / cast(n as double) - 0.5) * least(gap / 0.5, 1) end"
-_SIZE_RATIO = "case when n is null then 0.5 else 0.5 + (votes / cast(n as double) - 0.5) * least(size / 50.0, 1) end"
-_HYBRID = f"(0.5 * ({_PPL_RATIO}) + 0.3 * ({_VOTE_RATIO}) + 0.2 * ({_SIZE_RATIO}))"
+_SIZE_RATIO = "case when n is null then 0.5 else 0.5 + (votes / cast(n as double) - 0.5) * least(size / 10.0, 1) end"
+#: The direction comes from means and votes (size trusts the vote), damped toward a half by the weighted confidence.
+_HYBRID = "case when n is null then 0.5 else 0.5 + (0.4 / (1 + exp(be - bg)) + 0.6 * votes / cast(n as double) - 0.5) * (0.4 * least(abs(bg - be) / 0.15, 1) + 0.4 * least(gap / 0.5, 1) + 0.2 * least(size / 10.0, 1)) end"
+_CLAMPED = f"least(greatest({_HYBRID}, 0.2), 0.8)"
 _LABEL = "case when abs(ratio - 0.5) < 0.05 then 'mixed' when ratio > 0.5 then 'edit' else 'gen' end"
 _UNIT = ("conv(substring(md5(cast(slug as string)), 1, 8), 16, 10) / 4294967296.0", "cast(('0x' || substring(md5(cast(slug as varchar)), 1, 8)) as bigint) / 4294967296.0")
 _WINS = "cast(sum(case when {} then 1 else 0 end) as double) / count(*)"
-_UNIT_VECTORS = "select d.vec_id, d.pos, d.x / greatest(n.norm, 1e-12) as x from dims d join (select vec_id, sqrt(sum(x * x)) as norm from dims group by vec_id) n on n.vec_id = d.vec_id"
+#: Squared distance of two arrays (Spark).
+_ARRAY_DIST = "aggregate(zip_with({}, {}, (x, y) -> (cast(x as double) - y) * (cast(x as double) - y)), cast(0 as double), (s, z) -> s + z)"
 
 
 def _routing(i: int) -> str:
-    return f"select slug, cluster_id, decision, {r('ratio')} as ratio, case when decision = 'mixed' then case when {_UNIT[i]} < ratio then 'edit' else 'gen' end else decision end as modeling_type from (select a.slug, a.cluster_id, b.ratio, {_LABEL} as decision from assignments a join (select cluster_id, {_HYBRID} as ratio from ({_BUDGET}) q) b on b.cluster_id = a.cluster_id) t"
+    return f"select slug, cluster_id, decision, {r('ratio')} as ratio, case when decision = 'mixed' then case when {_UNIT[i]} < ratio then 'edit' else 'gen' end else decision end as modeling_type from (select a.slug, a.cluster_id, b.ratio, {_LABEL} as decision from assignments a join (select cluster_id, {_CLAMPED} as ratio from ({_BUDGET}) q) b on b.cluster_id = a.cluster_id) t"
 
 
 QUERIES: dict[str, str | tuple[str, str]] = {
@@ -79,8 +82,8 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "budget_vote_consistency": f"select cluster_id, {r(_VOTE_RATIO)} as ratio from ({_BUDGET}) b",
     "budget_size_adjusted": f"select cluster_id, {r(_SIZE_RATIO)} as ratio from ({_BUDGET}) b",
     "budget_hybrid": f"select cluster_id, {r(_HYBRID)} as ratio from ({_BUDGET}) b",
-    "budget_decisions": f"select cluster_id, {r('least(greatest(ratio, 0.0), 1.0)')} as edit_ratio, {r('1 - least(greatest(ratio, 0.0), 1.0)')} as gen_ratio, {_LABEL} as decision from (select cluster_id, {_HYBRID} as ratio from ({_BUDGET}) q) t",
-    "selection_statistics": f"select decision, count(*) as n, {r('avg(ratio)')} as mean_ratio, {r('min(ratio)')} as low, {r('max(ratio)')} as high from (select ratio, {_LABEL} as decision from (select {_HYBRID} as ratio from ({_BUDGET}) q) t) u group by decision",
+    "budget_decisions": f"select cluster_id, {r('ratio')} as edit_ratio, {r('1 - ratio')} as gen_ratio, {_LABEL} as decision from (select cluster_id, {_CLAMPED} as ratio from ({_BUDGET}) q) t",
+    "selection_statistics": f"select decision, count(*) as n, {r('avg(ratio)')} as mean_ratio, {r('min(ratio)')} as low, {r('max(ratio)')} as high from (select ratio, {_LABEL} as decision from (select {_CLAMPED} as ratio from ({_BUDGET}) q) t) u group by decision",
     # routing
     "routing_table": "select a.slug, a.cluster_id, coalesce(c.chosen, 'gen') as chosen from assignments a left join choices c on c.cluster_id = a.cluster_id",
     "routing_hash_sampled": (_routing(0), _routing(1)),
@@ -123,11 +126,52 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "stable_item_ids": "select item_id, slug, view_name from items",
     "modeling_type": "select conv_id, turn, case when lower(text) like '%edit%' then 'edit' when lower(text) like '%rewrite%' or lower(text) like '%gen%' then 'rewrite' else 'unknown' end as kind from conversations",
     "project_distribution": "select source, lang, count(*) as n, row_number() over (partition by source order by count(*) desc, lang) as place from documents group by source, lang",
+    # budgets, labels, summaries
+    "level_budgets": f"select cluster_id, size, least(4, 1 + cast(floor(size / 25.0) as int)) as level_0, case when size <= 25 then 1 else 2 end as level_1, 1 as level_2 from ({_SIZES}) s",
+    "balance_label": f"select {r('cv')} as cv, case when cv < 0.3 then 'very balanced' when cv < 0.5 then 'balanced' when cv < 1.0 then 'uneven' else 'very uneven' end as label from (select stddev_pop(size) / avg(size) as cv from ({_SIZES}) s) t",
+    "cluster_gap_analysis": f"select cluster_id, count(*) as n, {r('avg(pct)')} as mean_pct, {r('avg(case when edit then 1.0 else 0.0 end)')} as vote_ratio, {r('avg(case when pct <= 5 then 1.0 else 0.0 end)')} as share_5, {r('avg(case when pct <= 20 then 1.0 else 0.0 end)')} as share_20, cast(floor(least(avg(pct), 99.0) / 10) * 10 as int) as band from (select a.cluster_id, p.e < p.g as edit, abs(p.e - p.g) / least(p.e, p.g) * 100 as pct from assignments a join score_pairs p on p.slug = a.slug where p.e is not null and p.g is not null) t group by cluster_id",
+    "transition_statistics": "select first_pref, second_pref, count(*) as n, " + r("avg(pct)") + " as mean_pct, " + r("median(pct)") + " as median_pct, count(case when pct < 5 then 1 end) as below_5, count(case when pct >= 20 then 1 end) as from_20 from (select case when e < g then 'edit' else 'gen' end as first_pref, case when em < gm then 'edit' else 'gen' end as second_pref, abs(e - g) / least(e, g) * 100 as pct from (select slug, avg(case when strategy = 'edit' then value end) as e, avg(case when strategy = 'gen' then value end) as g, median(case when strategy = 'edit' then value end) as em, median(case when strategy = 'gen' then value end) as gm from samples group by slug having count(distinct strategy) = 2) t) u group by first_pref, second_pref",
+    "purity_histogram": f"select case when purity >= 0.9 then '0.9' when purity >= 0.8 then '0.8' when purity >= 0.7 then '0.7' when purity >= 0.6 then '0.6' else 'below' end as band, count(*) as clusters, sum(total) as slugs from (select total, greatest(edit_count, gen_count) / cast(total as double) as purity from ({_PURITY}) p) q group by 1",
+    "rowwise_argmin": "select slug, case when e is null and g is null then null when g is null or e <= g then 'edit' else 'gen' end as best from score_pairs",
+    "four_way_scores": "select slug, " + ", ".join(f"{r(c)} as {c}" for c in ("a", "b", "c", "d")) + ", case when a < b then 'edit' else 'gen' end = case when c < d then 'edit' else 'gen' end as agree from (select user_id as slug, avg(case when event_type = 'click' then value end) as a, avg(case when event_type = 'view' then value end) as b, avg(case when event_type = 'signup' then value end) as c, avg(case when event_type = 'purchase' then value end) as d from events group by user_id) t where a is not null and b is not null and c is not null and d is not null",
+    "perplexity_from_logprobs": f"select slug, n_out, n_all, {r('nll_out')} as avg_nll, {r('exp(nll_out)')} as ppl, {r('nll_all')} as avg_nll_io, {r('exp(nll_all)')} as ppl_io from (select user_id as slug, count(case when event_type = 'click' then value end) as n_out, count(value) as n_all, sum(case when event_type = 'click' then value / 100 end) / count(case when event_type = 'click' then value end) as nll_out, sum(value / 100) / count(value) as nll_all from events group by user_id having count(case when event_type = 'click' then value end) > 0) t",
+    "mean_with_failed_rows": f"select slug, count(*) as n, {r('sum(x) / count(*)')} as mean from (select user_id as slug, case when event_type = 'error' then null else value end as x from events) t group by slug having count(x) > 0",
+    "weighted_mean_pool": f"select label, pos, {r('sum(w * x) / sum(w)')} as x from (select label, pos, x, case when vec_id % 4 <= 0 then 1 else vec_id % 4 end as w from dims) t group by label, pos",
+    "batch_statistics": f"select count(*) as bugs, sum(fixed) as fixed, {r('avg(cast(fixed as double))')} as fix_rate, sum(attempts) as attempts, {r('avg(cast(attempts as double))')} as mean_attempts, {r('avg(spent)')} as mean_spent from (select user_id, max(case when event_type = 'purchase' then 1 else 0 end) as fixed, count(*) as attempts, sum(value) as spent from events group by user_id) t",
+    "failure_reasons_topk": "select event_type as reason, count(*) as n from events where event_type <> 'purchase' group by event_type order by count(*) desc, event_type limit 5",
+    "parallel_statistics": f"select count(*) as workers, {r('sum(busy)')} as total_time, {r('max(busy)')} as wall_time, {r('sum(busy) / max(busy)')} as speedup, {r('sum(busy) / max(busy) / count(*)')} as efficiency from (select user_id % 8 as worker, sum(value) as busy from events group by user_id % 8) t",
+    "difficulty_tiers": "select quadrant, slug, diff from (select *, row_number() over (partition by quadrant order by diff desc, slug) as rn from (select slug, case when e < 50 and g < 50 then 'both' when e < 50 then 'edit' when g < 50 then 'gen' else 'neither' end as quadrant, " + r("abs(e - g)") + " as diff from score_pairs where e is not null and g is not null) t) u where rn <= 10",
+    "best_worst_config": f"(select 'best' as kind, view_name, algorithm, k, {r('avg(win_rate)')} as mean from grid group by view_name, algorithm, k order by round(avg(win_rate), 9) desc, view_name, algorithm, k limit 1) union all (select 'worst' as kind, view_name, algorithm, k, {r('avg(win_rate)')} as mean from grid group by view_name, algorithm, k order by round(avg(win_rate), 9), view_name, algorithm, k limit 1)",
+    "reps_sensitivity": f"select g.k, {r('avg(g.win_rate)')} as mean, count(*) as n from grid g join (select view_name, algorithm from grid group by view_name, algorithm order by round(avg(win_rate), 9) desc, view_name, algorithm limit 1) b on b.view_name = g.view_name and b.algorithm = g.algorithm group by g.k",
+    "normalization_summary": "select q.quality, count(t.grade) as n from (values ('high'), ('medium'), ('low'), ('failed')) as q(quality) left join (select case when quality = 1 and toxic = 0 then 'high' when quality = 1 then 'medium' else 'low' end as grade from labels) t on t.grade = q.quality group by q.quality",
+    "pass_at_k_by_language": f"select lang, count(*) as slugs, {r('avg(first)')} as pass_1, {r('avg(three)')} as pass_3 from (select lang, source, max(case when rn = 1 then ok else 0.0 end) as first, max(case when rn <= 3 then ok else 0.0 end) as three from (select d.lang, d.source, cast(l.quality as double) as ok, row_number() over (partition by d.lang, d.source order by d.doc_id) as rn from documents d join labels l on l.doc_id = d.doc_id) t group by lang, source) u group by lang",
+    "round_robin_fill": "select cluster_id, rank, slug from representatives order by rank, cluster_id limit 25",
+    "level_analysis": f"select cluster_id % 2 as level, min(size) as smallest, max(size) as largest, {r('avg(size)')} as mean from ({_SIZES}) s group by cluster_id % 2",
+    "slug_counts_per_cluster": "select cluster_id, project, n from (select *, row_number() over (partition by cluster_id order by n desc, project) as rn from (select a.cluster_id, d.source as project, count(*) as n from assignments a join documents d on d.doc_id = a.slug group by a.cluster_id, d.source) t) u where rn <= 10",
+    "member_rank": (
+        f"select label, vec_id, place, {r('dist')} as dist from (select *, row_number() over (partition by label order by round(dist, 9), vec_id) as place from (select d.label, d.vec_id, {_ARRAY_DIST.format('d.embedding', 'c.v')} as dist from embeddings d join (select label, transform(array_sort(collect_list(struct(pos, c))), z -> z.c) as v from centroids group by label) c on c.label = d.label) t where dist is not null) u",
+        f"select label, vec_id, place, {r('dist')} as dist from (select *, row_number() over (partition by label order by round(dist, 9), vec_id) as place from (select d.label, d.vec_id, sum((d.x - c.c) * (d.x - c.c)) as dist from dims d join centroids c on c.label = d.label and c.pos = d.pos group by d.label, d.vec_id) t) u",
+    ),
+    "range_filter": "select p_partkey, p_brand from part where p_brand like 'Brand#%' and p_size between 10 and 20",
+    "combination_count": "select count(distinct view_name) * count(distinct algorithm) * count(distinct k) as n from grid",
+    "throughput": f"select run_ts, count(*) as done, {r('avg(ppl)')} as mean, {r('86400.0 / count(*)')} as seconds_each from runs group by run_ts",
     # vectors
     "centroid_by_label": f"select label, pos, {r('c')} as c from centroids",
     "medoid_by_label": f"select label, vec_id, {r('near')} as near from (select *, row_number() over (partition by label order by near desc, vec_id) as rn from closeness) t where rn = 1",
-    "self_knn_check": f"select vec_id, {r('sqrt(sum(x * x))')} as norm from dims group by vec_id",
-    "knn_exact": f"select vec_id, {r('dist')} as dist from (select b.vec_id, sum((b.x - a.x) * (b.x - a.x)) as dist from dims a join dims b on b.pos = a.pos where a.vec_id = 0 group by b.vec_id) t order by round(dist, 9), vec_id limit 10",
-    "batch_knn": f"select query_id, vec_id, place, {r('dist')} as dist from (select *, row_number() over (partition by query_id order by round(dist, 9), vec_id) as place from (select a.vec_id as query_id, b.vec_id, sum((b.x - a.x) * (b.x - a.x)) as dist from dims a join dims b on b.pos = a.pos where a.vec_id < 10 group by a.vec_id, b.vec_id) t) u where place <= 5",
-    "farthest_first_r2": f"with pair as (select m.label, d.vec_id, sum((d.x - e.x) * (d.x - e.x)) as dist from (select label, vec_id from (select *, row_number() over (partition by label order by near desc, vec_id) as rn from closeness) t where rn = 1) m join dims e on e.vec_id = m.vec_id join dims d on d.label = m.label and d.pos = e.pos group by m.label, d.vec_id) select label, vec_id, {r('dist')} as dist from (select *, row_number() over (partition by label order by round(dist, 9) desc, vec_id) as rn from pair) t where rn = 1",
+    "self_knn_check": (
+        f"select vec_id, {r('sqrt(aggregate(embedding, cast(0 as double), (s, x) -> s + cast(x as double) * x))')} as norm from embeddings where embedding is not null",
+        f"select vec_id, {r('sqrt(sum(x * x))')} as norm from dims group by vec_id",
+    ),
+    "knn_exact": (
+        f"select vec_id, {r('dist')} as dist from (select vec_id, {_ARRAY_DIST.format('embedding', 'v')} as dist from (select vec_id, embedding, (select max(cast(embedding as array<double>)) from embeddings where vec_id = 0) as v from embeddings) q) t where dist is not null order by round(dist, 9), vec_id limit 10",
+        f"select vec_id, {r('dist')} as dist from (select b.vec_id, sum((b.x - a.x) * (b.x - a.x)) as dist from dims a join dims b on b.pos = a.pos where a.vec_id = 0 group by b.vec_id) t order by round(dist, 9), vec_id limit 10",
+    ),
+    "batch_knn": (
+        f"select query_id, vec_id, place, {r('dist')} as dist from (select *, row_number() over (partition by query_id order by round(dist, 9), vec_id) as place from (select q.vec_id as query_id, b.vec_id, {_ARRAY_DIST.format('b.embedding', 'q.v')} as dist from embeddings b lateral view explode((select collect_list(struct(vec_id, cast(embedding as array<double>) as v)) from embeddings where vec_id < 10)) e as q) t where dist is not null) u where place <= 5",
+        f"select query_id, vec_id, place, {r('dist')} as dist from (select *, row_number() over (partition by query_id order by round(dist, 9), vec_id) as place from (select a.vec_id as query_id, b.vec_id, sum((b.x - a.x) * (b.x - a.x)) as dist from dims a join dims b on b.pos = a.pos where a.vec_id < 10 group by a.vec_id, b.vec_id) t) u where place <= 5",
+    ),
+    "farthest_first_r2": (
+        f"select label, vec_id, {r('dist')} as dist from (select *, row_number() over (partition by label order by round(dist, 9) desc, vec_id) as rn from (select d.label, d.vec_id, {_ARRAY_DIST.format('d.embedding', 'm.v')} as dist from embeddings d join (select label, cast(embedding as array<double>) as v from embeddings where vec_id in (select vec_id from (select vec_id, row_number() over (partition by label order by near desc, vec_id) as rn from closeness) t where rn = 1)) m on m.label = d.label) p where dist is not null) q where rn = 1",
+        f"with pair as (select m.label, d.vec_id, sum((d.x - e.x) * (d.x - e.x)) as dist from (select label, vec_id from (select *, row_number() over (partition by label order by near desc, vec_id) as rn from closeness) t where rn = 1) m join dims e on e.vec_id = m.vec_id join dims d on d.label = m.label and d.pos = e.pos group by m.label, d.vec_id) select label, vec_id, {r('dist')} as dist from (select *, row_number() over (partition by label order by round(dist, 9) desc, vec_id) as rn from pair) t where rn = 1",
+    ),
 }
