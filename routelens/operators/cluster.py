@@ -55,10 +55,13 @@ def hierarchical_kmeans(df: DataFrame, per_level: list[int], id_column: str = "v
     return out.select(id_column, "path")
 
 
-def merge_tree(x: np.ndarray, linkage: str = "average") -> list[tuple[int, int, float]]:
-    """Merges (left, right, distance) by Lance and Williams' update; node n + i is the i-th merge. O(n**2) memory."""
+def merge_tree(x: np.ndarray, linkage: str = "average", cosine: bool = False) -> list[tuple[int, int, float]]:
+    """Merges (left, right, distance) by Lance and Williams' update; node n + i is the i-th merge. O(n**2) memory.
+
+    Distances are Euclidean, or one minus the dot product of unit rows with ``cosine`` (not for ward)."""
     n = len(x)
-    d = np.sqrt(np.maximum(0, ((x[:, None] - x[None]) ** 2).sum(2)))
+    square = np.einsum("ij,ij->i", x, x)
+    d = 1 - x @ x.T if cosine else np.sqrt(np.maximum(0, square[:, None] + square[None] - 2 * x @ x.T))
     if linkage == "ward":
         d = d**2
     np.fill_diagonal(d, np.inf)
@@ -118,3 +121,28 @@ def agglomerative(df: DataFrame, ks: list[int], linkage: str = "average", group:
         return pd.concat(parts)
 
     return rows.groupBy("grp").applyInPandas(solve, "grp string, id long, k int, cluster_id int")
+
+
+def merge_small(df: DataFrame, smallest: int, threshold: float, linkage: str = "average", cluster: str = "label", column: str = "embedding", most: int = 5000) -> DataFrame:
+    """(cluster_id, merged_id): clusters of at most ``smallest`` rows are grouped by cosine distance of their centres; merges
+    up to ``threshold`` hold, and groups are numbered -1, -2, ... by their least cluster. Others, and a small one that is
+    alone, keep their id. Centres come from grouped sums; beyond ``most`` small clusters is an error."""
+    sizes = df.groupBy(F.col(cluster).cast("long").alias("cluster_id")).agg(F.count("*").alias("size"))
+    means = df.where(F.col(column).isNotNull()).select(F.col(cluster).cast("long").alias("cluster_id"), F.posexplode(column).alias("pos", "x")).groupBy("cluster_id", "pos").agg(F.avg("x").alias("x"))
+    centres = means.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda z: z["x"]).alias("v"))
+    small = sizes.where(F.col("size") <= smallest).select("cluster_id").join(centres, "cluster_id")
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        if len(g) > most:
+            raise ValueError(f"{len(g)} small clusters; at most {most} can be merged by similarity")
+        g = g.sort_values("cluster_id")
+        if len(g) < 2:
+            return g.assign(merged_id=g["cluster_id"])[["cluster_id", "merged_id"]]
+        x = np.stack(g["v"].to_numpy())
+        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        tree = merge_tree(u, linkage, cosine=True)
+        label = cut_tree(tree, len(g), len(g) - sum(d <= threshold for _, _, d in tree))
+        return pd.DataFrame({"cluster_id": g["cluster_id"].to_numpy(), "merged_id": [-1 - c for c in label]})
+
+    merged = small.groupBy(F.lit(0).alias("all")).applyInPandas(solve, "cluster_id long, merged_id long")
+    return sizes.select("cluster_id").join(merged, "cluster_id", "left").select("cluster_id", F.coalesce("merged_id", "cluster_id").alias("merged_id"))

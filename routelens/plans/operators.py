@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routelens.adapters import read_table
+from routelens.functions import patches as P
 from routelens.functions import text as T
 from routelens.functions import vectors as V
 from routelens.operators import cluster, sample
@@ -75,7 +76,69 @@ def identifier_obfuscation(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "conversations").select("conv_id", "turn", F.md5(T.hash_identifiers("text")).alias("digest"))
 
 
-_ALL = (kmeans_assign, bisecting_assign, hac_cut, hac_cut_ward, hierarchical_kmeans, pca2, kdpp_select, farthest_first, normalized_norms, code_fence_strip, sr_blocks, patch_features, chunk_overlap, identifier_obfuscation)
+def outlier_merge_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.merge_small(read_table(spark, d, "embeddings"), 52, 0.9)
+
+
+def format_detect(spark: SparkSession, d: str) -> DataFrame:
+    marked = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n<<<<<<< SEARCH"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("### f()\n"), F.replace("text", F.lit("#"), F.lit("")))).otherwise(F.replace("text", F.lit("#"), F.lit("")))
+    return read_table(spark, d, "documents").select("doc_id", T.detect_format(marked).alias("format"))
+
+
+def search_replace_apply(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", F.md5(T.apply_search_replace(F.col("text"), F.lit("the"), F.lit("THE"))).alias("digest"))
+
+
+def diff_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    after = F.concat(F.lit("first\n"), "text", F.lit("\nlast"))
+    docs = read_table(spark, d, "documents").select("doc_id", "text", after.alias("after"))
+    docs = docs.withColumn("patch", P.unified_diff("text", "after", F.lit("text.txt")))
+    return docs.select("doc_id", F.md5(P.apply_unified_diff("text", "patch")).alias("digest"), P.patch_info(F.col("patch"))["path"].alias("path"), P.hunk_order_ok(F.col("patch")).alias("ordered"))
+
+
+def reverse_patch_apply(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "conversations").select("conv_id", "turn", "text", F.concat("text", F.lit("\nlast")).alias("after"))
+    back = T.reverse_patch(P.unified_diff("text", "after", F.lit("text.txt")))
+    return docs.select("conv_id", "turn", F.md5(P.apply_unified_diff("after", back)).alias("digest"))
+
+
+def locate_blocks(spark: SparkSession, d: str) -> DataFrame:
+    found = P.locate_block(F.concat(F.lit("{\n  begin of text\n\n"), "text", F.lit("\n}")), F.lit("begin of text"))
+    return read_table(spark, d, "documents").select("doc_id", F.size(found).alias("n"), found[0]["first"].alias("first_line"))
+
+
+def signature_keys(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("public static <T> List<T> f"), F.col("p_partkey").cast("string"), F.lit("(final Map<String, T> a, int[] b) {"))
+    return read_table(spark, d, "part").select("p_partkey", P.signature_key(text).alias("signature"))
+
+
+def anonymized_patches(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "conversations").select("conv_id", "turn", F.md5(P.anonymize_patch("text")).alias("digest"))
+
+
+def rewrite_parse(spark: SparkSession, d: str) -> DataFrame:
+    got = P.rewrite_blocks(F.concat(F.lit("### f(int)\nbody\n### g()\n"), F.col("p_name")))
+    return read_table(spark, d, "part").select("p_partkey", F.size(got).alias("n"), got[0]["signature"].alias("signature"), got[1]["code"].alias("code"))
+
+
+def embedding_json(spark: SparkSession, d: str) -> DataFrame:
+    response = F.to_json(F.struct(F.array(F.struct("embedding")).alias("data")))
+    return read_table(spark, d, "embeddings").select("vec_id", F.size(P.embedding_of(response)).alias("dims"), F.round(V.norm(P.embedding_of(response)), 4).alias("norm"))
+
+
+def logprob_json(spark: SparkSession, d: str) -> DataFrame:
+    content = F.array(F.struct(F.lit("a").alias("token"), (-F.col("value") / 100).alias("logprob")), F.struct(F.lit("b").alias("token"), F.lit(-0.5).alias("logprob")))
+    response = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("logprobs"))).alias("choices")))
+    nll = P.mean_nll(P.token_logprobs(response))
+    return read_table(spark, d, "events").where("value is not null").select("event_id", F.round(nll, 6).alias("avg_nll"), F.round(F.exp(nll), 6).alias("ppl"))
+
+
+def number_range_list(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("1-3, x,"), F.col("r_regionkey").cast("string"))
+    return read_table(spark, d, "region").select("r_regionkey", F.explode(P.number_ranges(text)).alias("n"))
+
+
+_ALL = (kmeans_assign, bisecting_assign, hac_cut, hac_cut_ward, hierarchical_kmeans, pca2, kdpp_select, farthest_first, normalized_norms, code_fence_strip, sr_blocks, patch_features, chunk_overlap, identifier_obfuscation, outlier_merge_similarity, format_detect, search_replace_apply, diff_round_trip, reverse_patch_apply, locate_blocks, signature_keys, anonymized_patches, rewrite_parse, embedding_json, logprob_json, number_range_list)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -88,4 +151,14 @@ def oracle_sql() -> dict[str, str]:
         "code_fence_strip": "select doc_id, md5(text) as digest from documents",
         "sr_blocks": "select doc_id, 1 as n, md5(text) as search, lang as replacement, 'edit' as format from documents",
         "patch_features": "select doc_id, cast(len(string_split(text, chr(10))) - 1 as int) as additions, 1 as deletions, 1 as hunks from documents",
+        "format_detect": "select doc_id, case when doc_id % 3 = 1 then 'rewrite' else 'edit' end as format from documents",
+        "search_replace_apply": "select doc_id, md5(case when contains(text, 'the') then replace(text, 'the', 'THE') else 'error' end) as digest from documents",
+        "diff_round_trip": "select doc_id, md5('first' || chr(10) || text || chr(10) || 'last') as digest, 'text.txt' as path, true as ordered from documents",
+        "reverse_patch_apply": "select conv_id, turn, md5(text) as digest from conversations",
+        "locate_blocks": "select doc_id, 1 as n, 1 as first_line from documents",
+        "signature_keys": "select p_partkey, 'f' || cast(p_partkey as varchar) || '(Map,int[])' as signature from part",
+        "rewrite_parse": "select p_partkey, 2 as n, 'f(int)' as signature, p_name as code from part",
+        "embedding_json": "select vec_id, cast(len(embedding) as int) as dims, round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x))), 4) as norm from embeddings",
+        "logprob_json": "select event_id, round((value / 100 + 0.5) / 2, 6) as avg_nll, round(exp((value / 100 + 0.5) / 2), 6) as ppl from events where value is not null",
+        "number_range_list": "select distinct r_regionkey, n from (select r_regionkey, unnest([1, 2, 3, r_regionkey]) as n from region) t",
     }

@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from routelens.functions import patches as P
 from routelens.functions import text as T
 from routelens.functions import vectors as V
 from routelens.operators import cluster, sample
@@ -69,3 +72,37 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.write_members(a, str(tmp_path / "m"))
     sinks.write_report([a, spark.range(1)], str(tmp_path / "r"))
     assert spark.read.csv(str(tmp_path / "r"), header=True).count() == 3
+
+
+def test_patch_lines():
+    a = "int f() {\n  x = 1;\n\n  y = 2;\n}\nend"
+    b = "int f() {\n  x = 3;\n\n  y = 2;\n}\nend\nmore"
+    d = P.diff_text(a, b, "src/A.java")
+    assert P.apply_diff(a, d) == b and P.diff_text(a, a, "x") == "" and P.apply_diff("other", d) == "error"
+    assert P.apply_diff("pad\n" + a, d) == "pad\n" + b
+    assert P.locate(a, "x = 1;\n{\n y = 2;") == [(1, 3)] and P.locate("a\na\na", "a") == [(0, 0), (1, 1), (2, 2)] and P.locate(a, " ") == []
+    assert P.signature_text("public static <T> Map<String, List<T>> get(final java.util.Map<K, V> m, int[] x, String... y) {") == "get(Map,int[],String[])"
+    assert P.anonymize("Foo getBar(int baz) { return baz; }") == "CLASS_0 getMethod0(int VAR_0) { return VAR_0; }"
+    assert P.split_rewrites("### f(int)\nint f;\n### g()\nint g;\n") == [("f(int)", "int f;"), ("g()", "int g;")] and P.split_rewrites(" ") == []
+
+
+@given(st.lists(st.sampled_from(["a", "b", "", " c"]), max_size=14), st.lists(st.sampled_from(["a", "b", "", " c", "d"]), max_size=14))
+def test_diff_round_trip(x, y):
+    a, b = "\n".join(x), "\n".join(y)
+    assert P.apply_diff(a, P.diff_text(a, b, "p")) == b
+
+
+def test_patch_columns(spark):
+    row = ('{"data":[{"embedding":[1,2]}]}', '{"choices":[{"message":{"logprobs":{"content":[{"token":"a","logprob":-1},{"token":"b","logprob":-3}]}}}]}', "a__b__v", "1-3, 5,x,2", "/w/src/main/java/A.java", "Failing tests: 0", "--- a/x\n+++ b/x\n@@ -1 +1 @@\n+n\n-o", None)
+    df = spark.createDataFrame([row], "e string, l string, i string, n string, p string, t string, d string, z string")
+    c = F.col
+    r = df.select(P.embedding_of(c("e")), P.mean_nll(P.token_logprobs(c("l"))), P.slug_of(c("i")), P.slug_of(c("i"), "first"), P.number_ranges(c("n")), P.relative_path(c("p")), P.test_verdict(c("t")), P.hunk_order_ok(c("d")), P.patch_info(c("d")), P.test_verdict(c("z")), P.unified_diff("z", "d", "i"), P.slug_fold(c("z")), P.locate_block("d", F.lit("+n"))).first()
+    assert list(r)[:8] == [[1.0, 2.0], 2.0, "a__b", "a", [1, 2, 3, 5], "src/main/java/A.java", "passed", False]
+    assert tuple(r[8]) == ("x", 1, 1) and r[9] is None and r[10] is None and r[11] == "unknown" and tuple(r[12][0]) == (3, 3)
+
+
+def test_merge_small(spark):
+    x = [(0, [1.0, 0.0])] * 9 + [(1, [0.0, 1.0]), (2, [0.1, 1.0]), (3, [-1.0, 0.0])]
+    df = spark.createDataFrame([(i, c, v) for i, (c, v) in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    assert {tuple(r) for r in cluster.merge_small(df, 2, 0.1).collect()} == {(0, 0), (1, -1), (2, -1), (3, -2)}
+    assert {tuple(r) for r in cluster.merge_small(df.where("label < 2"), 2, 0.1).collect()} == {(0, 0), (1, 1)}
