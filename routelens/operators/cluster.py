@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from routelens.functions.vectors import squared_l2
+
 
 def _vectors(df: DataFrame, column: str, cosine: bool) -> DataFrame:
     df = df.withColumn("_raw", array_to_vector(F.col(column).cast("array<double>")))
@@ -31,28 +33,51 @@ def pca(df: DataFrame, k: int = 2, column: str = "embedding") -> DataFrame:
     return PCA(k=k, inputCol="_v", outputCol="_p").fit(v).transform(v).withColumn("components", vector_to_array("_p")).drop("_raw", "_v", "_p")
 
 
-def hierarchical_kmeans(df: DataFrame, per_level: list[int], id_column: str = "vec_id", column: str = "embedding", seed: int = 42) -> DataFrame:
-    """Each cluster is split again per level; path holds the cluster of each level. A level is one grouped pass."""
-    out = df.select(id_column, F.col(column).cast("array<double>").alias("v"), F.lit("root").alias("path"))
-    kind = out.schema
-
+def _lloyd(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """Centres from farthest-point starts (no random draw); at most as many as there are distinct rows."""
+    n = min(k, len(np.unique(x, axis=0)))
+    centres = x[[0]]
+    while len(centres) < n:
+        far = np.min([((x - c) ** 2).sum(1) for c in centres], 0)
+        centres = np.vstack([centres, x[int(np.argmax(far))]])
+    for _ in range(rounds):
+        label = np.argmin([((x - c) ** 2).sum(1) for c in centres], 0)
+        centres = np.stack([x[label == c].mean(0) if (label == c).any() else centres[c] for c in range(n)])
+    return centres
+
+
+def hierarchical_kmeans(df: DataFrame, per_level: list[int], id_column: str = "vec_id", column: str = "embedding", rounds: int = 3, sample: int = 5000) -> DataFrame:
+    """(id, path): each cluster is split again per level, and path holds the cluster of each level.
+
+    A level starts from centres fitted on at most ``sample`` rows of each cluster (by a hash of the id) and refines them by
+    ``rounds`` grouped means over all rows. Only centres, bounded by the product of ``per_level``, reach the driver. Null
+    vectors take no part.
+    """
+    spark = df.sparkSession
+    rows = df.where(F.col(column).isNotNull()).select(id_column, F.col(column).cast("array<double>").alias("v"), F.lit("root").alias("path"))
+    kind = "path string, centres array<array<double>>"
     for k in per_level:
 
-        def split(g: pd.DataFrame, k: int = k) -> pd.DataFrame:
+        def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
             g = g.sort_values(id_column)
-            x = np.stack(g["v"].to_numpy())
-            n = min(k, len(np.unique(x, axis=0)))
-            centres = x[[0]]
-            while len(centres) < n:  # farthest point starts: no random draw
-                far = np.min(((x[:, None] - centres[None]) ** 2).sum(2), 1)
-                centres = np.vstack([centres, x[int(np.argmax(far))]])
-            for _ in range(20):
-                label = np.argmin(((x[:, None] - centres[None]) ** 2).sum(2), 1)
-                centres = np.stack([x[label == c].mean(0) if (label == c).any() else centres[c] for c in range(n)])
-            return g.assign(path=[f"{p}/{c}" for p, c in zip(g["path"], label, strict=True)])
-
-        out = out.groupBy("path").applyInPandas(split, kind)
-    return out.select(id_column, "path")
+            return pd.DataFrame({"path": [key[0]], "centres": [_lloyd(np.stack(g["v"].to_numpy()), k).tolist()]})  # noqa: B023
+
+        order = Window.partitionBy("path").orderBy(F.xxhash64(id_column), id_column)
+        picked = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).drop("_n")
+        centres = spark.createDataFrame(picked.groupBy("path").applyInPandas(fit, kind).collect(), kind)
+        for _ in range(rounds):
+            means = _nearest(rows, centres).select("path", "c", F.posexplode("v").alias("pos", "x")).groupBy("path", "c", "pos").agg(F.avg("x").alias("x"))
+            means = means.groupBy("path", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda z: z["x"]).alias("v"))
+            means = means.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda z: z["v"]).alias("centres"))
+            centres = spark.createDataFrame(means.collect(), kind)
+        rows = _nearest(rows, centres).select(id_column, "v", F.concat_ws("/", "path", F.col("c").cast("string")).alias("path"))
+    return rows.select(id_column, "path")
+
+
+def _nearest(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """``rows`` with c, the place of the nearest centre of their path."""
+    far = F.transform("centres", lambda m: squared_l2(F.col("v"), m))
+    return rows.join(F.broadcast(centres), "path").withColumn("_far", far).withColumn("c", F.array_position("_far", F.array_min("_far")) - 1).drop("_far", "centres")
 
 
 def merge_tree(x: np.ndarray, linkage: str = "average", cosine: bool = False) -> list[tuple[int, int, float]]:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routelens.functions.vectors import dot, l2_normalize
+
 
 def farthest_first_order(x: np.ndarray, most: int) -> list[int]:
     """Medoid first, then the point farthest from all chosen (cosine); ties go to the lower index."""
@@ -37,10 +39,17 @@ def greedy_dpp_order(x: np.ndarray, most: int, least: float = 1e-14) -> list[int
     return out
 
 
-def representatives(df: DataFrame, per_cluster: int, method: str = "farthest_first", cluster: str = "label", id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(cluster_id, rank, id); rows of a cluster come by id, so ties and results don't depend on partitioning."""
+def representatives(df: DataFrame, per_cluster: int, method: str = "farthest_first", cluster: str = "label", id_column: str = "vec_id", column: str = "embedding", most: int = 20_000) -> DataFrame:
+    """(cluster_id, rank, id); ties go to the smaller id, so results don't depend on partitioning.
+
+    Clusters of up to ``most`` rows are solved in one task each; with a larger one all go by rounds, each a grouped maximum
+    over all rows, which gives the same picks. Null vectors take no part.
+    """
     order = {"farthest_first": farthest_first_order, "kdpp": greedy_dpp_order}[method]
-    rows = df.select(F.col(cluster).cast("long").alias("cluster_id"), F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
+    rows = df.where(F.col(column).isNotNull()).select(F.col(cluster).cast("long").alias("cluster_id"), F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
+    largest = rows.groupBy("cluster_id").count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        return _by_rounds(rows, per_cluster, method)
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id")
@@ -48,3 +57,44 @@ def representatives(df: DataFrame, per_cluster: int, method: str = "farthest_fir
         return pd.DataFrame({"cluster_id": g["cluster_id"].iloc[0], "rank": range(1, len(chosen) + 1), "id": g["id"].to_numpy()[chosen]})
 
     return rows.groupBy("cluster_id").applyInPandas(pick, "cluster_id long, rank int, id long")
+
+
+def _by_rounds(rows: DataFrame, per_cluster: int, method: str) -> DataFrame:
+    """One pick of each cluster per round. The driver holds the picks alone: clusters times ``per_cluster`` vectors."""
+    spark, diverse = rows.sparkSession, method == "farthest_first"
+    rows = rows.withColumn("v", l2_normalize(F.col("v")))
+    kind = "cluster_id long, taken array<long>, held array<array<double>>"
+    held: dict[int | None, tuple[list, list]] = {}
+    if diverse:
+        means = rows.select("cluster_id", F.posexplode("v").alias("pos", "x")).groupBy("cluster_id", "pos").agg(F.avg("x").alias("x"))
+        means = means.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda z: z["x"]).alias("m"))
+        scored = rows.join(F.broadcast(means), "cluster_id").withColumn("score", F.round(dot(F.col("v"), F.col("m")), 9))
+    else:
+        scored = rows.withColumn("score", F.round(dot(F.col("v"), F.col("v")), 12))
+    out: list[tuple] = []
+    for rank in range(1, per_cluster + 1):
+        best = scored.groupBy("cluster_id").agg(F.max_by(F.struct("id", "v", "score"), F.struct("score", -F.col("id"))).alias("b")).collect()
+        best = [(r["cluster_id"], r["b"]) for r in best if diverse or r["b"]["score"] > 1e-14]
+        if not best:
+            break
+        for c, b in best:
+            taken, vectors = held.setdefault(c, ([], []))
+            v = np.array(b["v"])
+            if not diverse:  # what is left of the pick beside those before it
+                for q in vectors:
+                    v = v - (v @ np.array(q)) * np.array(q)
+                v = v / np.linalg.norm(v)
+            taken.append(b["id"])
+            vectors.append(v.tolist())
+            out.append((c, rank, b["id"]))
+        if rank == per_cluster:
+            break
+        done = {c for c, _ in best}
+        state = spark.createDataFrame([(c, t, v) for c, (t, v) in held.items() if c in done], kind)
+        left = rows.join(F.broadcast(state), "cluster_id").where(~F.array_contains("taken", F.col("id")))
+        if diverse:
+            score = F.round(F.array_min(F.transform("held", lambda q: 1 - dot(F.col("v"), q))), 9)
+        else:
+            score = F.round(F.aggregate("held", dot(F.col("v"), F.col("v")), lambda s, q: s - dot(F.col("v"), q) * dot(F.col("v"), q)), 12)
+        scored = left.withColumn("score", score).select("cluster_id", "id", "v", "score")
+    return spark.createDataFrame(out, "cluster_id long, rank int, id long")

@@ -106,3 +106,18 @@ def test_merge_small(spark):
     df = spark.createDataFrame([(i, c, v) for i, (c, v) in enumerate(x)], "vec_id long, label int, embedding array<double>")
     assert {tuple(r) for r in cluster.merge_small(df, 2, 0.1).collect()} == {(0, 0), (1, -1), (2, -1), (3, -2)}
     assert {tuple(r) for r in cluster.merge_small(df.where("label < 2"), 2, 0.1).collect()} == {(0, 0), (1, 1)}
+
+
+@pytest.mark.parametrize("method", ["farthest_first", "kdpp"])
+def test_rounds_pick_the_same(spark, method):
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, i % 3, [float(y) for y in r.normal(size=6)]) for i in range(90)] + [(100, 7, [1.0] * 6), (101, 7, [1.0] * 6), (102, 7, None)], "vec_id long, label int, embedding array<double>")
+    one = {tuple(x) for x in sample.representatives(df, 4, method).collect()}
+    assert one == {tuple(x) for x in sample.representatives(df, 4, method, most=1).collect()} and {x[0] for x in one} == {0, 1, 2, 7}
+
+
+def test_levels_find_blobs(spark):
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(blobs())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.path for r in cluster.hierarchical_kmeans(df, [3, 2], sample=30).collect()}
+    tops = [{got[20 * b + i].split("/")[1] for i in range(20)} for b in range(3)]
+    assert all(len(t) == 1 for t in tops) and len(set.union(*tops)) == 3 and all(p.count("/") == 2 for p in got.values()) and len(got) == 60
