@@ -87,6 +87,9 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     # routing
     "routing_table": "select a.slug, a.cluster_id, coalesce(c.chosen, 'gen') as chosen from assignments a left join choices c on c.cluster_id = a.cluster_id",
     "routing_hash_sampled": (_routing(0), _routing(1)),
+    "routing_forced": tuple(
+        f"select a.slug, a.cluster_id, 'edit' as pure_edit, 'gen' as pure_gen, case when {u} < 0.5 then 'edit' else 'gen' end as even from assignments a" for u in _UNIT
+    ),
     "win_rate": f"select count(*) as total, count(case when chosen = best then 1 end) as wins, {r(_WINS.format('chosen = best'))} as win_rate from routed",
     "win_rate_baselines": f"select count(*) as total, {r(_WINS.format('chosen = best'))} as routed, {r(_WINS.format('e <= g'))} as always_edit, {r(_WINS.format('g <= e'))} as always_gen, cast(1 as double) as oracle_rate from routed",
     "regret_metrics": f"select count(*) as total, {r('avg(case when chosen = \'edit\' then e else g end - least(e, g))')} as regret, {r('avg(case when least(e, g) > 0 then (case when chosen = \'edit\' then e else g end - least(e, g)) / least(e, g) end)')} as relative_regret, {r('avg(case when chosen = \'edit\' then e else g end)')} as mean_chosen, {r('avg(least(e, g))')} as mean_oracle from routed",

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +59,34 @@ def read_texts(spark: SparkSession, pattern: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row, embedding) of every .npy file of vectors; a file is read by one task, so write large stores in parts."""
+
+    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, content in zip(part["path"], part["content"], strict=True):
+                x = np.atleast_2d(np.load(io.BytesIO(content), allow_pickle=False)).astype(np.float32)
+                for at in range(0, len(x), 4096):
+                    yield pd.DataFrame({"path": name, "row": np.arange(at, min(at + 4096, len(x))), "embedding": list(x[at : at + 4096])})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+    return files.mapInPandas(rows, "path string, row long, embedding array<float>")
+
+
+def count_log_lines(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
+    """(file, one column per pattern): how many lines of each log match."""
+    lines = spark.read.text(path).withColumn("file", F.col("_metadata.file_name"))
+    return lines.groupBy("file").agg(*(F.count_if(F.col("value").rlike(p)).alias(name) for name, p in patterns.items()))
+
+
+def unprocessed(work: DataFrame, done: DataFrame, key: str, success: str | None = None) -> DataFrame:
+    """Rows of ``work`` whose key isn't in ``done``; with ``success`` only rows of ``done`` where that column is true count."""
+    keys = (done.where(success) if success else done).select(key).distinct()
+    return work.join(keys, key, "left_anti")
+
+
+def latest_per_key(df: DataFrame, key: str, by: str) -> DataFrame:
+    """The whole row of each key with the largest ``by``: a file written twice counts once."""
+    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), by).alias("r")).select("r.*")

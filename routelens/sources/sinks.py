@@ -28,3 +28,19 @@ def write_split_failures(df: DataFrame, path: str, errors_path: str, error_colum
 
 def write_levels(df: DataFrame, path: str) -> None:
     df.write.partitionBy("level", "cluster_key").parquet(path)
+
+
+def write_representatives(df: DataFrame, path: str) -> None:
+    """JSON lines ordered by cluster, then rank; ordered by ranges, not in one task."""
+    df.orderBy("cluster_id", "rank").write.json(path)
+
+
+def write_assignments(df: DataFrame, path: str) -> None:
+    """item_id, slug and cluster_id; a missing slug is what stands before the item's last double underscore."""
+    slug = F.coalesce("slug", F.regexp_extract("item_id", r"^(.*)__", 1)) if "slug" in df.columns else F.regexp_extract("item_id", r"^(.*)__", 1)
+    df.select("item_id", slug.alias("slug"), "cluster_id").write.json(path)
+
+
+def append_records(df: DataFrame, path: str) -> None:
+    """Adds to what is there; each run's files appear together, so no lock is needed."""
+    df.write.mode("append").json(path)

@@ -11,6 +11,7 @@ from routelens.functions import text as T
 from routelens.functions import vectors as V
 from routelens.operators import cluster, sample
 from routelens.sources import readers, sinks
+from routelens.streaming import ingest
 
 
 def blobs():
@@ -121,3 +122,33 @@ def test_levels_find_blobs(spark):
     got = {r.vec_id: r.path for r in cluster.hierarchical_kmeans(df, [3, 2], sample=30).collect()}
     tops = [{got[20 * b + i].split("/")[1] for i in range(20)} for b in range(3)]
     assert all(len(t) == 1 for t in tops) and len(set.union(*tops)) == 3 and all(p.count("/") == 2 for p in got.values()) and len(got) == 60
+
+
+def test_more_sources_and_sinks(spark, tmp_path):
+    np.save(tmp_path / "v.npy", np.arange(6.0).reshape(3, 2))
+    assert [(r.row, list(r.embedding)) for r in readers.read_npy(spark, str(tmp_path)).orderBy("row").collect()] == [(0, [0, 1]), (1, [2, 3]), (2, [4, 5])]
+    (tmp_path / "a.log").write_text("ok\nERROR x\nERROR y\n")
+    assert tuple(readers.count_log_lines(spark, str(tmp_path / "a.log"), {"errors": "^ERROR", "good": "^ok"}).first()) == ("a.log", 2, 1)
+    done = spark.createDataFrame([(1, True), (2, False)], "id long, ok boolean")
+    work = spark.range(4)
+    assert sorted(r.id for r in readers.unprocessed(work, done, "id").collect()) == [0, 3] and sorted(r.id for r in readers.unprocessed(work, done, "id", "ok").collect()) == [0, 2, 3]
+    twice = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "id long, run int, x string")
+    assert {tuple(r) for r in readers.latest_per_key(twice, "id", "run").collect()} == {(1, 2, "b"), (2, 1, "c")}
+    items = spark.createDataFrame([("P__1__v", 3)], "item_id string, cluster_id int")
+    for _ in range(2):
+        sinks.append_records(items, str(tmp_path / "app"))
+    assert spark.read.json(str(tmp_path / "app")).count() == 2
+    sinks.write_assignments(items, str(tmp_path / "as"))
+    assert readers.read_assignments(spark, str(tmp_path / "as")).first().slug == "P__1"
+
+
+def test_stream_runs_to_the_end_and_goes_on(spark, tmp_path):
+    src, out, at = (str(tmp_path / x) for x in ("in", "out", "at"))
+    (tmp_path / "in").mkdir()
+    line = '{{"slug":"a","strategy":"edit","value":{},"ts":"2024-01-{:02d}T00:00:00Z"}}\n'
+    (tmp_path / "in/1.json").write_text(line.format(1, 1) + line.format(3, 1) + line.format(9, 9))
+    ingest.run_available(ingest.daily_means(ingest.score_stream(spark, src)), out, at)
+    (tmp_path / "in/2.json").write_text(line.format(5, 20))
+    ingest.run_available(ingest.daily_means(ingest.score_stream(spark, src)), out, at)
+    got = {(r.window.start.day, r.value, r.n) for r in spark.read.parquet(out).collect()}
+    assert {(1, 2.0, 2), (9, 9.0, 1)} <= got

@@ -48,3 +48,9 @@ def test_same_rows(spark, duck, name):
     assert len(want) == len(have)
     close = lambda a, b: a == b or isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 2e-5 * max(1, abs(a))
     assert all(close(a, b) for x, y in zip(want, have, strict=True) for a, b in zip(x, y, strict=True))
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(ORACLE)))
+def test_other_queries_run_and_repeat(spark, name):
+    first, again = (catalogue.queries()[name](spark, "/root/testdata/sf0.001").collect() for _ in range(2))
+    assert first and sorted(first, key=str) == sorted(again, key=str)
