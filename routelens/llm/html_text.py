@@ -2,8 +2,10 @@
 
 A page is cut into blocks, each with its root-to-leaf tag path. Per path the text length, the punctuation and the linked
 text are summed; a path's ratio fuses length and punctuation and is smoothed with the sum over its parent path, so a
-heading beside long paragraphs is carried by them. Paths below a share of the best are no content. Regions that a page
-marks itself as menus, headers, footers, asides, notices, adverts, forms, scripts or reader comments never count.
+heading beside long paragraphs is carried by them. Paths from a share of the best on choose the content roots: the
+article or main element around their blocks, else the container that their surroundings make likely. Every block beneath
+a root is kept, whatever its own ratio. Regions that a page marks itself as menus, headers, footers, asides, notices,
+adverts, forms, scripts or reader comments never count.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ _DROPPED = frozenset("nav footer aside form button select option input fieldset
 _NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner cookie cookies consent gdpr notice notices alert sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond discussion disqus share sharing social related recommended promo promotion sponsor sponsored newsletter subscribe subscription popup modal overlay toolbar pagination pager skip widget login signup search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _CLOSES = {"p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())}
+_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption ul ol dl table thead tbody tfoot figure".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
@@ -54,10 +58,12 @@ def _noisy(name: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(tag path, text, linked code points) of each block outside marked regions, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
+def _placed_blocks(html: str) -> list[tuple[tuple[str, ...], str, int, tuple[int, ...]]]:
+    """Blocks, each with the numbers of the elements on its tag path."""
+    out: list[tuple[tuple[str, ...], str, int, tuple[int, ...]]] = []
     stack: list[str] = []
+    numbers: list[int] = []
+    opened = 0
     buffer: list[str] = []
     linked, links, dropped_at = 0, 0, -1
 
@@ -67,13 +73,14 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                out.append((tuple(x for x in stack if x not in _INLINE), text, min(linked, len(text))))
+                on_path = [i for i, x in enumerate(stack) if x not in _INLINE]
+                out.append((tuple(stack[i] for i in on_path), text, min(linked, len(text)), tuple(numbers[i] for i in on_path)))
         linked = 0
 
     def close(i: int) -> None:
         nonlocal dropped_at, links
         links -= stack[i:].count("a")
-        del stack[i:]
+        del stack[i:], numbers[i:]
         if dropped_at >= i:
             dropped_at = -1
 
@@ -103,6 +110,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if dropped_at < 0 and _noisy(name, m.group(4), "article" in stack):
                     dropped_at = len(stack)
                 stack.append(name)
+                numbers.append(-1)
                 links += name == "a"
             continue
         if dropped_at < 0:
@@ -122,29 +130,66 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if dropped_at < 0 and _noisy(name, m.group(4), "article" in stack):
             dropped_at = len(stack)
         stack.append(name)
+        numbers.append(opened)
+        opened += 1
     if dropped_at < 0:
         flush()
     return out
 
 
+def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
+    """(tag path, text, linked code points) of each block outside marked regions, in page order."""
+    return [f[:3] for f in _placed_blocks(html)]
+
+
+def _root(path: tuple[str, ...], numbers: tuple[int, ...], beneath: dict[int, list[int]]) -> int:
+    """Number of the element whose blocks count with this one; -1 for the whole page.
+
+    That is the outermost article, else the outermost main element. Without either it is the block's container, and then
+    each container around it as long as what that adds isn't mostly links; body only for a heading.
+    """
+    for name in ("article", "main"):
+        if name in path:
+            return numbers[path.index(name)]
+    at = len(path) - 1
+    while at >= 0 and path[at] in _LEAVES:
+        at -= 1
+    while at > 0 and path[at] not in ("body", "html"):
+        added = [x - y for x, y in zip(beneath[numbers[at - 1]], beneath[numbers[at]], strict=True)]
+        if added[1] > added[0] or path[at - 1] == "html" or path[at - 1] == "body" and not added[2]:
+            break
+        at -= 1
+    return numbers[at] if at >= 0 and path[at] not in ("body", "html") else -1
+
+
 def extract(html: str, threshold: float = 0.25, smooth: float = 0.5) -> str:
-    """Main text: the blocks of all content paths in page order, joined by one newline."""
-    found = blocks(html)
+    """Main text: all blocks beneath the content roots in page order, joined by one newline.
+
+    Where the whole page is the root, blocks of links alone outside paragraphs are left out, as menus without marks are.
+    """
+    found = _placed_blocks(html)
     length: dict[tuple, int] = defaultdict(int)
     marks: dict[tuple, int] = defaultdict(int)
-    for path, text, linked in found:
+    beneath: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])  # unlinked and linked code points, headings
+    for path, text, linked, numbers in found:
         n, p = len(text) - linked, len(_PUNCTUATION.findall(text)) if linked < len(text) else 0
         for at in (("own", path), ("below", path[:-1])):
             length[at] += n
             marks[at] += p
+        for i in numbers:
+            held = beneath[i]
+            held[0] += n
+            held[1] += linked
+            held[2] += path[-1] in _HEADINGS
 
     def ratio(at: tuple) -> float:
         return log1p(length[at]) * (1 + log1p(marks[at])) * (3 if "article" in at[1] else 2 if "main" in at[1] else 1)
 
     score = {path: (1 - smooth) * ratio(("own", path)) + smooth * ratio(("below", path[:-1])) for path in {f[0] for f in found}}
     best = max(score.values(), default=0)
-    within = any("article" in p for p in score)
-    return "\n".join(text for path, text, linked in found if score[path] >= threshold * best and ("article" in path or not within) and (linked < len(text) or "p" in path or "article" in path))
+    content = [linked < len(text) or "p" in path or "article" in path for path, text, linked, _ in found]
+    roots = {_root(path, numbers, beneath) for (path, _, _, numbers), yes in zip(found, content, strict=True) if yes and score[path] >= threshold * best}
+    return "\n".join(text for (_, text, _, numbers), yes in zip(found, content, strict=True) if yes and -1 in roots or not roots.isdisjoint(numbers))
 
 
 def extract_pages(pages: DataFrame, threshold: float = 0.25) -> DataFrame:

@@ -148,6 +148,26 @@ def test_html(spark):
     assert got[1] == got[2] == got[3] == "" and got[4] == "a < b"
 
 
+def test_html_keeps_every_block_of_a_root():
+    title, item, cell, caption = "A title of the article without any mark " * 2, "an item without marks " * 9, "cell " * 400, "What the picture shows"
+    inside = f"<header><h1>{title}</h1></header>{{}}<ul><li>{item}</ul><table><tr><td>{cell}</table><figure><img src=x><figcaption>{caption}</figcaption></figure>"
+    kept = [" ".join(x.split()) for x in (title, item, cell, caption)]
+    for n in (1, 10, 60):
+        body = inside.format("<p>" + "Words of a sentence, going on for some time. " * 2 * n)
+        for page in (f"<body><article>{body}</article>", f"<body><main>{body.replace('header', 'div')}</main>", f"<body><div><a href=x>home</a></div><div>{body.replace('header', 'div')}</div>"):
+            lines = html_text.extract(page).split("\n")
+            assert [x for x in lines if x in kept] == kept and "home" not in lines
+
+
+def test_html_main_text_outside_a_teaser_article():
+    story = "<h1>Story</h1>" + "".join(f"<p>Paragraph {i}, with its sentences. They go on; and on." for i in range(60))
+    for page in (f"<body><div>{story}</div><article><h3>Teaser</h3></article>", f"<body><article><a href=x>Teaser, read on.</a></article><div>{story}</div>"):
+        lines = html_text.extract(page).split("\n")
+        assert "Story" in lines and sum(x.startswith("Paragraph") for x in lines) == 60
+    lines = html_text.extract(f"<body><article>{story}</article><div>Some other words</div>").split("\n")
+    assert len(lines) == 61 and lines[0] == "Story"
+
+
 def test_fingerprints(spark, edge):
     rows = sorted(((d, t or "") for d, t, _ in EDGE), key=lambda x: (x[0], x[1]))
     got = sorted(fingerprints.fingerprint(edge).collect(), key=lambda r: (r.doc_id, r.n_chars))
