@@ -1,10 +1,12 @@
 """Secret scans (operator 4): fixed patterns, and a randomness test battery for keys that no pattern names.
 
-A candidate is a maximal run of key characters. Its encoding is inferred (hex, base32, base62, base64), and its symbols
-go through chi-squared uniformity, runs above and below the middle, and serial correlation. A structured word fails
-them. Evidence that a run isn't text is the likelihood ratio between uniform symbols and a letter model of text; its
-inverse is a valid p-value at every length, so short runs need stronger evidence. Within a document the discoveries are
-chosen by Benjamini and Hochberg's rule, which controls their false share.
+Candidates are the maximal runs of key characters, cut at inner '=', and the parts of each between separators. The
+encoding is inferred (hex, base32, base62, base64), and the symbols go through chi-squared uniformity, runs above and
+below the middle, and serial correlation. A structured word fails them. Evidence that a run isn't text is the likelihood
+ratio between uniform symbols and the likelier of two models of text: letters by their shares, and words, numbers and
+names that rarely change between lower case, capitals and digits. Its inverse is a valid p-value at every length, so
+short runs need stronger evidence. Within a document the discoveries are chosen by Benjamini and Hochberg's rule over
+all candidates, plain words too, which controls their false share; of overlapping ones that with most evidence stays.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,13 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Fewest symbols of a candidate: four uniform ones give about the evidence that the rule asks of a lone candidate.
+LEAST_SYMBOLS = 4
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
+#: The runs but plain words and numbers, whose p-value is over any rate; words of a to f alone are looked at.
+_MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?!(?:(?![a-f]+(?![a-z]))[a-z]+|[A-Z][a-z]+|(?![A-F]+(?![A-Z]))[A-Z]{1,60}|[0-9]+)(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{4,}")
+#: Cuts of a run: a path's names, a slug's words, both, and all signs.
+_CUTS = tuple(re.compile(x) for x in ("[^/]+", "[^_-]+", "[^/_-]+", "[^/+_-]+"))
 _WORDS = (b"passw", b"secret", b"token", b"api")
 #: Share of each letter a to z in running text, in hundredths of a percent.
 _LETTERS = (820, 150, 280, 430, 1270, 220, 200, 610, 700, 15, 77, 400, 240, 670, 750, 190, 10, 600, 630, 910, 280, 98, 240, 15, 200, 7)
@@ -38,6 +47,14 @@ _ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
+#: Natural logarithms by byte: the share in text, and a symbol's share in its class (lower case, capital, digit, sign).
+_KIND = np.full(256, 3)
+_LOG_TEXT, _LOG_IN_KIND = np.full(256, math.log(0.04 / 5)), np.full(256, -math.log(5))
+for _c, _p in _TEXT.items():
+    _kind = 0 if _c.islower() else 1 if _c.isupper() else 2 if _c.isdigit() else 3
+    _KIND[ord(_c)], _LOG_TEXT[ord(_c)], _LOG_IN_KIND[ord(_c)] = _kind, math.log(_p), -math.log((26, 26, 10, 5)[_kind])
+#: Natural logarithms of the chance of each class after each; behind a sign a new word starts.
+_LOG_NEXT = np.log(np.array([[0.75, 0.05, 0.05, 0.15], [0.05, 0.75, 0.05, 0.15], [0.05, 0.05, 0.75, 0.15], [0.3, 0.3, 0.3, 0.1]]))
 _PLACE = {k: {c: i for i, c in enumerate(a)} for k, a in _ALPHABETS.items()}
 
 
@@ -77,24 +94,48 @@ def battery(run: str, encoding: str) -> tuple[float, float, float]:
 
 
 def text_p_value(run: str, encoding: str) -> float:
-    """Bound on the chance that text looks this random: the inverse likelihood ratio against uniform symbols."""
-    body = run.rstrip("=")
-    log_ratio = sum(-math.log(len(_ALPHABETS[encoding])) - math.log(_TEXT[c]) for c in body)
-    return math.exp(-min(700.0, max(0.0, log_ratio)))
+    """Bound on the chance that text looks this random: the inverse likelihood ratio against uniform symbols.
+
+    The alphabets count as equally likely, which pays for taking the one that fits.
+    """
+    x = np.frombuffer(run.rstrip("=").encode(), np.uint8)
+    kinds = _KIND[x]
+    words = _LOG_NEXT[3, kinds[0]] + _LOG_NEXT[kinds[:-1], kinds[1:]].sum() + _LOG_IN_KIND[x].sum()
+    uniform = -len(x) * math.log(len(_ALPHABETS[encoding])) - math.log(len(_ALPHABETS))
+    return math.exp(-min(700.0, max(0.0, uniform - max(float(words), float(_LOG_TEXT[x].sum())))))
+
+
+def candidate_parts(run: str) -> list[tuple[int, int]]:
+    """(start, end) in a run of the parts to test: those between inner '=' signs, and their parts between separators."""
+    body, out = len(run.rstrip("=")), set()
+    for m in re.finditer("[^=]+", run):
+        spans = {m.span(), *((m.start() + c.start(), m.start() + c.end()) for cut in _CUTS for c in cut.finditer(m.group()))}
+        out |= {(s, len(run) if e == body else e) for s, e in spans if e - s >= LEAST_SYMBOLS}
+    return sorted(out)
 
 
 def random_spans(text: str, rate: float = 0.01, least: float = 0.001) -> list[tuple[int, int]]:
-    """Runs found random: the battery doesn't reject them at ``least``, and their text p-values pass at false rate ``rate``."""
-    found = []
-    for m in _RUN.finditer(text):
-        run = m.group()
-        encoding = infer_encoding(run)
-        if encoding is None or len(run.rstrip("=")) < 16:
-            continue
-        found.append((text_p_value(run, encoding), min(battery(run, encoding)) >= least, m.start(), m.end()))
+    """Parts found random: the battery doesn't reject them at ``least``, and their text p-values pass at false rate ``rate``."""
+    found, mixed = [], 0
+    for m in _MIXED.finditer(text):
+        mixed += 1
+        for s, e in candidate_parts(m.group()):
+            part = m.group()[s:e]
+            encoding = infer_encoding(part)
+            if encoding:
+                found.append((text_p_value(part, encoding), -len(part), m.start() + s, m.start() + e, encoding))
+    if not found:
+        return []
     found.sort()
-    passed = max((i for i, f in enumerate(found, 1) if f[0] <= rate * i / len(found)), default=0)
-    return sorted((s, e) for _, fits, s, e in found[:passed] if fits)
+    tested = len(found) + len(_RUN.findall(text)) - mixed
+    passed = max((i for i, f in enumerate(found, 1) if f[0] <= rate * i / tested), default=0)
+    starts, ends = [], []  # of the spans that stay, in order; they don't overlap
+    for _, _, s, e, encoding in found[:passed]:
+        at = bisect_left(starts, s)
+        if (not at or ends[at - 1] <= s) and (at == len(starts) or e <= starts[at]) and min(battery(text[s:e], encoding)) >= least:
+            starts.insert(at, s)
+            ends.insert(at, e)
+    return list(zip(starts, ends, strict=True))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -106,9 +147,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, added spans that overlap none of them), each (kind, start, end) in code points."""
     base = base_spans(text)
-    taken = sorted((s, e) for _, s, e in base)
-    added = [("random", s, e) for s, e in random_spans(text) if not any(a < e and s < b for a, b in taken)]
-    return base, added
+    return base, added_spans(text, base)
+
+
+def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    return [("random", s, e) for s, e in random_spans(text) if not any(a < e and s < b for _, a, b in base)]
 
 
 def join_spans(spans: list[tuple[str, int, int]]) -> str:
@@ -120,7 +163,7 @@ _IN_RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 
 
 def _worth_a_look(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows that can hold a span at all: a run of 20 key characters, or one of the fixed words. Exact, whole texts."""
+    """Rows that can hold a base span at all: a run of 20 key characters, or one of the fixed words. Exact, whole texts."""
     out = np.zeros(len(offsets) - 1, bool)
     for i, j in chunks(offsets):
         at = offsets[i : j + 1] - offsets[i]
@@ -157,8 +200,9 @@ def scan_secrets(docs: DataFrame, with_text: bool = False) -> DataFrame:
             look = _worth_a_look(*text_bytes(b.column(1))).tolist()
             n, digest, joined, strings = {k: [] for k in KINDS}, [], [], []
             for r, yes in enumerate(look):
-                text = b.column(1)[r].as_py() or "" if yes else ""
-                base, added = scan(text) if yes else ((), ())
+                text = b.column(1)[r].as_py() or ""
+                base = base_spans(text) if yes else []
+                added = added_spans(text, base)
                 for k in KINDS:
                     n[k].append(sum(x[0] == k for x in (*base, *added)))
                 digest.append(hashlib.sha256(join_spans(base).encode()).hexdigest() if base else empty)

@@ -140,6 +140,26 @@ def test_secrets(spark, edge):
     assert secrets.scan_secrets(edge.limit(0)).count() == 0
 
 
+def test_secrets_in_names_paths_and_short_ones(spark):
+    key, long, mixed = "q7Rk2ZpX9vLm4TnB8sWd1YcF", "Zm9/k2Qx+7LpV3tR8sYb1NcW5uJdHgE0aK4oT6iM", "kB7-xQ2_9ZmVt4Lr8Ns3Wc-P6yHd1Gf"
+    texts = {
+        f"export SIGNING_KEY={key} now": key,
+        f"auth={key}&page=2": key,
+        f"DefaultEndpoints;AccountKey={long}==;Suffix=core": f"{long}==",
+        f"see https://host.example.com/v1/keys/{key}/edit for it": key,
+        f"see https://host.example.com/my-project_files/{key} for it": key,
+        f"see https://host.example.com/v1/keys/{mixed} for it": mixed,
+        "the short key is x7Kq9ZbT2mVw4 in these words": "x7Kq9ZbT2mVw4",
+    }
+    for text, want in texts.items():
+        base, added = secrets.scan(text)
+        assert base == [] and [text[s:e] for _, s, e in added] == [want], text
+    got = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_text=True).collect()
+    assert {r.doc_id: r.found for r in got} == {i: [x] for i, x in enumerate(texts.values())}
+    for text in ("call 555-0134 on 2024-01-31 with card 4041894974608795", "getHttpResponseCode=parseXmlDocument utf8 sha256 iPhone NASA jazzy facade", "/usr/local/share/some_folder/with-names/in-it/index2"):
+        assert secrets.scan(text) == ([], [])
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav><a href=x>menu</a></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>One,\n two. <b>Three</b>.<p>Four&nbsp;five.</p><aside>side</aside><div class=comments><p>nice</p></div></article><footer>&copy; x</footer>"
     assert html_text.extract(page) == "A & B\nOne, two. Three.\nFour five."
