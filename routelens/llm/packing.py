@@ -11,9 +11,10 @@ that a third of all documents share is spread over all buckets.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -114,16 +115,38 @@ def _byte_letters() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str, pattern: str) -> SpacedEncoder:
-    """Encoder of a byte-level BPE file of the tokenizers library; its ids are in merge order, so they serve as ranks."""
+def _tokenizer(path: str, pattern: str) -> Callable[[str], bytes]:
+    """Encoder of a byte-level BPE file of the tokenizers library; its ids are in merge order, so they serve as ranks.
+
+    Texts are split at the file's added tokens, the longest first where several start, as the library does whatever
+    ``add_special_tokens`` says; where one strips spaces or takes whole words only, the library encodes texts that hold it.
+    """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         read = json.load(f)
-    letters, added = _byte_letters(), {x["content"] for x in read.get("added_tokens", [])}
+    letters, tokens = _byte_letters(), read.get("added_tokens") or []
+    added = {x["content"]: x["id"].to_bytes(4, "little") for x in tokens}
     ranks = {bytes(letters[x] for x in token): i for token, i in read["model"]["vocab"].items() if token not in added}
     encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return SpacedEncoder(lambda s: encoding.encode_to_numpy(s, disallowed_special=()).astype("<u4").tobytes())
+    plain = SpacedEncoder(lambda s: encoding.encode_to_numpy(s, disallowed_special=()).astype("<u4").tobytes())
+    if not added:
+        return plain
+    cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")")
+    whole = None
+    if any(x.get(k) for x in tokens for k in ("lstrip", "rstrip", "single_word")):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+
+    def encode(text: str) -> bytes:
+        if not any(x in text for x in added):
+            return plain(text)
+        if whole:
+            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(added[x] if i % 2 else plain(x) for i, x in enumerate(cut.split(text)))
+
+    return encode
 
 
 def pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int) -> DataFrame:
@@ -153,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 2048) ->
 
     Only documents of more than ``capacity`` ids are cut; all pieces but the first then have ``capacity`` ids. ``docs``
     needs doc_id and text; other columns are ignored. ``tokenizer`` is a byte-level BPE file of the tokenizers library, and
-    ``pattern`` its splitting pattern. Special tokens' strings in a text are ordinary text. A null or empty text is the end id alone. Repeated rows are
+    ``pattern`` its splitting pattern. Added tokens' strings in a text get the tokens' ids. A null or empty text is the end id alone. Repeated rows are
     packed each; an empty table gives an empty result.
     """
     cut = materialize(pieces(docs, tokenizer, pattern, capacity), "pieces")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import json
 import random
 import re
+import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -122,6 +125,22 @@ def test_packing(spark, edge):
     assert packing.pack(edge.limit(0), path, P.PATTERN).count() == 0
 
 
+def test_packing_of_added_tokens(spark, tmp_path):
+    path = P.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", " <|endoftext|>\n\nx  <|endoftext|>  y", "don<|endoftext|>'t <|endoftext|", "<|ENDOFTEXT|> " * 300 + "<|endoftext|>"]
+    read = json.loads(Path(path).read_text(encoding="utf-8"))
+    read["added_tokens"][0]["lstrip"] = True
+    strips = tmp_path / "strips.json"
+    strips.write_text(json.dumps(read), encoding="utf-8")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for file in (path, str(strips)):
+        known = Tokenizer.from_file(file)
+        ids = {d: np.array([*known.encode(x, add_special_tokens=False).ids, 0], "<u4") for d, x in enumerate(texts)}
+        rows = packing.pack(df, file, P.PATTERN, 64).collect()
+        assert sum(r.length for r in rows) == sum(map(len, ids.values()))
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) for r in rows)
+
+
 def test_plan_is_close_to_the_bound():
     r = random.Random(3)
     for _ in range(20):
