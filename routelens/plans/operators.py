@@ -11,7 +11,7 @@ from routelens.adapters import read_table
 from routelens.functions import patches as P
 from routelens.functions import text as T
 from routelens.functions import vectors as V
-from routelens.operators import cluster, sample
+from routelens.operators import cluster, sample, search
 
 
 def kmeans_assign(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +138,11 @@ def number_range_list(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "region").select("r_regionkey", F.explode(P.number_ranges(text)).alias("n"))
 
 
-_ALL = (kmeans_assign, bisecting_assign, hac_cut, hac_cut_ward, hierarchical_kmeans, pca2, kdpp_select, farthest_first, normalized_norms, code_fence_strip, sr_blocks, patch_features, chunk_overlap, identifier_obfuscation, outlier_merge_similarity, format_detect, search_replace_apply, diff_round_trip, reverse_patch_apply, locate_blocks, signature_keys, anonymized_patches, rewrite_parse, embedding_json, logprob_json, number_range_list)
+def batch_knn_all(spark: SparkSession, d: str) -> DataFrame:
+    return search.batch_search(read_table(spark, d, "embeddings")).select("query_id", "vec_id", "place", F.round("dist", 6).alias("dist"))
+
+
+_ALL = (batch_knn_all, kmeans_assign, bisecting_assign, hac_cut, hac_cut_ward, hierarchical_kmeans, pca2, kdpp_select, farthest_first, normalized_norms, code_fence_strip, sr_blocks, patch_features, chunk_overlap, identifier_obfuscation, outlier_merge_similarity, format_detect, search_replace_apply, diff_round_trip, reverse_patch_apply, locate_blocks, signature_keys, anonymized_patches, rewrite_parse, embedding_json, logprob_json, number_range_list)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

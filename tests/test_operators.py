@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from routelens.functions import patches as P
 from routelens.functions import text as T
 from routelens.functions import vectors as V
-from routelens.operators import cluster, sample
+from routelens.operators import cluster, sample, search
+from routelens.plans import catalogue
 from routelens.sources import readers, sinks
 from routelens.streaming import ingest
 
@@ -37,6 +38,37 @@ def test_kmeans_finds_blobs(spark):
         assert len({got[i] for i in range(20)}) == 1 and len(set(got.values())) == 3
 
 
+def brute_search(rows, k=5):
+    out = {}
+    for q, a in rows:
+        dist = [(round(float(((np.array(a) - b) ** 2).sum()), 9), i) for i, b in rows if len(a) == len(b)]
+        out[q] = [i for _, i in sorted(dist)[:k]]
+    return out
+
+
+def test_batch_search_of_every_row(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x = r.integers(-2, 3, (300, 4)).astype(float) + r.integers(0, 2, (300, 1)) * 0.25
+    x[50:150] = x[50]
+    rows = [(i, y.tolist()) for i, y in enumerate(x)] + [(400, [1.0, 2.0]), (401, [1.0, 2.5])]
+    bad = [(500, None), (501, [float("nan")] * 4), (502, []), (7, rows[7][1])]
+    monkeypatch.setattr(search, "BLOCK", 40)
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
+    got = {}
+    for g in search.batch_search(df).orderBy("query_id", "place").collect():
+        got.setdefault(g.query_id, []).append(g.vec_id)
+    assert got == brute_search(rows)
+    assert search.batch_search(df.limit(0)).count() == 0
+
+
+def test_batch_knn_all_answers_every_id(spark):
+    rows = [(r.vec_id, [float(y) for y in r.embedding]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
+    got = {}
+    for g in catalogue.queries()["batch_knn_all"](spark, "/root/testdata/sf0.001").orderBy("query_id", "place").collect():
+        got.setdefault(g.query_id, []).append(g.vec_id)
+    assert got == brute_search(rows)
+
+
 def test_selection_orders():
     x = blobs()
     assert len({i // 20 for i in sample.farthest_first_order(x, 3)}) == 3
