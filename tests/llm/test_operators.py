@@ -255,6 +255,25 @@ def test_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_neighbours_are_k_where_lists_are_small(spark):
+    r = np.random.default_rng(8)
+    hot, near = [1.0, 0.0, 0.0], {6000: [0.0, 1.0, 0.1], 6001: [0.0, 1.0, 0.2]}
+    rows = [(i, hot) for i in range(5000)] + list(near.items())
+    got = collections.defaultdict(list)
+    for x in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[x.query_id].append((x["rank"], x.vec_id))
+    assert sorted(got[6000]) == [(1, 6001), (2, 0), (3, 1), (4, 2), (5, 3)] and all(len(x) == 5 for x in got.values())
+    for n in (4, 36, 60):
+        x = r.standard_normal((n, 6)) + 6 * np.eye(6)[np.arange(n) % 3 * (np.arange(n) % 7 == 0)]
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        got = neighbours.nearest(spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "vec_id long, embedding array<double>"), every=1)
+        mine = collections.defaultdict(list)
+        for y in got.orderBy("query_id", "rank").collect():
+            mine[y.query_id].append(y.vec_id)
+        for i in range(n):
+            assert mine[i] == [int(j) for j in np.argsort(-(u @ u[i]), kind="stable") if j != i][:5]
+
+
 def test_sharding(spark, edge):
     r = random.Random(5)
     rows = [(i, "same text" if i % 3 == 0 else "x" * r.randint(0, 400)) for i in range(6000)]
