@@ -8,30 +8,46 @@ a DataFrame, which is written as Parquet and read again as the next one's docs.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from routelens.llm.common import bounded_batches, materialize, small_side
 from routelens.llm.jaccard_join import jaccard_components
 from routelens.llm.packing import pack
 from routelens.llm.pii import mask_pii
-from routelens.llm.quality import classify
+from routelens.llm.quality import classify, row_key
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Rows that the quality classifier keeps, each judged by its own text, source and language whatever its doc_id."""
     bounded_batches(spark)
-    rejected = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("not keep").select(F.col("doc_id").alias("_doc_id")).distinct()
+    rejected = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_key=True).where("not keep").select("h1", "h2").distinct()
     rejected = small_side(rejected, "rejected")
-    return docs.join(rejected, docs["doc_id"] == rejected["_doc_id"], "left_anti")
+    h1, h2 = row_key()
+    return docs.join(rejected, (h1 == rejected["h1"]) & (h2 == rejected["h2"]), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 80 % of its five-word shingles: the one of smallest doc_id."""
-    found = jaccard_components(docs, k=5, num=4, den=5)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_doc_id")).distinct()
+    """One row of each group that shares 80 % of its five-word shingles: that of smallest doc_id.
+
+    Rows are nodes of their own by doc_id and text: null ids, and all texts but one of a doc_id that has several, get a
+    number above all ids (62 bits of a hash), so a group's row with an id of its own comes first. Of repeated rows one stays.
+    """
+    h, own = F.xxhash64("text"), F.col("doc_id").cast("long")
+    repeated = docs.where("doc_id is not null").groupBy(own.alias("_doc_id")).agg(F.min(h).alias("_text"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    repeated = small_side(repeated, "repeated")
+    above = F.lit(1 << 62) + F.pmod(F.xxhash64(F.lit("node"), F.col("doc_id"), F.col("text")), F.lit(1 << 62))
+    rows = docs.join(repeated, own == repeated["_doc_id"], "left")
+    rows = rows.withColumns({"_node": F.when(own.isNull() | (h != F.col("_text")), above).otherwise(own), "_again": own.isNull() | F.col("_doc_id").isNotNull()})
+    found = jaccard_components(rows.select(F.col("_node").alias("doc_id"), "text"), k=5, num=4, den=5)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = small_side(gone, "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_doc_id"], "left_anti")
+    kept = rows.join(gone, rows["_node"] == gone["_gone"], "left_anti")
+    if not rows.where("_again").limit(1).count():
+        return kept.select(docs.columns)
+    order = Window.partitionBy("_node").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), "doc_id")
+    once = kept.where("_again").withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    return kept.where("not _again").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,14 +100,20 @@ def _strength(groups: DataFrame, low: float = 2.0, high: float = 1000.0) -> floa
     return float(min(high, max(low, r["p"] * (1 - r["p"]) / r["v"] - 1)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_labels: int = 20_000, site_weight: float = 0.5, most_sites: int = 100_000) -> DataFrame:
-    """Per document: doc_id, evidence, site_share, score (0 to 1), keep (score >= threshold).
+def row_key() -> tuple[Column, Column]:
+    """h1 and h2: two hashes of all that a verdict depends on besides the table, nulls apart from empty texts."""
+    parts = [F.col(c).isNull() for c in ("text", "source", "lang")] + [F.col(c) for c in ("text", "source", "lang")]
+    return F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *parts).alias("h2")
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_labels: int = 20_000, site_weight: float = 0.5, most_sites: int = 100_000, with_key: bool = False) -> DataFrame:
+    """Per document: doc_id, evidence, site_share, score (0 to 1), keep (score >= threshold), with ``with_key`` h1 and h2.
 
     ``docs`` needs doc_id, text, source and lang; ``labels`` doc_id and quality (1 good, 0 bad); other columns are ignored.
     Null labels and labels of unknown documents are ignored; without both classes the evidence is neutral and all are
     kept. A null or empty text has neutral evidence. A null source or language is a site of its own. Repeated rows each
     get a row; repeated labels count once, the least one. An empty table gives an empty result.
-    Site shares are broadcast up to ``most_sites`` rows and joined by exchange beyond.
+    Site shares are broadcast up to ``most_sites`` rows and joined by exchange beyond. h1 and h2 are ``row_key`` of the row.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -115,15 +121,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_la
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
     host = F.element_at(F.split(F.coalesce("source", F.lit("")), "/"), 1)
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", host.alias("host"), path.alias("path"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", host.alias("host"), path.alias("path"), *(row_key() if with_key else ()))
+    more = ["h1", "h2"] if with_key else []
+    kinds = "".join(f", {x} long" for x in more)
     width = len(FEATURES)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = style(*text_bytes(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(list(f), pa.list_(pa.float64()))], ["doc_id", "host", "path", "f"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(list(f), pa.list_(pa.float64())), *b.columns[4:]], ["doc_id", "host", "path", "f", *more])
 
-    measured = materialize(base.mapInArrow(measure, "doc_id long, host string, path string, f array<double>"), "style")
+    measured = materialize(base.mapInArrow(measure, "doc_id long, host string, path string, f array<double>" + kinds), "style")
     sample = measured.join(F.broadcast(chosen), "doc_id").select("f", "quality").limit(most_labels).toArrow()
     y = sample["quality"].to_numpy().astype(float)
     x = np.array(sample["f"].combine_chunks().flatten(), float).reshape(-1, width)
@@ -137,9 +145,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_la
             f = np.array(b.column(3).flatten(), float).reshape(-1, width)
             logit = np.clip(expand(f, mean, spread) @ weights, -30, 30)
             logit[~f.any(1)] = 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(logit)], ["doc_id", "host", "path", "evidence"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(logit), *b.columns[4:]], ["doc_id", "host", "path", "evidence", *more])
 
-    judged = measured.mapInArrow(judge, "doc_id long, host string, path string, evidence double")
+    judged = measured.mapInArrow(judge, "doc_id long, host string, path string, evidence double" + kinds)
     good = (1 / (1 + F.exp(-F.col("evidence")))).alias("p")
     paths = materialize(judged.select("host", "path", good).groupBy("host", "path").agg(F.sum("p").alias("good"), F.count("*").alias("n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
@@ -154,4 +162,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_la
     held = F.least(F.greatest("site_share", F.lit(1e-6)), F.lit(1 - 1e-6))
     logit = F.col("evidence") + site_weight * (F.log(held / (1 - held)) - float(np.log(share / (1 - share))))
     out = judged.join(sites, "path").withColumn("score", 1 / (1 + F.exp(-logit)))
-    return out.select("doc_id", "evidence", "site_share", "score", (F.col("score") >= threshold).alias("keep"))
+    return out.select("doc_id", "evidence", "site_share", "score", (F.col("score") >= threshold).alias("keep"), *more)

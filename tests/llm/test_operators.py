@@ -16,6 +16,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from routelens.llm import byte_bpe, fingerprints, html_text, jaccard_join, neighbours, packing, pii, quality, secrets, sharding
 from routelens.llm.components import connected_components
 
@@ -297,3 +298,21 @@ def test_quality(spark, edge):
     got = {x.doc_id: x.keep for x in quality.classify(df, labels).collect()}
     assert np.mean([got[i] == bool(i % 3) for i in range(1, 400, 2)]) >= 0.98
     assert all(x.keep for x in quality.classify(edge, labels.limit(0)).collect()) and quality.classify(df.limit(0), labels).count() == 0
+
+
+def test_pipeline_decides_per_row(spark, tmp_path):
+    r = random.Random(7)
+    text = lambda n=60: " ".join("".join(r.choices("abcdefghijklm", k=r.randint(2, 8))) for _ in range(n)) + "."
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a, "s", "en"), (1, a, "s", "en"), (1, a, "t", "en"), (2, a, "s", "en"), (None, a, "s", "en"), (None, b, "s", "en"), (None, b, "s", "en"), (None, b + " x", "s", "en"), (3, c, "s", "en"), (3, d, "s", "en"), (4, d, "s", "en"), (5, e, "s", "en"), (6, "", "s", "en"), (7, None, "s", "en"), (7, None, "s", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    kept = collections.Counter(x.text for x in got)
+    assert kept[a] == kept[c] == kept[d] == kept[e] == kept[""] == kept[None] == 1 and kept[b] + kept[b + " x"] == 1 and sum(kept.values()) == 7
+    assert {x.text: x.doc_id for x in got}[a] == 1
+    good, bad = [text() for _ in range(200)], [" | ".join(["SPAM!!"] * (40 + i)) for i in range(100)]
+    rows = [(i, t, f"s{i % 4}", "en") for i, t in enumerate(good + bad)] + [(None, bad[0], "s0", "en"), (None, good[0], "s0", "en"), (900, bad[1], "s1", "en"), (900, good[1], "s1", "en")]
+    spark.createDataFrame([(i, int(i < 200)) for i in range(0, 300, 2)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {(x.doc_id, x.text) for x in corpus_pipeline.quality_filter(spark, df, str(tmp_path)).collect()}
+    assert {(None, good[0]), (900, good[1])} <= got and not {(None, bad[0]), (900, bad[1])} & got
