@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.common import materialize
+from routelens.llm.common import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b: long); component is its smallest node.
 
     Self edges, repeated edges and either direction are allowed; rows with a null end are ignored; an empty table
@@ -33,12 +33,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialize(e, "edges")
     seen = None
-    for _ in range(most_rounds):
-        e = materialize(_small_star(_large_star(e)), "edges")
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("b")).first()
+    while True:  # each round that changes the edges lowers their larger ends' partners, so it settles
+        before, e = e, materialize(_small_star(_large_star(e)), "edges")
+        release(before)
+        mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64(F.lit("second"), "a", "b"))).first()
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("components have not settled")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

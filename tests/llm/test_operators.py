@@ -65,13 +65,45 @@ def components(rows, k, num, den):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "num", "den", "most"), [(3, 9, 10, 8192), (5, 4, 5, 8192), (3, 4, 5, 2)])
-def test_jaccard(spark, corpus, k, num, den, most):
+@pytest.mark.parametrize(("k", "num", "den", "most", "block"), [(3, 9, 10, 1024, 2048), (5, 4, 5, 1024, 2048), (3, 4, 5, 2, 2048), (3, 4, 5, 2, 2), (3, 3, 5, 3, 1)])
+def test_jaccard(spark, corpus, k, num, den, most, block):
     df = spark.createDataFrame(corpus, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, k, num, den, most_docs=most).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, k, num, den, most_docs=most, block=block).collect()}
     assert got == components(corpus, k, num, den)
 
 
+def test_jaccard_of_a_large_group_in_blocks(spark):
+    """20,000 near copies of one text: groups beyond every bound, and documents just under the threshold beside them."""
+    r = random.Random(9)
+    base = ["".join(r.choices("abcdefgh", k=6)) for _ in range(60)]
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(20_000)]  # two of them share 58 of 60 shingles
+    apart = [" ".join([*base[:30], f"x{i}", *base[30:], f"y{i}"]) for i in range(40)]  # 56 of 64 with those above: under 9/10
+    twins = [x + " z" for x in apart[:10]]
+    rows += list(enumerate([*apart, *twins], 50_000))
+    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()}
+    assert all(got[i] == 0 for i in range(20_000))
+    assert {i: got[50_000 + i] for i in range(50)} == {i: 50_000 + i % 40 for i in range(50)}
+
+
+def test_sketches_never_reject_a_link():
+    r, any_rejected = np.random.default_rng(3), False
+    for num, den in ((9, 10), (4, 5)):
+        for n in (1, 5, 60, 900, 1100, 30_000):
+            most = int(jaccard_join.most_differing(np.int64(2 * n), num, den))
+            sets = [np.unique(r.integers(0, 2**64, n, np.uint64))]
+            for _ in range(20):
+                gone = r.choice(n, int(r.integers(0, n // 5 + 1)), replace=False)
+                sets.append(np.unique(np.concatenate([np.delete(sets[0], gone), r.integers(0, 2**64, int(r.integers(0, most + 2)), np.uint64)])))
+            sizes = np.array([len(x) for x in sets])
+            s = jaccard_join.Sketches(sizes, jaccard_join.pa.array([jaccard_join.sketch(x) for x in sets]), num, den)
+            may = s.may_link(0, np.arange(len(sets)))
+            both = np.array([len(np.intersect1d(sets[0], x)) for x in sets])
+            links = den * both >= num * (sizes + sizes[0] - both)
+            assert may[links].all()
+            any_rejected |= not may.all()
+    assert any_rejected
+
+
 def test_jaccard_edges(spark, edge):
     got = jaccard_join.jaccard_components(edge, 3, 9, 10).collect()
     assert len(got) == len(EDGE)
