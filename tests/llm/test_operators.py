@@ -240,20 +240,42 @@ def test_html_main_text_outside_a_teaser_article():
     assert len(lines) == 61 and lines[0] == "Story"
 
 
-def test_fingerprints(spark, edge):
-    rows = sorted(((d, t or "") for d, t, _ in EDGE), key=lambda x: (x[0], x[1]))
-    got = sorted(fingerprints.fingerprint(edge).collect(), key=lambda r: (r.doc_id, r.n_chars))
+def check_fingerprints(df, rows):
+    """Against brute force; rows: (doc_id, text) in order."""
+    found = fingerprints.fingerprint(df).collect()
+    got = {(r.doc_id, r.edited_sha256): r for r in found}
+    assert len(found) == len(rows)
     units = lambda t: set(re.findall(rf"[^\n]{{1,{fingerprints.UNIT}}}", t))
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    for i, ((d, t), r) in enumerate(zip(rows, got, strict=True)):
-        following = rows[(i + 1) % len(rows)][1]
-        half = len(t) // 2
+    for i, (d, t) in enumerate(rows):
+        following, half = rows[(i + 1) % len(rows)][1], len(t) // 2
         edited = t[: len(t) - half] + following[:half]
-        assert (r.doc_id, r.n_chars, r.edited_sha256) == (d, len(t), hashlib.sha256(edited.encode()).hexdigest())
+        r = got[d, hashlib.sha256(edited.encode()).hexdigest()]
+        assert r.n_chars == len(t)
         assert abs(r.near_edited - like(units(t), units(edited))) < 1e-9 and abs(r.near_next - like(units(t), units(following))) < 1e-9
+
+
+def test_fingerprints(spark, edge):
+    check_fingerprints(edge, sorted(((d, t or "") for d, t, _ in EDGE), key=lambda x: (x[0], x[1])))
     assert fingerprints.fingerprint(edge.limit(0)).count() == 0
 
 
+def test_fingerprints_of_far_ids_in_ranges(spark):
+    r = random.Random(11)
+    ids = [-(2**63), *range(0, 2500), 10**15, 2**63 - 1]
+    rows = [(d, "\n".join(str(r.randint(0, 30)) for _ in range(r.randint(0, 12)))) for d in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = fingerprints.with_next(df).where("turn = 0").groupBy("range").count().collect()
+    assert len(held) == 2 and max(x["count"] for x in held) < 1600
+    check_fingerprints(df, rows)
+
+
+def test_fingerprints_of_long_texts(spark):
+    lines = [f"line {i} of a long text" for i in range(20_000)]
+    rows = [(0, "\n".join(lines)), (1, "\n".join(lines[:19_000] + ["another one"])), (2, "x" * 600_000)]
+    check_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
 def test_pii(spark, edge):
     rows = [(i, f"my passport id: +1 (988) 555-24{i:02d} ok") for i in range(12)] + [(50, "is passport id: XK447102991 end"), (51, "mail a.b@c-d.org, ip 10.0.0.1 not 256.1.1.1, card 4041 8949 7460 8795.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
