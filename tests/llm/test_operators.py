@@ -287,6 +287,62 @@ def test_pii(spark, edge):
     assert pii.find_pii(edge).count() == len(EDGE) and pii.find_pii(edge.limit(0)).count() == 0
 
 
+PII = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_pii(text):
+    out = []
+    for kind, pattern in PII.items():
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m.group())
+            fits = {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else True, "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}
+            if fits[kind]:
+                out.append((m.start(), list(PII).index(kind), f"{kind}:{m.start()}:{m.end()}"))
+    return [x[2] for x in sorted(out)]
+
+
+def test_pii_base_spans_by_brute_force(spark):
+    r = random.Random(12)
+    parts = ["a.b@c-d.org", "x@y", "é@b.cd", "10.0.0.1", "256.1.1.1", "1.2.3.4.5.6.7.8", "4041 8949 7460 8795", "4041-8949-7460-8796", "40418949746087950", "+1 (988) 555-2401", "+44 20 7946 0958 12", " ", "  ", "\n", "😀", "id:", "7", "-", ".", "the word", "a_b%c+d@e.fr.", "@", "0001.02.003.4"]
+    rows = [(i, "".join(r.choices(parts, k=r.randint(0, 14)))) for i in range(1500)] + [(9000, None), (9001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for x in pii.find_pii(df).collect():
+        text = dict(rows)[x.doc_id] or ""
+        want = base_pii(text)
+        assert x.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), (text, want, x.spans)
+        assert [y for y in x.spans.split(",") if y and not y.startswith("context")] == want
+        assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(y.startswith(k) for y in want) for k in PII]
+
+
+def test_pii_of_long_texts_and_clashing_names(spark):
+    text = " ".join(f"é user{i}@example{i}.org and 10.0.{i % 256}.7" for i in range(16_000))
+    rows = [(1, text, "keep", "also", 5, "x", [1], "y"), (2, None, "k", "a", None, "x", [2], "y"), (None, "call +1 988 555 2401.", "k", "a", 3, "x", [3], "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h1 string, h2 string, n_chars long, _text string, spans array<int>, row string")
+    got = {x.doc_id: x for x in pii.mask_pii(df).collect()}
+    want = " ".join("é [EMAIL] and [IP]" for i in range(16_000))
+    assert got[1].text == want and got[1].n_chars == len(want) and (got[1].h1, got[1].h2, got[1]["_text"], got[1].spans, got[1].row) == ("keep", "also", "x", [1], "y")
+    assert got[2].text is None and got[2].n_chars is None and got[None].text == "call [PHONE]." and got[None].n_chars == 13
+    assert pii.mask_pii(df).columns == df.columns
+    found = {x.doc_id: x for x in pii.find_pii(df).collect()}
+    assert found[1].n_email == found[1].n_ip == 16_000
+
+
+def test_pii_support_spreads(spark):
+    """A pattern without base seeds of its own is trusted by what another one found."""
+    rows = [(i, f"member ref: +1 988 555 24{i:02d} ok") for i in range(12)] + [(20 + i, f"member ref: KX4471{i:02d}99 ok, under code KX4471{i:02d}99 too") for i in range(6)] + [(40, "under code ZZ7730415 it ends")]
+    got = {x.doc_id: x for x in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[40].n_context == 1 and got[22].n_context == 2
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(4)
     x = r.standard_normal((1500, 32)) + 2 * r.standard_normal((8, 32))[r.integers(0, 8, 1500)]
