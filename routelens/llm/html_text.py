@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from routelens.llm.common import bounded_batches
 
+#: The rest of a tag: quotes count after an equals sign alone, as in browsers. Possessive, so it can't backtrack.
+_REST = r"""(?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+"""
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|xmp|noframes)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)"""
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|[^<]+|<""",
+    rf"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|xmp|noframes)(?=[\s/>]){_REST}(?:>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)|\Z)"""
+    rf"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_REST})>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z]{_REST}\Z|[^<]+|<""",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -35,6 +37,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _DROPPED = frozenset("nav footer aside form button select option input fieldset dialog menu head object canvas audio video map".split())
 _NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner cookie cookies consent gdpr notice notices alert sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond discussion disqus share sharing social related recommended promo promotion sponsor sponsored newsletter subscribe subscription popup modal overlay toolbar pagination pager skip widget login signup search".split())
+_NOISY_ARTICLE = frozenset("ad ads advert advertisement comment comments promo related recommended sponsored teaser".split())
+_LAYOUT = frozenset("banner header menu menus modal nav navbar navigation overlay sidebar toolbar widget".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _CLOSES = {"p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())}
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption ul ol dl table thead tbody tfoot figure".split())
@@ -42,124 +46,167 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
-def _noisy(name: str, attributes: str, inside_article: bool) -> bool:
+def _noise(name: str, attributes: str, inside_article: bool) -> str:
+    """Why an element doesn't count: "mark" (its kind or what it says about itself), "layout" (a class or id with a layout
+    word, which a wrapper of the whole page may have too), or "" where it counts."""
     if name in _DROPPED or name == "header" and not inside_article:
-        return True
+        return "mark"
     if not attributes or attributes.isspace():
-        return False
+        return ""
+    why = ""
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (values[0] or values[1] or values[2]).lower()
         if key in ("class", "id"):
-            words = _WORD.findall(value)
-            if not _NOISE.isdisjoint(words) and name not in ("html", "body", "article", "main") or "header" in words and not inside_article and name not in ("html", "body", "main", "article"):
-                return True
+            if name == "article":
+                if any(x in _NOISY_ARTICLE or x.startswith("comment-") for x in value.split()):
+                    return "mark"
+            elif name not in ("html", "body", "main"):
+                words = set(_WORD.findall(value))
+                found = (words & _NOISE) | (words & {"header"} if not inside_article else set())
+                if found:
+                    why = "layout" if found <= _LAYOUT and why != "mark" else "mark"
         elif key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
-
-
-def _placed_blocks(html: str) -> list[tuple[tuple[str, ...], str, int, tuple[int, ...]]]:
-    """Blocks, each with the numbers of the elements on its tag path."""
-    out: list[tuple[tuple[str, ...], str, int, tuple[int, ...]]] = []
-    stack: list[str] = []
-    numbers: list[int] = []
-    opened = 0
-    buffer: list[str] = []
-    linked, links, dropped_at = 0, 0, -1
-
-    def flush() -> None:
-        nonlocal linked
-        if buffer:
-            text = " ".join("".join(buffer).split())
-            buffer.clear()
-            if text:
-                on_path = [i for i, x in enumerate(stack) if x not in _INLINE]
-                out.append((tuple(stack[i] for i in on_path), text, min(linked, len(text)), tuple(numbers[i] for i in on_path)))
-        linked = 0
-
-    def close(i: int) -> None:
-        nonlocal dropped_at, links
-        links -= stack[i:].count("a")
-        del stack[i:], numbers[i:]
-        if dropped_at >= i:
-            dropped_at = -1
-
-    for m in _TOKEN.finditer(html):
-        raw = m.group()
-        if raw[0] != "<" or raw == "<":
-            if dropped_at < 0:
-                text = unescape(raw)
-                buffer.append(text)
-                if links:
-                    linked += len(text)
-            continue
-        name = m.group(3)
-        if name is None:
-            continue
-        name = name.lower()
-        if name in _INLINE:
-            if name == "br" or name == "img":
+            return "mark"
+    return why
+
+
+class _Page:
+    """Blocks of a page, and its elements as a tree: every step is linear in the page, however deep it nests.
+
+    blocks: (path, element, text, linked code points) in page order. An element's number is larger than its parent's, and
+    so is a path's; element 0 and path 0 are the page itself. names[path] is the last tag of a path, above[path] the path
+    before it; inside[path] holds which of article, main and p are on it.
+    """
+
+    def __init__(self, html: str):
+        self.blocks: list[tuple[int, int, str, int]] = []
+        self.parent, self.path_of = [0], [0]
+        self.names, self.above, self.inside = [""], [0], [frozenset()]
+        self._paths: dict[tuple[int, str], int] = {}
+        self._read(html)
+
+    def _open(self, parent: int, name: str) -> int:
+        at = self.path_of[parent]
+        path = self._paths.get((at, name))
+        if path is None:
+            path = self._paths[at, name] = len(self.names)
+            self.names.append(name)
+            self.above.append(at)
+            self.inside.append(self.inside[at] | {name} if name in ("article", "main", "p") else self.inside[at])
+        self.parent.append(parent)
+        self.path_of.append(path)
+        return len(self.parent) - 1
+
+    def _read(self, html: str) -> None:
+        stack: list[str] = []
+        elements = [0]  # the open elements but inline ones, and where they stand on the stack
+        solid = [-1]
+        where: dict[str, list[int]] = defaultdict(list)
+        buffer: list[str] = []
+        linked, dropped_at, why = 0, -1, ""
+
+        def flush() -> None:
+            nonlocal linked
+            if buffer:
+                text = " ".join("".join(buffer).split())
+                buffer.clear()
+                if text:
+                    self.blocks.append((self.path_of[elements[-1]], elements[-1], text, min(linked, len(text))))
+            linked = 0
+
+        def close(i: int) -> None:
+            nonlocal dropped_at
+            while len(stack) > i:
+                where[stack.pop()].pop()
+            while solid[-1] >= i:
+                solid.pop()
+                elements.pop()
+            if dropped_at >= i:
+                dropped_at = -1
+
+        def push(name: str, attributes: str) -> None:
+            nonlocal dropped_at, why
+            noise = _noise(name, attributes, bool(where["article"]))
+            if dropped_at < 0 and noise:
+                dropped_at, why = len(stack), noise
+            elif why == "layout" and dropped_at >= 0 and not noise and name in ("article", "main"):
+                dropped_at = -1  # what seemed a menu or a sidebar is a wrapper
+            where[name].append(len(stack))
+            stack.append(name)
+
+        for m in _TOKEN.finditer(html):
+            raw = m.group()
+            if raw[0] != "<" or raw == "<":
                 if dropped_at < 0:
-                    buffer.append(" ")
-            elif m.group(2):
-                if name in stack:
-                    i = len(stack) - 1 - stack[::-1].index(name)
-                    if all(x in _INLINE for x in stack[i:]):
-                        close(i)
-            else:
-                if dropped_at < 0 and _noisy(name, m.group(4), "article" in stack):
-                    dropped_at = len(stack)
-                stack.append(name)
-                numbers.append(-1)
-                links += name == "a"
-            continue
+                    text = unescape(raw)
+                    buffer.append(text)
+                    if where["a"]:
+                        linked += len(text)
+                continue
+            name = m.group(3)
+            if name is None:
+                continue
+            name = name.lower()
+            last = where[name][-1] if where[name] else -1
+            if name in _INLINE:
+                if name == "br" or name == "img":
+                    if dropped_at < 0:
+                        buffer.append(" ")
+                elif not m.group(2):
+                    push(name, m.group(4))
+                elif last > solid[-1]:
+                    close(last)
+                continue
+            if dropped_at < 0:
+                flush()
+            if m.group(2):
+                if last >= 0:
+                    close(last)
+                continue
+            if name in _VOID or m.group(4).endswith("/") and name not in ("p", "div", "article", "section", "main"):
+                continue
+            if where["p"] and name in _CLOSES["p"]:
+                close(where["p"][-1])
+            elif last >= 0 and name in _SELF_CLOSING and not any(where[x] and where[x][-1] >= last for x in _SELF_CLOSING[name]):
+                close(last)
+            push(name, m.group(4))
+            solid.append(len(stack) - 1)
+            elements.append(self._open(elements[-1], name))
         if dropped_at < 0:
             flush()
-        if m.group(2):
-            if name in stack:
-                close(len(stack) - 1 - stack[::-1].index(name))
-            continue
-        if name in _VOID or m.group(4).endswith("/") and name not in ("p", "div", "article", "section", "main"):
-            continue
-        if "p" in stack and name in _CLOSES["p"]:
-            close(len(stack) - 1 - stack[::-1].index("p"))
-        elif name in _SELF_CLOSING and name in stack:
-            i = len(stack) - 1 - stack[::-1].index(name)
-            if not any(x in _SELF_CLOSING[name] for x in stack[i:]):
-                close(i)
-        if dropped_at < 0 and _noisy(name, m.group(4), "article" in stack):
-            dropped_at = len(stack)
-        stack.append(name)
-        numbers.append(opened)
-        opened += 1
-    if dropped_at < 0:
-        flush()
-    return out
 
+    def roots(self, beneath: list[list[int]]) -> list[int]:
+        """Of each element the one whose blocks count with its own; 0 for the whole page.
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(tag path, text, linked code points) of each block outside marked regions, in page order."""
-    return [f[:3] for f in _placed_blocks(html)]
-
+        That is the outermost article, else the outermost main element. Without either it is the block's container, and
+        then each container around it as long as what that adds isn't mostly links; body only for a heading.
+        """
+        names, marked, out = [self.names[p] for p in self.path_of], {"article": [0], "main": [0]}, [0]
+        for i in range(1, len(names)):
+            up = self.parent[i]
+            for name, held in marked.items():
+                held.append(held[up] or (i if names[i] == name else 0))
+            if names[i] in ("body", "html"):
+                out.append(0)
+            elif names[i] in _LEAVES:
+                out.append(out[up] if up else 0)
+            else:
+                added = [x - y for x, y in zip(beneath[up], beneath[i], strict=True)]
+                stays = not up or added[1] > added[0] or names[up] == "html" or names[up] == "body" and not added[2]
+                out.append(i if stays else out[up])
+        return [a or m or x for a, m, x in zip(marked["article"], marked["main"], out, strict=True)]
 
-def _root(path: tuple[str, ...], numbers: tuple[int, ...], beneath: dict[int, list[int]]) -> int:
-    """Number of the element whose blocks count with this one; -1 for the whole page.
 
-    That is the outermost article, else the outermost main element. Without either it is the block's container, and then
-    each container around it as long as what that adds isn't mostly links; body only for a heading.
-    """
-    for name in ("article", "main"):
-        if name in path:
-            return numbers[path.index(name)]
-    at = len(path) - 1
-    while at >= 0 and path[at] in _LEAVES:
-        at -= 1
-    while at > 0 and path[at] not in ("body", "html"):
-        added = [x - y for x, y in zip(beneath[numbers[at - 1]], beneath[numbers[at]], strict=True)]
-        if added[1] > added[0] or path[at - 1] == "html" or path[at - 1] == "body" and not added[2]:
-            break
-        at -= 1
-    return numbers[at] if at >= 0 and path[at] not in ("body", "html") else -1
+def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
+    """(tag path, text, linked code points) of each block outside marked regions, in page order."""
+    page, out = _Page(html), []
+    for path, _, text, linked in page.blocks:
+        tags = []
+        while path:
+            tags.append(page.names[path])
+            path = page.above[path]
+        out.append((tuple(reversed(tags)), text, linked))
+    return out
 
 
 def extract(html: str, threshold: float = 0.25, smooth: float = 0.5) -> str:
@@ -167,36 +214,43 @@ def extract(html: str, threshold: float = 0.25, smooth: float = 0.5) -> str:
 
     Where the whole page is the root, blocks of links alone outside paragraphs are left out, as menus without marks are.
     """
-    found = _placed_blocks(html)
-    length: dict[tuple, int] = defaultdict(int)
-    marks: dict[tuple, int] = defaultdict(int)
-    beneath: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])  # unlinked and linked code points, headings
-    for path, text, linked, numbers in found:
+    page = _Page(html)
+    length, marks = ([[0] * len(page.names) for _ in range(2)] for _ in range(2))  # of a path, and of all paths one tag longer
+    beneath = [[0, 0, 0] for _ in page.parent]  # unlinked and linked code points, headings
+    for path, element, text, linked in page.blocks:
         n, p = len(text) - linked, len(_PUNCTUATION.findall(text)) if linked < len(text) else 0
-        for at in (("own", path), ("below", path[:-1])):
-            length[at] += n
-            marks[at] += p
-        for i in numbers:
-            held = beneath[i]
-            held[0] += n
-            held[1] += linked
-            held[2] += path[-1] in _HEADINGS
+        for i, at in enumerate((path, page.above[path])):
+            length[i][at] += n
+            marks[i][at] += p
+        held = beneath[element]
+        held[0] += n
+        held[1] += linked
+        held[2] += page.names[path] in _HEADINGS
+    for i in range(len(beneath) - 1, 0, -1):
+        up = beneath[page.parent[i]]
+        for j, x in enumerate(beneath[i]):
+            up[j] += x
 
-    def ratio(at: tuple) -> float:
-        return log1p(length[at]) * (1 + log1p(marks[at])) * (3 if "article" in at[1] else 2 if "main" in at[1] else 1)
+    def ratio(i: int, at: int) -> float:
+        inside = page.inside[at]
+        return log1p(length[i][at]) * (1 + log1p(marks[i][at])) * (3 if "article" in inside else 2 if "main" in inside else 1)
 
-    score = {path: (1 - smooth) * ratio(("own", path)) + smooth * ratio(("below", path[:-1])) for path in {f[0] for f in found}}
-    best = max(score.values(), default=0)
-    content = [linked < len(text) or "p" in path or "article" in path for path, text, linked, _ in found]
-    roots = {_root(path, numbers, beneath) for (path, _, _, numbers), yes in zip(found, content, strict=True) if yes and score[path] >= threshold * best}
-    return "\n".join(text for (_, text, _, numbers), yes in zip(found, content, strict=True) if yes and -1 in roots or not roots.isdisjoint(numbers))
+    score = {path: (1 - smooth) * ratio(0, path) + smooth * ratio(1, page.above[path]) for path in {x[0] for x in page.blocks}}
+    best, root_of = max(score.values(), default=0), page.roots(beneath)
+    content = [linked < len(text) or not page.inside[path].isdisjoint(("p", "article")) for path, _, text, linked in page.blocks]
+    roots = {root_of[x[1]] for x, yes in zip(page.blocks, content, strict=True) if yes and score[x[0]] >= threshold * best}
+    kept = [False]
+    for i in range(1, len(page.parent)):
+        kept.append(i in roots or kept[page.parent[i]])
+    return "\n".join(x[2] for x, yes in zip(page.blocks, content, strict=True) if yes and 0 in roots or kept[x[1]])
 
 
 def extract_pages(pages: DataFrame, threshold: float = 0.25) -> DataFrame:
     """Per page: page_id, url, text (empty if none), n_chars.
 
-    ``pages`` needs page_id, url and html; other columns are ignored. A null html counts as empty; broken or cut-off
-    markup is read as far as it goes. Repeated rows each get a row; an empty table gives an empty result.
+    ``pages`` needs page_id, url and html; other columns are ignored, whatever their names. A null html counts as empty;
+    broken or cut-off markup is read as far as it goes. Very long and deeply nested pages are read whole, in linear time.
+    Paths of equal ratio count alike. Repeated rows each get a row; an empty table gives an empty result.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -240,6 +241,49 @@ def test_html_main_text_outside_a_teaser_article():
     assert len(lines) == 61 and lines[0] == "Story"
 
 
+TEXT = "A sentence with words, and more of them. Another one follows; it ends here."
+PAGES = {
+    "plain": (f"<html><body><p>{TEXT}</p></body></html>", TEXT),
+    "quote": (f"<article><p>{TEXT}</p><blockquote><p>Short quote</p></blockquote><p>{TEXT}</p></article>", f"{TEXT}\nShort quote\n{TEXT}"),
+    "list": (f"<article><p>{TEXT}<ul><li>one<li>two</ul></article>", f"{TEXT}\none\ntwo"),
+    "table": (f"<article><p>{TEXT}</p><table><tr><td>a<td>b<tr><td>c</table></article>", f"{TEXT}\na\nb\nc"),
+    "caption": (f"<article><p>{TEXT}</p><figure><img src=x alt=y><figcaption>Fig. 1</figcaption></figure></article>", f"{TEXT}\nFig. 1"),
+    "stray quote": (f"<article><p data-x=it's>{TEXT}</p><p>It's so</p></article>", f"{TEXT}\nIt's so"),
+    "quoted bracket": (f"<article><p title='a > b' data-y=\"c > d\">{TEXT}</p></article>", TEXT),
+    "cut tag": (f"<article><p>{TEXT}</p><p title=\"a b", TEXT),
+    "open quote": (f"<article><p>{TEXT}</p><p title=\"a>One two.</p></article>", f"{TEXT}\nOne two."),
+    "references": ("<article><p>a&amp;b &lt;c&gt; &#233; &#x1F600; &nbsp; &unknown; &copy</p></article>", "a&b <c> é 😀 &unknown; ©"),
+    "white space": ("<article><p> one\n\ttwo <br> three&nbsp;four </p></article>", "one two three four"),
+    "inline": ("<article><p>wo<b>rd</b>s in <i>a <a href=x>link</a></i>.</p></article>", "words in a link."),
+    "regions": (f"<nav>menu</nav><header>top</header><div class='ad'>buy</div><div id=cookie-notice>ok</div><article><p>{TEXT}</p><form>name</form><div class=comments><article class=comment-body><p>nice, very nice. Yes.</p></article></div></article><aside>side</aside><footer>end</footer>", TEXT),
+    "scripts": (f"<article><script>if (a < b) document.write('<p>no</p>')</script><style>p > a {{}}</style><p>{TEXT}</p><!-- <p>no</p> --><noscript><p>no</p></noscript></article>", TEXT),
+    "comment article": (f"<article><p>{TEXT}</p></article><article class='comment'><p>{TEXT} Me too.</p></article>", TEXT),
+    "wrapper": (f"<div class='page with-sidebar'><div class=sidebar>side</div><main><h1>Title</h1><p>{TEXT}</p></main></div>", f"Title\n{TEXT}"),
+    "two articles": (f"<article><p>{TEXT}</p></article><article><p>Second. {TEXT}</p></article>", f"{TEXT}\nSecond. {TEXT}"),
+    "hidden": (f"<article><p>{TEXT}</p><p hidden>no</p><div style='display: none'>no</div><p aria-hidden=true>no</p></article>", TEXT),
+    "empty": ("<html><body></body></html>", ""),
+    "only menus": ("<nav><a href=x>a</a></nav><footer>b</footer>", ""),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_html_pages(name):
+    assert html_text.extract(PAGES[name][0]) == PAGES[name][1]
+
+
+def test_html_is_linear_in_depth_and_length():
+    def took(page):
+        at = time.perf_counter()
+        html_text.extract(page)
+        return time.perf_counter() - at
+
+    makes = (lambda n: "<div>" * n + "words, and more." + "</div>" * n, lambda n: "<div>x <b>y" * n, lambda n: "<article>" + "<p>words, and more.</p>" * n, lambda n: "<p title=\"" * n, lambda n: "<b>" * n + "<div>" + "</b>" * n)
+    for make in makes:
+        small, large = (min(took(make(n)) for _ in range(3)) for n in (10_000, 40_000))
+        assert large <= 8 * small + 0.05
+    assert html_text.extract("<div>" * 30_000 + "words") == "words"
+
+
 def check_fingerprints(df, rows):
     """Against brute force; rows: (doc_id, text) in order."""
     found = fingerprints.fingerprint(df).collect()
