@@ -1,10 +1,10 @@
 """Sharding by vector bin packing (operator 10).
 
 Equal texts form a group that stays in one shard. Groups are summed to items of three sizes (bytes, tokens, rows) by a
-hash of the text into a bounded number of buckets; a group too heavy for one bucket is an item of its own, and one too
-heavy to keep shards level is cut into parts. Items, whose number is bounded whatever the input, are placed largest
-first: among the shards whose bytes are still within the level, the one where the dot product of the item with the
-residual capacity is highest. Bytes are the law that holds; tokens and rows are balanced jointly as far as it allows.
+hash of the text into a bounded number of buckets; a group too heavy for one bucket, by bytes or by rows, is an item of its
+own, and one whose bytes are too many to keep shards level is cut into parts. Items, whose number is bounded whatever the
+input, are placed largest first: among the shards where an item fits by all three sizes, into the one where its dot
+product with the residual capacity is highest. Where it fits nowhere, bytes decide, as they are the law that holds.
 """
 
 from __future__ import annotations
@@ -14,23 +14,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routelens.llm.common import digest_columns
+from routelens.llm.common import digest_columns, materialize
 
-#: Buckets of ordinary groups, and the most parts of all bytes that make a group an item of its own.
+#: Buckets of ordinary groups, and the most parts of all bytes or rows that make a group an item of its own.
 BUCKETS, HEAVY_PARTS = 8192, 1024
+#: By how much of its share a shard may be overfilled by bytes, tokens and rows while items still fit.
+SLACK = (0.0002, 0.02, 0.02)
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each item (rows: bytes, tokens, rows). Bounded by the number of items, not by the corpus."""
-    total = items.sum(0).astype(float)
-    share = items / np.maximum(total, 1)
-    capacity = np.full((shards, items.shape[1]), 1 / shards)
+    share = items / np.maximum(items.sum(0).astype(float), 1)
+    capacity, least = np.full((shards, items.shape[1]), 1 / shards), -np.array(SLACK) / shards
     out = np.zeros(len(items), np.int64)
     for i in np.lexsort((np.arange(len(items)), -share.max(1))):
-        # bytes come first: only shards that are least filled, up to this item's own size
-        room = capacity[:, 0] >= capacity[:, 0].max() - share[i, 0] / 2 - 1e-15
-        score = np.where(room, capacity @ share[i] + 1e-9 * capacity[:, 0], -np.inf)
-        out[i] = int(np.argmax(score))
+        left = capacity - share[i]
+        fits = (left >= least).all(1)
+        if not fits.any():
+            fits = left[:, 0] >= least[0]
+        if not fits.any():
+            fits = capacity[:, 0] >= capacity[:, 0].max() - 1e-15
+        out[i] = int(np.argmax(np.where(fits, capacity @ share[i], -np.inf)))
         capacity[out[i]] -= share[i]
     return out
 
@@ -38,28 +42,32 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    ``docs`` needs doc_id and text; other columns are ignored. size is the UTF-8 bytes of the text (null: none) plus 1;
+    ``docs`` needs doc_id and text; other columns are ignored, whatever their names. size is the UTF-8 bytes of the text (null: none) plus 1;
     the law is ``bytes``, so grown_shard is null. Slots are gapless from 0 in each shard, in no particular order between
-    groups. Repeated rows get a slot each; an empty table gives an empty result. Null texts are one group of equal ones.
+    groups. Repeated rows get a slot each; an empty table gives an empty result. Null texts are one group of equal ones (size 1).
+    Groups of equal sizes are placed by their hash. Very long texts are items of their own. A null doc_id is kept.
+    A group of over 1/(4 * shards) of all bytes is cut, as shards can't be level otherwise; all others stay whole.
     """
-    from routelens.llm.common import materialize
-
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = digest_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.octet_length(text) + 1).cast("long").alias("size")))
     tokens = F.length("text") - F.length(F.translate("text", " \n\t", "")) + 1
-    rows = materialize(rows.select("doc_id", "size", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), "h1", "h2", tokens.cast("long").alias("tokens")), "sizes")
-    total = rows.agg(F.sum("size")).first()[0] or 1
-    heavy_bytes = max(1, total // HEAVY_PARTS)
-    groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    # fewer than HEAVY_PARTS groups can reach that share
-    heavy = groups.where(F.col("bytes") > heavy_bytes).select("h1", "h2", F.ceil(F.col("bytes") / F.lit(heavy_bytes)).cast("long").alias("parts"), (F.col("bytes") > total // (4 * shards)).alias("cut"))
-    rows = rows.join(F.broadcast(heavy), ["h1", "h2"], "left")
-    part = F.when(F.col("cut"), F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts"))).otherwise(F.lit(0).cast("long"))
+    spread = F.coalesce("doc_id", F.monotonically_increasing_id())
+    sized = materialize(rows.select("doc_id", "size", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), "h1", "h2", tokens.cast("long").alias("tokens"), spread.alias("spread")), "sizes")
+    total, count = sized.agg(F.coalesce(F.sum("size"), F.lit(1)), F.count("*")).first()
+    heavy_bytes, heavy_rows = max(1, total // HEAVY_PARTS), max(1, count // HEAVY_PARTS)
+    groups = sized.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    # fewer than 2 * HEAVY_PARTS groups can reach that share, and their parts are fewer than twice as many
+    parts = F.ceil(F.greatest(F.col("bytes") / F.lit(heavy_bytes), F.col("n") / F.lit(heavy_rows))).cast("long")
+    heavy = groups.where((F.col("bytes") > heavy_bytes) | (F.col("n") > heavy_rows)).select("h1", "h2", parts.alias("parts"), (F.col("bytes") > total // (4 * shards)).alias("cut"))
+    rows = sized.join(F.broadcast(heavy), ["h1", "h2"], "left")
+    # a cut group's parts are placed each; a whole group's go to one shard, and only their slots are counted apart
+    dealt = F.pmod(F.xxhash64("spread", F.lit("part")), F.greatest("parts", F.lit(1).cast("long")))
     item = F.when(F.col("parts").isNull(), F.pmod("h1", F.lit(BUCKETS).cast("long"))).otherwise(F.lit(BUCKETS).cast("long") + F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 40).cast("long")))
-    rows = rows.select("doc_id", "size", "text_crc32", "tokens", item.alias("item"), part.alias("part"), F.pmod(F.xxhash64("doc_id", "h2"), F.greatest("parts", F.lit(1).cast("long"))).alias("sub"))
+    none = F.lit(0).cast("long")
+    rows = rows.select("doc_id", "size", "text_crc32", "tokens", item.alias("item"), F.when(F.col("cut"), dealt).otherwise(none).alias("part"), F.when(F.col("cut"), none).otherwise(F.coalesce(dealt, none)).alias("sub"))
     sums = rows.groupBy("item", "part", "sub").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
-    got = sums.orderBy("item", "part", "sub").toArrow()  # at most BUCKETS + HEAVY_PARTS**2 / HEAVY_PARTS * 2 rows
+    got = sums.orderBy("item", "part", "sub").toArrow()  # at most BUCKETS + 4 * HEAVY_PARTS rows
     keys = np.stack([got[c].to_numpy() for c in ("item", "part", "sub")], 1)
     if not len(keys):
         return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")
