@@ -4,7 +4,8 @@
    documents (``most_labels`` rows, chosen by a hash of doc_id);
 2. sites: the share of likely good documents is summed per host (the source up to its first slash) and per path (host
    and language, or the next part of the source). A path's share is shrunk toward its host's, the host's toward the
-   global share, by strengths fitted to the spread between groups (method of moments), so sparse sites follow the prior;
+   global share, by strengths fitted to the spread between groups (method of moments, less sampling variance), so sparse sites follow
+   the prior;
 3. the score adds the site's log-odds against the global ones to the document's own log-odds.
 Sums are partial before their exchange, and a hot source costs one row a task.
 """
@@ -88,16 +89,28 @@ def expand(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
     return np.concatenate([z, z * z, np.ones((len(z), 1))], 1)
 
 
-def _shrunk(groups: DataFrame, prior: Column, strength: float) -> Column:
+def _shrunk(prior: Column, strength: float) -> Column:
     return (F.col("good") + strength * prior) / (F.col("n") + strength)
 
 
-def _strength(groups: DataFrame, low: float = 2.0, high: float = 1000.0) -> float:
-    """Beta prior strength by moments: p(1-p) / variance between groups - 1, within bounds; one group tells nothing."""
-    r = groups.agg(F.count("*").alias("k"), (F.sum("good") / F.sum("n")).alias("p"), F.var_pop(F.col("good") / F.col("n")).alias("v")).first()
-    if not r["k"] or r["k"] < 2 or not r["v"] or r["p"] is None:
+def _strength(groups: DataFrame, prior: str, within: int, low: float = 0.5, high: float = 1000.0) -> float:
+    """Beta prior strength by moments, less what sampling alone spreads; within bounds.
+
+    groups: good, n and the prior's share; within: number of priors fitted, each of which takes a degree of freedom. Squared
+    deviations weighted by n are expected to sum to (k - within) + rho * (N - sum(n**2) / N - (k - within)), in units of
+    prior * (1 - prior), where rho = 1 / (strength + 1). So sparse groups, which spread by chance, don't look spread out.
+    """
+    p = F.least(F.greatest(F.col(prior), F.lit(1e-6)), F.lit(1 - 1e-6))
+    spread = F.col("n") * F.pow(F.col("good") / F.col("n") - p, 2) / (p * (1 - p))
+    r = groups.agg(F.count("*").alias("k"), F.sum(spread).alias("s"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn")).first()
+    free = r["k"] - within
+    if free < 1:
+        return high
+    room = r["n"] - r["nn"] / r["n"] - free
+    if room <= 0:
         return high
-    return float(min(high, max(low, r["p"] * (1 - r["p"]) / r["v"] - 1)))
+    rho = (r["s"] - free) / room
+    return high if rho <= 1 / (high + 1) else float(max(low, 1 / min(rho, 1.0) - 1))
 
 
 def row_key() -> tuple[Column, Column]:
@@ -112,7 +125,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_la
     ``docs`` needs doc_id, text, source and lang; ``labels`` doc_id and quality (1 good, 0 bad); other columns are ignored.
     Null labels and labels of unknown documents are ignored; without both classes the evidence is neutral and all are
     kept. A null or empty text has neutral evidence. A null source or language is a site of its own. Repeated rows each
-    get a row; repeated labels count once, the least one. An empty table gives an empty result.
+    get a row; repeated labels count once, the least one. A score that ties with the threshold is kept. Very long texts are
+    measured whole. Other columns may have any names. An empty table gives an empty result.
     Site shares are broadcast up to ``most_sites`` rows and joined by exchange beyond. h1 and h2 are ``row_key`` of the row.
     """
     spark = docs.sparkSession
@@ -132,7 +146,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_la
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(list(f), pa.list_(pa.float64())), *b.columns[4:]], ["doc_id", "host", "path", "f", *more])
 
     measured = materialize(base.mapInArrow(measure, "doc_id long, host string, path string, f array<double>" + kinds), "style")
-    sample = measured.join(F.broadcast(chosen), "doc_id").select("f", "quality").limit(most_labels).toArrow()
+    sample = measured.join(F.broadcast(chosen), "doc_id")
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(most_labels).select("f", "quality").toArrow()
     y = sample["quality"].to_numpy().astype(float)
     x = np.array(sample["f"].combine_chunks().flatten(), float).reshape(-1, width)
     if len(y) and 0 < y.sum() < len(y):
@@ -154,8 +169,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_la
     whole = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     share = (whole["good"] or 0.0) / whole["n"] if whole["n"] else 0.5
     share = min(1 - 1e-6, max(1e-6, share))
-    hosts = hosts.select("host", _shrunk(hosts, F.lit(share), _strength(hosts)).alias("host_share"))
-    sites = paths.join(hosts, "host").select("path", _shrunk(paths, F.col("host_share"), _strength(paths)).alias("site_share"))
+    hosts = hosts.withColumn("prior", F.lit(share))
+    hosts = materialize(hosts.select("host", _shrunk(F.lit(share), _strength(hosts, "prior", 1)).alias("host_share")), "hosts")
+    paths = paths.join(hosts, "host")
+    sites = paths.select("path", _shrunk(F.col("host_share"), _strength(paths, "host_share", hosts.count())).alias("site_share"))
     sites = materialize(sites.groupBy("path").agg(F.max("site_share").alias("site_share")), "sites")
     if sites.count() <= most_sites:
         sites = F.broadcast(sites)
