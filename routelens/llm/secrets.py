@@ -5,7 +5,8 @@ encoding is inferred (hex, base32, base62, base64), and the symbols go through c
 below the middle, and serial correlation. A structured word fails them. Evidence that a run isn't text is the likelihood
 ratio between uniform symbols and the likelier of two models of text: letters by their shares, and words, numbers and
 names that rarely change between lower case, capitals and digits. Its inverse is a valid p-value at every length, so
-short runs need stronger evidence. Within a document the discoveries are chosen by Benjamini and Hochberg's rule over
+short runs need stronger evidence. The battery's three p-values are combined (Cauchy's rule), and a candidate's p-value is
+divided by the result: one that the battery finds less random needs more evidence by that factor. Within a document the discoveries are chosen by Benjamini and Hochberg's rule over
 all candidates, plain words too, which controls their false share; of overlapping ones that with most evidence stays.
 """
 
@@ -93,6 +94,18 @@ def battery(run: str, encoding: str) -> tuple[float, float, float]:
     return uniform, runs, serial
 
 
+def combined(p_values: tuple[float, ...]) -> float:
+    """One p-value of several that may depend on each other, by the mean of their Cauchy quantiles."""
+    t = sum(math.tan((0.5 - min(1 - 1e-12, max(1e-15, p))) * math.pi) for p in p_values) / len(p_values)
+    return max(1e-15, 0.5 - math.atan(t) / math.pi)
+
+
+def candidate_p_value(part: str, encoding: str) -> float:
+    """The bound on text's chance, over how well the part passes as uniform symbols; at least the former, so valid too."""
+    bound = text_p_value(part, encoding)
+    return min(1.0, bound / combined(battery(part, encoding))) if bound < 1 else 1.0
+
+
 def text_p_value(run: str, encoding: str) -> float:
     """Bound on the chance that text looks this random: the inverse likelihood ratio against uniform symbols.
 
@@ -114,8 +127,8 @@ def candidate_parts(run: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def random_spans(text: str, rate: float = 0.01, least: float = 0.001) -> list[tuple[int, int]]:
-    """Parts found random: the battery doesn't reject them at ``least``, and their text p-values pass at false rate ``rate``."""
+def random_spans(text: str, rate: float = 0.01) -> list[tuple[int, int]]:
+    """Parts found random: their p-values, by evidence against text and by the battery, pass at false rate ``rate``."""
     found, mixed = [], 0
     for m in _MIXED.finditer(text):
         mixed += 1
@@ -123,16 +136,16 @@ def random_spans(text: str, rate: float = 0.01, least: float = 0.001) -> list[tu
             part = m.group()[s:e]
             encoding = infer_encoding(part)
             if encoding:
-                found.append((text_p_value(part, encoding), -len(part), m.start() + s, m.start() + e, encoding))
+                found.append((candidate_p_value(part, encoding), -len(part), m.start() + s, m.start() + e))
     if not found:
         return []
     found.sort()
     tested = len(found) + len(_RUN.findall(text)) - mixed
     passed = max((i for i, f in enumerate(found, 1) if f[0] <= rate * i / tested), default=0)
     starts, ends = [], []  # of the spans that stay, in order; they don't overlap
-    for _, _, s, e, encoding in found[:passed]:
+    for _, _, s, e in found[:passed]:
         at = bisect_left(starts, s)
-        if (not at or ends[at - 1] <= s) and (at == len(starts) or e <= starts[at]) and min(battery(text[s:e], encoding)) >= least:
+        if (not at or ends[at - 1] <= s) and (at == len(starts) or e <= starts[at]):
             starts.insert(at, s)
             ends.insert(at, e)
     return list(zip(starts, ends, strict=True))
@@ -151,7 +164,14 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    return [("random", s, e) for s, e in random_spans(text) if not any(a < e and s < b for _, a, b in base)]
+    """Random spans that overlap no base span; both in order are walked once."""
+    out, taken, i, reach = [], sorted((s, e) for _, s, e in base), 0, -1
+    for s, e in random_spans(text):
+        while i < len(taken) and taken[i][0] < e:
+            reach, i = max(reach, taken[i][1]), i + 1
+        if reach <= s:
+            out.append(("random", s, e))
+    return out
 
 
 def join_spans(spans: list[tuple[str, int, int]]) -> str:
@@ -189,7 +209,9 @@ def scan_secrets(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans, and with ``with_text`` the found strings.
 
     ``docs`` needs doc_id and text; other columns are ignored. Spans are kind:start:end in code points. A null text counts
-    as empty: no spans, the digest of nothing. Repeated rows each get a row; an empty table gives an empty result.
+    as empty: no spans, the digest of nothing. Of overlapping random candidates that with most evidence stays, then the
+    longer, then the first. Very long texts are scanned whole. Repeated rows each get a row; an empty table gives an empty
+    result.
     """
     bounded_batches(docs.sparkSession)
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string" + (", found array<string>" if with_text else "")
