@@ -566,3 +566,27 @@ def test_pipeline_decides_per_row(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     got = {(x.doc_id, x.text) for x in corpus_pipeline.quality_filter(spark, df, str(tmp_path)).collect()}
     assert {(None, good[0]), (900, good[1])} <= got and not {(None, bad[0]), (900, bad[1])} & got
+
+
+def test_pipeline_stages_keep_columns_and_stand_edges(spark, tmp_path):
+    """Each stage over nulls, empty and repeated rows, and columns with the names that the operators use themselves."""
+    names = ["doc_id", "text", "source", "lang", "n_chars", "h1", "h2", "_text", "_node", "node", "row", "spans", "keep", "evidence", "component_id", "g", "rep"]
+    r = random.Random(18)
+    words = " ".join("".join(r.choices("abcdefghijklm", k=r.randint(2, 8))) for _ in range(80))
+    rows = [(1, words, "s", "en", len(words)), (2, words + " x", "s", "en", 3), (3, None, None, None, None), (4, "", "s", None, 0), (None, "call +1 988 555 2401 now", "s", "en", 24), (5, "mail a.b@c.org", None, "en", 14), (5, "mail a.b@c.org", None, "en", 14), (6, "word " * 30_000, "s", "en", 150_000)]
+    df = spark.createDataFrame([(*x, *(f"v{i}" for i in range(len(names) - 5))) for x in rows], ", ".join(f"{n} {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    spark.createDataFrame([(1, 1), (4, 0), (None, 1), (7, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, df, str(tmp_path))
+        empty = stage(spark, df.limit(0), str(tmp_path))
+        assert empty.count() == 0 and empty.columns == got.columns
+        if name == "packing":
+            assert {x.doc_id for x in got.collect()} == {1, 2, 3, 4, 5, 6, None}
+            continue
+        assert got.columns == names
+        got = got.collect()
+        assert all(x[i] == f"v{i - 5}" for x in got for i in range(5, len(names)))
+        if name == "near_duplicates":
+            assert collections.Counter(x.doc_id for x in got) == {1: 1, 3: 1, 4: 1, 5: 1, 6: 1, None: 1}
+        elif name == "personal_data":
+            assert collections.Counter((x.doc_id, x.text) for x in got if x.doc_id != 6) == collections.Counter([(1, words), (2, words + " x"), (3, None), (4, ""), (None, "call [PHONE] now"), (5, "mail [EMAIL]"), (5, "mail [EMAIL]")])
