@@ -8,7 +8,7 @@ a DataFrame, which is written as Parquet and read again as the next one's docs.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routelens.llm.common import bounded_batches, materialize, small_side
@@ -19,7 +19,11 @@ from routelens.llm.quality import classify, row_key
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality classifier keeps, each judged by its own text, source and language whatever its doc_id."""
+    """Rows that the quality classifier keeps, each judged by its own text, source and language whatever its doc_id.
+
+    Null and empty texts have neutral evidence, so their site decides; nulls in other columns change nothing. Repeated rows
+    fare alike. All columns stay, whatever their names. An empty table gives an empty result.
+    """
     bounded_batches(spark)
     rejected = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_key=True).where("not keep").select("h1", "h2").distinct()
     rejected = small_side(rejected, "rejected")
@@ -31,32 +35,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group that shares 80 % of its five-word shingles: that of smallest doc_id.
 
     Rows are nodes of their own by doc_id and text: null ids, and all texts but one of a doc_id that has several, get a
-    number above all ids (62 bits of a hash), so a group's row with an id of its own comes first. Of repeated rows one stays.
+    number above all ids (62 bits of a hash), so a group's row with an id of its own comes first. Of repeated rows the one
+    that is least as JSON stays. Texts without words link with nothing. All columns stay, whatever their names. An empty
+    table gives an empty result.
     """
-    h, own = F.xxhash64("text"), F.col("doc_id").cast("long")
-    repeated = docs.where("doc_id is not null").groupBy(own.alias("_doc_id")).agg(F.min(h).alias("_text"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    # the given row travels in one column, so no name of it can clash with those made here
+    rows = docs.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("own"), "text")
+    h = F.xxhash64("text")
+    repeated = rows.where("own is not null").groupBy(F.col("own").alias("again")).agg(F.min(h).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     repeated = small_side(repeated, "repeated")
-    above = F.lit(1 << 62) + F.pmod(F.xxhash64(F.lit("node"), F.col("doc_id"), F.col("text")), F.lit(1 << 62))
-    rows = docs.join(repeated, own == repeated["_doc_id"], "left")
-    rows = rows.withColumns({"_node": F.when(own.isNull() | (h != F.col("_text")), above).otherwise(own), "_again": own.isNull() | F.col("_doc_id").isNotNull()})
-    found = jaccard_components(rows.select(F.col("_node").alias("doc_id"), "text"), k=5, num=4, den=5)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = small_side(gone, "gone")
-    kept = rows.join(gone, rows["_node"] == gone["_gone"], "left_anti")
-    if not rows.where("_again").limit(1).count():
-        return kept.select(docs.columns)
-    order = Window.partitionBy("_node").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), "doc_id")
-    once = kept.where("_again").withColumn("_place", F.row_number().over(order)).where("_place = 1")
-    return kept.where("not _again").select(docs.columns).unionByName(once.select(docs.columns))
+    above = F.lit(1 << 62) + F.pmod(F.xxhash64(F.lit("node"), F.col("own"), F.col("text")), F.lit(1 << 62))
+    rows = rows.join(repeated, rows["own"] == repeated["again"], "left")
+    rows = rows.select("row", "text", F.when(F.col("own").isNull() | (h != F.col("least")), above).otherwise(F.col("own")).alias("node"), (F.col("own").isNull() | F.col("again").isNotNull()).alias("several"))
+    found = jaccard_components(rows.select(F.col("node").alias("doc_id"), "text"), k=5, num=4, den=5)
+    gone = small_side(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    kept = rows.join(gone, rows["node"] == gone["gone"], "left_anti").select("row", "node", "several")
+    if rows.where("several").limit(1).count():
+        once = kept.where("several").groupBy("node").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+        kept = kept.where("not several").select("row").unionByName(once)
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with personal data masked by its kind."""
+    """Every document, with personal data masked by its kind; null and empty texts and all other columns stay as they are."""
     return mask_pii(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 ids and their places in sequences."""
+    """Pieces of at most 2048 ids and their places in sequences. A null or empty text is its end id alone; repeated rows and
+    null ids are packed each; an empty table gives an empty result."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
