@@ -55,7 +55,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     ),
     "gap_topk": f"select slug, {r(_PCT)} as pct_gap from score_pairs where e is not null and g is not null order by {_PCT} desc, slug limit 20",
     "gap_bottomk": f"select slug, {r(_PCT)} as pct_gap from score_pairs where e is not null and g is not null order by {_PCT}, slug limit 20",
-    "threshold_sweep": f"select t.threshold, count(case when {_PCT} <= t.threshold then 1 end) as n, {r(f'100.0 * count(case when {_PCT} <= t.threshold then 1 end) / count(*)')} as pct from score_pairs cross join (values (5), (10), (15), (20), (30), (50)) as t(threshold) where e is not null and g is not null group by t.threshold",
+    "threshold_sweep": f"select t.threshold, count(case when {_PCT} <= t.threshold then 1 end) as n, {r(f'cast(100 as double) * count(case when {_PCT} <= t.threshold then 1 end) / count(*)')} as pct from score_pairs cross join (values (5), (10), (15), (20), (30), (50)) as t(threshold) where e is not null and g is not null group by t.threshold",
     "missing_rate_by_strategy": f"select count(*) as total, count(case when p.e is null then 1 end) as missing_edit, count(case when p.g is null then 1 end) as missing_gen, {r('count(case when p.e is null then 1 end) / cast(count(*) as double)')} as missing_rate_edit, {r('count(case when p.g is null then 1 end) / cast(count(*) as double)')} as missing_rate_gen from assignments a left join score_pairs p on p.slug = a.slug",
     # clusters
     "cluster_sizes": _SIZES,
@@ -63,7 +63,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "cluster_metrics": f"select a.cluster_id, s.strategy, count(s.value) as n, {r('avg(s.value)')} as mean, {r('median(s.value)')} as median, {r('stddev_pop(s.value)')} as std0, {r('min(s.value)')} as low, {r('max(s.value)')} as high from assignments a join scores s on s.slug = a.slug group by a.cluster_id, s.strategy",
     "cluster_deltas": f"select a.cluster_id, count(*) as n, {r('avg(p.e - p.g)')} as mean_delta, {r('median(p.e - p.g)')} as median_delta from assignments a join score_pairs p on p.slug = a.slug where p.e is not null and p.g is not null group by a.cluster_id",
     "cluster_purity": f"select cluster_id, total, edit_count, gen_count, {r('greatest(edit_count, gen_count) / cast(total as double)')} as purity, {r('edit_count / cast(total as double)')} as edit_ratio, case when edit_count > gen_count then 'edit' else 'gen' end as majority from ({_PURITY}) p",
-    "purity_summary": f"select count(*) as clusters, {r('avg(purity)')} as mean, {r('median(purity)')} as median, {r('min(purity)')} as low, {r('max(purity)')} as high, {r('stddev_pop(purity)')} as std0, {r('sum(purity * total) / sum(total)')} as weighted, {r('1 - sum(purity * total) / sum(total)')} as misclassified, {r('avg(case when purity >= 0.9 then 1.0 else 0.0 end)')} as share90, {r('avg(case when purity < 0.6 then 1.0 else 0.0 end)')} as share_below60 from (select total, greatest(edit_count, gen_count) / cast(total as double) as purity from ({_PURITY}) p) q",
+    "purity_summary": f"select count(*) as clusters, {r('avg(purity)')} as mean, {r('median(purity)')} as median, {r('min(purity)')} as low, {r('max(purity)')} as high, {r('stddev_pop(purity)')} as std0, {r('sum(purity * total) / sum(total)')} as weighted, {r('1 - sum(purity * total) / sum(total)')} as misclassified, {r('avg(case when purity >= 0.9 then cast(1 as double) else cast(0 as double) end)')} as share90, {r('avg(case when purity < 0.6 then cast(1 as double) else cast(0 as double) end)')} as share_below60 from (select total, greatest(edit_count, gen_count) / cast(total as double) as purity from ({_PURITY}) p) q",
     "balanced_clusters": f"select cluster_id, n, small, {r('small / cast(n as double)')} as share from (select a.cluster_id, count(*) as n, count(case when {_PCT.replace('e -', 'p.e -').replace(' g)', ' p.g)').replace('least(e, g)', 'least(p.e, p.g)')} <= 20 then 1 end) as small from assignments a join score_pairs p on p.slug = a.slug where p.e is not null and p.g is not null group by a.cluster_id) t where small >= 0.2 * n",
     "outlier_merge_single": f"select a.slug, case when z.size <= 45 then -1 else a.cluster_id end as cluster_id from assignments a join ({_SIZES}) z on z.cluster_id = a.cluster_id",
     "adaptive_reps": f"select cluster_id, size, least(greatest(3, cast(floor(size / 3.0) as int)), 7) as reps from ({_SIZES}) s",
@@ -99,7 +99,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     # agreement, sets
     "preference_transitions": "select p1 as first_pref, p2 as second_pref, count(*) as n from (select slug, case when avg(case when strategy = 'edit' then value end) < avg(case when strategy = 'gen' then value end) then 'edit' else 'gen' end as p1, case when median(case when strategy = 'edit' then value end) < median(case when strategy = 'gen' then value end) then 'edit' else 'gen' end as p2 from samples group by slug having count(distinct strategy) = 2) t group by p1, p2",
     "overlap_sets": "select count(case when a and b then 1 end) as both_sets, count(case when a and not b then 1 end) as only_first, count(case when b and not a then 1 end) as only_second from (select slug, max(strategy = 'edit' and value < 25) as a, max(strategy = 'gen' and value < 25) as b from samples group by slug) t",
-    "jaccard": f"select {r('sum(case when a and b then 1.0 else 0.0 end) / sum(case when a or b then 1.0 else 0.0 end)')} as jaccard from (select slug, max(strategy = 'edit' and value < 25) as a, max(strategy = 'gen' and value < 25) as b from samples group by slug) t",
+    "jaccard": f"select {r('sum(case when a and b then cast(1 as double) else cast(0 as double) end) / sum(case when a or b then cast(1 as double) else cast(0 as double) end)')} as jaccard from (select slug, max(strategy = 'edit' and value < 25) as a, max(strategy = 'gen' and value < 25) as b from samples group by slug) t",
     "f1_strategies": f"select tp, fp, fn, {r('tp / cast(tp + fp as double)')} as prec, {r('tp / cast(tp + fn as double)')} as recall, {r('2.0 * tp / (2.0 * tp + fp + fn)')} as f1 from (select count(case when chosen = 'edit' and best = 'edit' then 1 end) as tp, count(case when chosen = 'edit' and best = 'gen' then 1 end) as fp, count(case when chosen = 'gen' and best = 'edit' then 1 end) as fn from routed) t",
     "set_intersect": "select user_id as slug from events where event_type = 'click' intersect select user_id as slug from events where event_type = 'view'",
     "set_except": "select o_custkey as slug from orders where o_orderstatus = 'F' except select o_custkey as slug from orders where o_orderstatus = 'P'",
@@ -111,7 +111,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "first_success": "select slug, min(case when reward then attempt end) as first_attempt from attempts group by slug",
     "outcome_quadrants": "select click_fixed, view_fixed, count(*) as n from (select user_id, max(case when event_type = 'click' and value > 90 then 1 else 0 end) as click_fixed, max(case when event_type = 'view' and value > 90 then 1 else 0 end) as view_fixed from events group by user_id) t group by click_fixed, view_fixed",
     "first_n_per_group": "select p_brand, p_name, rn from (select p_brand, p_name, p_partkey, row_number() over (partition by p_brand order by p_name, p_partkey) as rn from part) t where rn <= 3",
-    "natural_order": "select s_suppkey, row_number() over (order by lower(substring(s_name, 1, 8)), s_suppkey) as place from supplier",
+    "natural_order": "select s_suppkey, lower(split_part(s_name, '#', 1)) as project, cast(split_part(s_name, '#', 2) as int) as number from supplier order by project, number, s_suppkey",
     "dedup_last_wins": f"select user_id, event_type, {r('value')} as value from (select *, row_number() over (partition by user_id, event_type order by event_id desc) as rn from events) t where rn = 1",
     # experiment grid
     "dim_aggregates_grouping_sets": f"select view_name, algorithm, k, {r('avg(win_rate)')} as mean, count(*) as n from grid group by grouping sets ((view_name), (algorithm), (k))",
@@ -132,7 +132,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     # budgets, labels, summaries
     "level_budgets": f"select cluster_id, size, least(4, 1 + cast(floor(size / 25.0) as int)) as level_0, case when size <= 25 then 1 else 2 end as level_1, 1 as level_2 from ({_SIZES}) s",
     "balance_label": f"select {r('cv')} as cv, case when cv < 0.3 then 'very balanced' when cv < 0.5 then 'balanced' when cv < 1.0 then 'uneven' else 'very uneven' end as label from (select stddev_pop(size) / avg(size) as cv from ({_SIZES}) s) t",
-    "cluster_gap_analysis": f"select cluster_id, count(*) as n, {r('avg(pct)')} as mean_pct, {r('avg(case when edit then 1.0 else 0.0 end)')} as vote_ratio, {r('avg(case when pct <= 5 then 1.0 else 0.0 end)')} as share_5, {r('avg(case when pct <= 20 then 1.0 else 0.0 end)')} as share_20, cast(floor(least(avg(pct), 99.0) / 10) * 10 as int) as band from (select a.cluster_id, p.e < p.g as edit, abs(p.e - p.g) / least(p.e, p.g) * 100 as pct from assignments a join score_pairs p on p.slug = a.slug where p.e is not null and p.g is not null) t group by cluster_id",
+    "cluster_gap_analysis": f"select cluster_id, count(*) as n, {r('avg(pct)')} as mean_pct, {r('avg(case when edit then cast(1 as double) else cast(0 as double) end)')} as vote_ratio, {r('avg(case when pct <= 5 then cast(1 as double) else cast(0 as double) end)')} as share_5, {r('avg(case when pct <= 20 then cast(1 as double) else cast(0 as double) end)')} as share_20, cast(floor(least(avg(pct), 99.0) / 10) * 10 as int) as band from (select a.cluster_id, p.e < p.g as edit, abs(p.e - p.g) / least(p.e, p.g) * 100 as pct from assignments a join score_pairs p on p.slug = a.slug where p.e is not null and p.g is not null) t group by cluster_id",
     "transition_statistics": "select first_pref, second_pref, count(*) as n, " + r("avg(pct)") + " as mean_pct, " + r("median(pct)") + " as median_pct, count(case when pct < 5 then 1 end) as below_5, count(case when pct >= 20 then 1 end) as from_20 from (select case when e < g then 'edit' else 'gen' end as first_pref, case when em < gm then 'edit' else 'gen' end as second_pref, abs(e - g) / least(e, g) * 100 as pct from (select slug, avg(case when strategy = 'edit' then value end) as e, avg(case when strategy = 'gen' then value end) as g, median(case when strategy = 'edit' then value end) as em, median(case when strategy = 'gen' then value end) as gm from samples group by slug having count(distinct strategy) = 2) t) u group by first_pref, second_pref",
     "purity_histogram": f"select case when purity >= 0.9 then '0.9' when purity >= 0.8 then '0.8' when purity >= 0.7 then '0.7' when purity >= 0.6 then '0.6' else 'below' end as band, count(*) as clusters, sum(total) as slugs from (select total, greatest(edit_count, gen_count) / cast(total as double) as purity from ({_PURITY}) p) q group by 1",
     "rowwise_argmin": "select slug, case when e is null and g is null then null when g is null or e <= g then 'edit' else 'gen' end as best from score_pairs",
@@ -147,7 +147,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "best_worst_config": f"(select 'best' as kind, view_name, algorithm, k, {r('avg(win_rate)')} as mean from grid group by view_name, algorithm, k order by round(avg(win_rate), 9) desc, view_name, algorithm, k limit 1) union all (select 'worst' as kind, view_name, algorithm, k, {r('avg(win_rate)')} as mean from grid group by view_name, algorithm, k order by round(avg(win_rate), 9), view_name, algorithm, k limit 1)",
     "reps_sensitivity": f"select g.k, {r('avg(g.win_rate)')} as mean, count(*) as n from grid g join (select view_name, algorithm from grid group by view_name, algorithm order by round(avg(win_rate), 9) desc, view_name, algorithm limit 1) b on b.view_name = g.view_name and b.algorithm = g.algorithm group by g.k",
     "normalization_summary": "select q.quality, count(t.grade) as n from (values ('high'), ('medium'), ('low'), ('failed')) as q(quality) left join (select case when quality = 1 and toxic = 0 then 'high' when quality = 1 then 'medium' else 'low' end as grade from labels) t on t.grade = q.quality group by q.quality",
-    "pass_at_k_by_language": f"select lang, count(*) as slugs, {r('avg(first)')} as pass_1, {r('avg(three)')} as pass_3 from (select lang, source, max(case when rn = 1 then ok else 0.0 end) as first, max(case when rn <= 3 then ok else 0.0 end) as three from (select d.lang, d.source, cast(l.quality as double) as ok, row_number() over (partition by d.lang, d.source order by d.doc_id) as rn from documents d join labels l on l.doc_id = d.doc_id) t group by lang, source) u group by lang",
+    "pass_at_k_by_language": f"select lang, count(*) as slugs, {r('avg(first)')} as pass_1, {r('avg(three)')} as pass_3 from (select lang, source, max(case when rn = 1 then ok else cast(0 as double) end) as first, max(case when rn <= 3 then ok else cast(0 as double) end) as three from (select d.lang, d.source, cast(l.quality as double) as ok, row_number() over (partition by d.lang, d.source order by d.doc_id) as rn from documents d join labels l on l.doc_id = d.doc_id) t group by lang, source) u group by lang",
     "round_robin_fill": "select cluster_id, rank, slug from representatives order by rank, cluster_id limit 25",
     "level_analysis": f"select cluster_id % 2 as level, min(size) as smallest, max(size) as largest, {r('avg(size)')} as mean from ({_SIZES}) s group by cluster_id % 2",
     "slug_counts_per_cluster": "select cluster_id, project, n from (select *, row_number() over (partition by cluster_id order by n desc, project) as rn from (select a.cluster_id, d.source as project, count(*) as n from assignments a join documents d on d.doc_id = a.slug group by a.cluster_id, d.source) t) u where rn <= 10",
@@ -157,7 +157,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     ),
     "range_filter": "select p_partkey, p_brand from part where p_brand like 'Brand#%' and p_size between 10 and 20",
     "combination_count": "select count(distinct view_name) * count(distinct algorithm) * count(distinct k) as n from grid",
-    "throughput": f"select run_ts, count(*) as done, {r('avg(ppl)')} as mean, {r('86400.0 / count(*)')} as seconds_each from runs group by run_ts",
+    "throughput": f"select run_ts, count(*) as done, {r('avg(ppl)')} as mean, {r('cast(86400 as double) / count(*)')} as seconds_each from runs group by run_ts",
     # vectors
     "centroid_by_label": f"select label, pos, {r('c')} as c from centroids",
     "medoid_by_label": f"select label, vec_id, {r('near')} as near from (select *, row_number() over (partition by label order by near desc, vec_id) as rn from closeness) t where rn = 1",
