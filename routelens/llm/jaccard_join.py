@@ -408,7 +408,7 @@ def _grouped_links(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return rows.select("g", "g2", "rep", "text").repartition("g", "g2").sortWithinPartitions("g", "g2").mapInArrow(solve, "rep long, root long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, most_docs: int = 1024, most_shingles: int = 1_000_000, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, most_docs: int = 4096, most_shingles: int = 2_000_000, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles (set size), component_id (smallest doc_id reachable by links).
 
     ``docs`` needs doc_id and text; other columns are ignored, whatever their names. Two documents link when
@@ -440,7 +440,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     found = materialize(_grouped_links(_join_texts(texts, fitting.where("fits").select("rep", F.col("component").alias("g"), F.lit(0).cast("long").alias("g2")), "fitting"), k, num, den), "found")
     large = materialize(fitting.where("not fits").select("rep"), "large")
     if large.limit(1).count():
-        meets = met.join(large.hint("merge"), "rep")
+        meets = materialize(met.join(large.hint("merge"), "rep"), "meets")
         # two deals into blocks, so that what is dense gets connected across blocks too
         one, two = (meets.groupBy("rep").agg(least("t").alias("t"), F.first("n").alias("n")) for least in (F.min, F.max))
         first = materialize(_in_blocks(one, most_docs, most_shingles, 1).unionByName(_in_blocks(two, most_docs, most_shingles, 2)), "first").select("rep", "g", "g2").distinct()
