@@ -11,10 +11,12 @@ Plan, for documents of any number:
    left is a sparse graph, and its connected components are the candidate groups;
 4. whole texts are sent once to their candidate group, where a trie over the ordered prefixes is traversed: documents
    below a node share its overlap, and subtrees are pruned by their remaining length. Survivors get an exact check;
-5. a candidate group beyond ``most_docs`` or ``most_shingles`` isn't put in one task: its documents go to blocks by their
-   first and by their last shared shingle, and the trie works in each.
+5. a candidate group beyond ``most_docs`` or ``most_shingles`` isn't put in one task: its documents are dealt to blocks in
+   two ways, and the trie works in each. They meet as one group while its blocks are fewer than its documents' prefix
+   shingles on average, and shingle by shingle beyond (blocks by their first and by their last shared shingle), so texts
+   are copied at most in proportion to the prefix shingles. Both ways are exact.
 Blocks (in 3 and 5) are first linked within themselves, which connects what is dense at a linear cost. Then, for each
-shingle whose documents aren't in one component by now, those outside its largest one meet all others in pairs of blocks.
+shingle or group whose documents aren't in one component by now, those outside its largest one meet all others in pairs of blocks.
 So every two documents that share a prefix shingle are compared or connected already. Nothing is capped, and no filter can
 reject a link. Links inside a group only need to keep it connected, so pairs that are connected already aren't checked again.
 """
@@ -275,7 +277,7 @@ def _blocks(c: str, w: str, docs: int, shingles: int) -> Column:
 def _in_blocks(met: DataFrame, docs: int, shingles: int, deal: int = 1) -> DataFrame:
     """met (t, rep, n) with the number of blocks of each t, and (g, g2) of the row's own one in that deal."""
     sums = met.groupBy("t").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where("c > 1").select("t", _blocks("c", "w", docs, shingles).alias("blocks"))
-    own = F.pmod(F.xxhash64("rep", "t", F.lit(deal)), F.col("blocks"))
+    own = F.pmod(F.xxhash64("rep", "t", F.lit(deal)), F.col("blocks")) + F.lit(deal << 40)  # the deals' blocks stay apart
     return met.join(sums.hint("merge"), "t").select("t", "rep", "n", "blocks", F.col("t").alias("g"), own.alias("g2"))
 
 
@@ -435,12 +437,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     release(dealt)
     groups = materialize(unique.groupBy("rep").agg(F.max("n").alias("n")).join(likely.withColumnRenamed("node", "rep"), "rep"), "groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    fitting = groups.join(sizes.select("component", F.expr(f"docs <= {most_docs} and shingles <= {most_shingles}").alias("fits")), "component")
+    # copies of a whole group in pairs of blocks, against its prefix shingles: the cheaper way for what fits no task
+    by_group = _blocks("docs", "shingles", most_docs, most_shingles) * F.col("docs") <= F.col("shingles") * (den - num) / den + F.col("docs")
+    fitting = groups.join(sizes.select("component", F.expr(f"docs <= {most_docs} and shingles <= {most_shingles}").alias("fits"), by_group.alias("by_group")), "component")
     texts = docs.withColumnRenamed("doc_id", "rep")
     found = materialize(_grouped_links(_join_texts(texts, fitting.where("fits").select("rep", F.col("component").alias("g"), F.lit(0).cast("long").alias("g2")), "fitting"), k, num, den), "found")
-    large = materialize(fitting.where("not fits").select("rep"), "large")
+    large = materialize(fitting.where("not fits").select(F.col("component").alias("t"), "rep", "n", "by_group"), "large")
     if large.limit(1).count():
-        meets = materialize(met.join(large.hint("merge"), "rep"), "meets")
+        by_shingle = met.join(large.where("not by_group").select("rep").hint("merge"), "rep").select("t", "rep", "n")
+        meets = materialize(large.where("by_group").select("t", "rep", "n").unionByName(by_shingle), "meets")
         # two deals into blocks, so that what is dense gets connected across blocks too
         one, two = (meets.groupBy("rep").agg(least("t").alias("t"), F.first("n").alias("n")) for least in (F.min, F.max))
         first = materialize(_in_blocks(one, most_docs, most_shingles, 1).unionByName(_in_blocks(two, most_docs, most_shingles, 2)), "first").select("rep", "g", "g2").distinct()

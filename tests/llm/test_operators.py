@@ -73,19 +73,37 @@ def test_jaccard(spark, corpus, k, num, den, most, block):
     assert got == components(corpus, k, num, den)
 
 
-def test_jaccard_of_a_large_group_in_blocks(spark):
-    """20,000 near copies of one text: groups beyond every bound, and documents just under the threshold beside them."""
+@pytest.mark.parametrize("copies", [3_000, 20_000])  # as one group in three blocks; shingle by shingle
+def test_jaccard_of_a_large_group_in_blocks(spark, copies):
+    """Near copies of one text: groups beyond every bound, and documents just under the threshold beside them."""
     r = random.Random(9)
     base = ["".join(r.choices("abcdefgh", k=6)) for _ in range(60)]
-    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(20_000)]  # two of them share 58 of 60 shingles
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(copies)]  # two of them share 58 of 60 shingles
     apart = [" ".join([*base[:30], f"x{i}", *base[30:], f"y{i}"]) for i in range(40)]  # 56 of 64 with those above: under 9/10
     twins = [x + " z" for x in apart[:10]]
     rows += list(enumerate([*apart, *twins], 50_000))
     got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()}
-    assert all(got[i] == 0 for i in range(20_000))
+    assert all(got[i] == 0 for i in range(copies))
     assert {i: got[50_000 + i] for i in range(50)} == {i: 50_000 + i % 40 for i in range(50)}
 
 
+@pytest.mark.parametrize("most", [40, 110, 10_000])
+def test_jaccard_of_a_group_that_links_in_part(spark, most):
+    """Texts of one candidate group, few of them alike enough: blocks leave most of it over, and no link may get lost."""
+    r = random.Random(4)
+    base = ["".join(r.choices("abcdefgh", k=6)) for _ in range(150)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in r.sample(range(150), r.choice([1, 2, 3, 4, 5])):
+            words[at] = f"w{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    expected = components(rows, 3, 9, 10)
+    assert 1 < len({c for _, c in expected.values()}) < 300
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10, most_docs=most, block=most)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == expected
+
+
 def test_sketches_never_reject_a_link():
     r, any_rejected = np.random.default_rng(3), False
     for num, den in ((9, 10), (4, 5)):
