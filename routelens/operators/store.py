@@ -1,48 +1,44 @@
-"""Vector store: a folder of Parquet files by vector, with add, get, similar, rebuild and statistics."""
+"""Vector store: Parquet files by version under a commit log, with add, get, similar, index search, rebuild and statistics."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "id string, folder string, embedding array<double>, metadata map<string,string>, version long"
+from routelens.operators.ivf import IVFIndex
+from routelens.operators.versioned import VersionedTable
 
+SCHEMA = "id string, folder string, embedding array<double>, metadata map<string,string>"
 
-class VectorStore:
-    """Vectors under string ids. A later version of an id replaces earlier ones; rows are only ever appended.
 
-    ``path`` must be a folder that the driver and all executors share.
-    """
+class VectorStore:
+    """Vectors under string ids, as a ``VersionedTable``: a later version of an id replaces earlier ones, several writers may
+    add at a time, and rows are only ever appended. ``path`` must be a folder that the driver and all executors share."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.table = VersionedTable(spark, self.path, SCHEMA, ("id",))
+        self.index: IVFIndex | None = None
 
-    def _rows(self) -> DataFrame:
-        jvm, path = self.spark._jvm, self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(SCHEMA).parquet(self.path) if there and jvm else self.spark.createDataFrame([], SCHEMA)
-
-    def add(self, rows: DataFrame) -> None:
-        """Append id and embedding, with folder and metadata where given. Null and empty vectors, and those with null or
-        non-finite components, are left out; of rows that repeat an id in one call one stays."""
+    def add(self, rows: DataFrame) -> int:
+        """Append id and embedding, with folder and metadata where given, and return the version. Null and empty vectors, and
+        those with null or non-finite components, are left out; of rows that repeat an id in one call one stays."""
         has = lambda c, kind: F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind)
         fine = F.col("id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        version = (self._rows().agg(F.max("version")).first()[0] or 0) + 1
         new = rows.select(F.col("id").cast("string").alias("id"), has("folder", "string").alias("folder"), F.col("embedding").cast("array<double>").alias("embedding"), has("metadata", "map<string,string>").alias("metadata")).where(fine)
-        new = new.groupBy("id").agg(F.min_by(F.struct("folder", "embedding", "metadata"), "embedding").alias("x")).select("id", "x.*", F.lit(version).cast("long").alias("version"))
-        new.write.mode("append").parquet(self.path)
+        new = new.groupBy("id").agg(F.min_by(F.struct("folder", "embedding", "metadata"), "embedding").alias("x")).select("id", "x.*")
+        return self.table.append(new)
 
     def vectors(self) -> DataFrame:
-        """id, folder, embedding, metadata: the latest version of each."""
-        latest = F.max_by(F.struct("folder", "embedding", "metadata"), "version")
-        return self._rows().groupBy("id").agg(latest.alias("x")).select("id", "x.*")
+        """id, folder, embedding, metadata: the latest version of each id."""
+        return self.table.latest()
 
     def get(self, ids: list[str]) -> DataFrame:
         return self.vectors().where(F.col("id").isin(*ids) if ids else F.lit(False))
 
     def similar(self, query: list[float], k: int = 10, metric: str = "cosine") -> DataFrame:
-        """The k nearest: id, dist, by cosine distance, squared Euclidean distance (l2) or negative inner product (ip); ties
-        go to the smaller id. Vectors of another length take no part; zero vectors are at cosine distance 1."""
+        """The k nearest by a scan: id, dist, by cosine distance, squared Euclidean distance (l2) or negative inner product
+        (ip); ties go to the smaller id. Vectors of another length take no part; zero vectors are at cosine distance 1."""
         given = F.array(*(F.lit(float(x)) for x in query))
         total = lambda column: F.aggregate(column, F.lit(0.0), lambda s, x: s + x)
         dot = total(F.zip_with("embedding", given, lambda x, y: x * y))
@@ -57,10 +53,30 @@ class VectorStore:
             return self.spark.createDataFrame([], "id string, dist double")
         return self.similar(found[0], k + 1, metric).where(F.col("id") != id).limit(k)
 
+    def build_index(self, kind: str = "ivf_pq", metric: str = "cosine", **options) -> IVFIndex:
+        """Index the present vectors beside the store, in a folder of the last version, and search by it from now on."""
+        last = max(self.table.versions(), default=0)
+        self.index = IVFIndex.build(self.vectors(), f"{self.path}/index/{last}-{kind}-{metric}", kind, metric, **options)
+        return self.index
+
+    def open_index(self, kind: str = "ivf_pq", metric: str = "cosine") -> IVFIndex:
+        """The index that was built last, of whatever version."""
+        found = max(int(x.split("-")[0]) for x in self.table.names("index") if x.endswith(f"-{kind}-{metric}"))
+        self.index = IVFIndex(self.spark, f"{self.path}/index/{found}-{kind}-{metric}")
+        return self.index
+
+    def search(self, queries: DataFrame, k: int = 10, **options) -> DataFrame:
+        """Per query its k nearest by the index: query_id, rank, id, dist (see ``IVFIndex.search``). Vectors added after the
+        index was built aren't found until it is built again."""
+        return (self.index or self.open_index()).search(queries, k, **options)
+
     def rebuild(self, path: str) -> "VectorStore":
-        """A store at ``path`` with the latest versions alone, dealt by id."""
-        self.vectors().withColumn("version", F.lit(1).cast("long")).repartition("id").write.mode("errorifexists").parquet(path)
-        return VectorStore(self.spark, path)
+        """A store at ``path`` with the latest versions alone, as its first version, dealt by id."""
+        store = VectorStore(self.spark, path)
+        if store.table.names("log"):
+            raise ValueError("the folder holds a store already")
+        store.table.append(self.vectors().repartition("id"))
+        return store
 
     def statistics(self) -> DataFrame:
         """folder, vectors, dims (largest length)."""

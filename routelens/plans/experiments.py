@@ -82,5 +82,4 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "project_level_summary": "select project, count(*) as vectors, count(distinct cluster_id) as clusters, max(case when rn = 1 then cluster_id end) as top_cluster, max(case when rn = 1 then n end) as top_n from (select d.source as project, a.cluster_id, c.n, c.rn from assignments a join documents d on d.doc_id = a.slug join (select project, cluster_id, n, row_number() over (partition by project order by n desc, cluster_id) as rn from (select d.source as project, a.cluster_id, count(*) as n from assignments a join documents d on d.doc_id = a.slug group by d.source, a.cluster_id) x) c on c.project = d.source and c.cluster_id = a.cluster_id) t group by project",
     "text_size_statistics": f"select source, lang, count(*) as n, min(n_chars) as smallest, max(n_chars) as largest, {r('avg(n_chars)')} as mean, {r('median(n_chars)')} as median from documents group by source, lang",
     "extreme_texts": "select lang, doc_id, kind from (select lang, doc_id, 'largest' as kind, row_number() over (partition by lang order by n_chars desc, doc_id) as rn from documents union all select lang, doc_id, 'smallest' as kind, row_number() over (partition by lang order by n_chars, doc_id) as rn from documents) t where rn = 1",
-    "block_counts": "select doc_id, blocks, fences, case when blocks = fences then 1 else 0 end as equal_counts from (select doc_id, (length(text) - length(replace(text, 'the', ''))) / 3 as blocks, (length(text) - length(replace(text, 'and', ''))) / 3 as fences from (select doc_id, text from documents) d) t",
 }
