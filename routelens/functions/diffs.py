@@ -5,6 +5,8 @@ A null argument gives null unless a docstring says otherwise. Lines are split at
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def _lines(c: Column) -> Column:
     return F.split(c, "\n", -1)
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row; within a lambda an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _first(c: Column, test) -> Column:
     """Place of the first line that passes, from 1; null for none."""
     return F.nullif(F.array_position(F.transform(c, test), True), F.lit(0))
@@ -41,61 +48,70 @@ def join_cut_lines(code: Column) -> Column:
     A line is cut if it has over 75 characters, ends with none of ; , { } ) ] : and the next one is neither blank, deeper nor
     begins with {. A cut line takes the next one whole, which can't be cut itself then.
     """
-    lines = _lines(code)
     bare = lambda x: F.regexp_replace(x, r"\s+$", "")
     indent = lambda x: F.length(F.regexp_extract(x, r"^(\s*)", 1))
 
-    def cut(x: Column, i: Column) -> Column:
-        line, after = bare(x), F.get(lines, i + 1)
-        goes_on = after.rlike(r"^\s*[^\s{]") & (indent(after) <= indent(x))
-        return F.when((F.length(line) > CUT_LENGTH) & ~F.substring(line, -1, 1).isin(*LINE_ENDS) & F.coalesce(goes_on, F.lit(False)), "1").otherwise("0")
+    def cut(line: Column, after: Column) -> Column:
+        goes_on = after.rlike(r"^\s*[^\s{]") & (indent(after) <= indent(line))
+        long = (F.length(bare(line)) > CUT_LENGTH) & ~F.substring(bare(line), -1, 1).isin(*LINE_ENDS)
+        return F.when(long & F.coalesce(goes_on, F.lit(False)), "1").otherwise("0")
+
+    def joined(pairs: Column) -> Column:
+        # from the left, each cut line (J) takes its next one (S): a pattern over one letter a line does the fold
+        marks = F.split(F.regexp_replace(F.array_join(F.transform(pairs, lambda p: cut(p["line"], p["after"])), ""), "1.", "JS"), "")
+        text = lambda p, mark: F.when(mark == "J", F.concat(bare(p["line"]), F.regexp_replace(p["after"], r"^\s+", ""))).when(mark != "S", p["line"])
+        return F.array_join(F.zip_with(pairs, F.slice(marks, F.lit(1), F.size(pairs)), text), "\n")
 
-    # from the left, each cut line (J) takes its next one (S): a pattern over one letter a line does the fold
-    marks = F.split(F.regexp_replace(F.array_join(F.transform(lines, cut), ""), "1.", "JS"), "")
-    joined = F.transform(lines, lambda x, i: F.when(F.get(marks, i) == "J", F.concat(bare(x), F.regexp_replace(F.get(lines, i + 1), r"^\s+", ""))).when(F.get(marks, i) == "S", None).otherwise(x))
-    return F.when(code.isNotNull(), F.array_join(joined, "\n"))
+    pairs = lambda lines: F.zip_with(lines, F.slice(lines, F.lit(2), F.size(lines)), lambda x, y: F.struct(x.alias("line"), y.alias("after")))
+    return F.when(code.isNotNull(), _with(_with(_lines(code), pairs), joined))
 
 
 def adjust_indent(original: Column, new: Column) -> Column:
     """``new`` shifted so that its first line that isn't blank is indented as that of ``original``. Blank lines, and lines
     that have too few spaces to lose, stay as they are."""
     spaces = lambda c: F.coalesce(F.length(F.regexp_extract(F.get(F.filter(_lines(c), lambda x: x.rlike(r"\S")), F.lit(0)), "^( *)", 1)), F.lit(0))
-    shift = spaces(original) - spaces(new)
 
-    def moved(x: Column) -> Column:
+    def moved(x: Column, shift: Column) -> Column:
         less = F.repeat(F.lit(" "), -shift)
         return F.when(~x.rlike(r"\S") | (shift == 0), x).when(shift > 0, F.concat(F.repeat(F.lit(" "), shift), x)).when(F.startswith(x, less), F.substring(x, 1 - shift, F.length(x))).otherwise(x)
 
-    return F.array_join(F.transform(_lines(new), moved), "\n")
+    return _with(spaces(original) - spaces(new), lambda shift: F.array_join(F.transform(_lines(new), lambda x: moved(x, shift)), "\n"))
 
 
 def diff_error(patch: Column) -> Column:
     """The first thing that makes a unified diff malformed, or null: empty, from (no --- line), to (no +++), hunk (no @@), order
     (of those), then header, number (a start below 1) or prefix, with the line after a colon. A null patch is empty."""
-    lines = _lines(patch)
-    source, target, hunk = _first(lines, lambda x: x.startswith("---")), _first(lines, lambda x: x.startswith("+++")), _first(lines, lambda x: x.startswith("@@"))
     full, short = r"^@@ -(\d+),(\d+) \+(\d+),(\d+) @@", r"^@@ -(\d+) \+(\d+) @@"
-    heads = F.filter(lines, lambda x: x.startswith("@@"))
     start = lambda x, side: F.regexp_extract(x, rf"^@@ .*?\{side}(\d+)", 1).cast("long")
     of = lambda x: F.when(~x.rlike(full) & ~x.rlike(short), F.concat(F.lit("header: "), x)).when((start(x, "-") < 1) | (start(x, "+") < 1), F.concat(F.lit("number: "), x))
-    wrong = F.get(F.filter(F.transform(heads, of), lambda x: x.isNotNull()), F.lit(0))
-    odd = F.get(F.filter(F.slice(lines, F.coalesce(hunk, F.lit(1)).cast("int"), F.size(lines)), lambda x: (x != "") & ~x.startswith("@@") & ~x.rlike(r"^[ +\\-]")), F.lit(0))
-    blank = F.coalesce(~patch.rlike(r"\S"), F.lit(True))
-    ordered = (source < target) & (target < hunk)
-    return F.when(blank, "empty").when(source.isNull(), "from").when(target.isNull(), "to").when(hunk.isNull(), "hunk").when(~ordered, "order").when(wrong.isNotNull(), wrong).when(odd.isNotNull(), F.concat(F.lit("prefix: "), odd))
+    first = lambda found: F.get(found, F.lit(0))
+
+    def error(lines: Column) -> Column:
+        source, target, hunk = _first(lines, lambda x: x.startswith("---")), _first(lines, lambda x: x.startswith("+++")), _first(lines, lambda x: x.startswith("@@"))
+        wrong = first(F.filter(F.transform(F.filter(lines, lambda x: x.startswith("@@")), of), lambda x: x.isNotNull()))
+        odd = first(F.filter(F.slice(lines, F.coalesce(hunk, F.lit(1)).cast("int"), F.size(lines)), lambda x: (x != "") & ~x.startswith("@@") & ~x.rlike(r"^[ +\\-]")))
+        out = F.when(source.isNull(), "from").when(target.isNull(), "to").when(hunk.isNull(), "hunk").when(~((source < target) & (target < hunk)), "order")
+        return out.when(wrong.isNotNull(), wrong).when(odd.isNotNull(), F.concat(F.lit("prefix: "), odd))
+
+    return F.when(F.coalesce(~patch.rlike(r"\S"), F.lit(True)), "empty").otherwise(_with(_lines(patch), error))
 
 
 def hunk_bodies(patch: Column) -> Column:
     """array<struct<header, lines>>: each hunk up to the next header, or to a line that begins with diff or Index:."""
-    lines = _lines(patch)
-    heads = F.filter(F.transform(lines, lambda x, i: F.when(x.startswith("@@"), i)), lambda i: i.isNotNull())
 
-    def body(at: Column, j: Column) -> Column:
-        whole = F.slice(lines, at + 2, F.coalesce(F.get(heads, j + 1), F.size(lines)) - at - 1)
+    def bodies(lines: Column) -> Column:
+        heads = F.filter(F.transform(lines, lambda x, i: F.when(x.startswith("@@"), i)), lambda i: i.isNotNull())
+        return _with(heads, lambda heads: F.zip_with(heads, F.slice(heads, F.lit(2), F.size(heads)), lambda at, end: body(lines, at, end)))
+
+    def body(lines: Column, at: Column, end: Column) -> Column:
+        whole = F.slice(lines, at + 2, F.coalesce(end, F.size(lines)) - at - 1)
+        return F.struct(F.get(lines, at).alias("header"), _with(whole, upto).alias("lines"))
+
+    def upto(whole: Column) -> Column:
         end = _first(whole, lambda x: x.rlike("^(diff|Index:)"))
-        return F.struct(F.get(lines, at).alias("header"), F.slice(whole, 1, F.coalesce(end.cast("int") - 1, F.size(whole))).alias("lines"))
+        return F.slice(whole, F.lit(1), F.coalesce(end.cast("int") - 1, F.size(whole)))
 
-    return F.transform(heads, body)
+    return F.when(patch.isNotNull(), _with(_lines(patch), bodies))
 
 
 def hunks(patch: Column) -> Column:
@@ -134,13 +150,13 @@ def hunk_count_errors(patch: Column) -> Column:
 def reversal_error(original: Column, reverse: Column) -> Column:
     """The first thing in which ``reverse`` doesn't undo ``original``: hunks, or additions, deletions or context with the hunk's
     number (from 0) after a colon; null if it does."""
-    a, b = hunks(original), hunks(reverse)
+    of = lambda x, y: F.when(x["deletions"] != y["additions"], "additions").when(x["additions"] != y["deletions"], "deletions").when(x["context"] != y["context"], "context")
 
-    def of(x: Column, i: Column) -> Column:
-        y, said = F.get(b, i), lambda what: F.concat(F.lit(f"{what}: "), i.cast("string"))
-        return F.when(x["deletions"] != y["additions"], said("additions")).when(x["additions"] != y["deletions"], said("deletions")).when(x["context"] != y["context"], said("context"))
+    def first(sides: Column) -> Column:
+        said = F.transform(F.zip_with(sides["a"], sides["b"], of), lambda what, i: F.concat(what, F.lit(": "), i.cast("string")))
+        return F.when(F.size(sides["a"]) != F.size(sides["b"]), "hunks").otherwise(F.get(F.filter(said, lambda x: x.isNotNull()), F.lit(0)))
 
-    return F.when(F.size(a) != F.size(b), "hunks").otherwise(F.get(F.filter(F.transform(a, of), lambda x: x.isNotNull()), F.lit(0)))
+    return _with(F.struct(hunks(original).alias("a"), hunks(reverse).alias("b")), first)
 
 
 def misplaced_deletions(patch: Column) -> Column:

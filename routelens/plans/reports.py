@@ -165,14 +165,6 @@ QUERIES: dict[str, str | tuple[str, str]] = {
         f"select vec_id, {r('sqrt(aggregate(embedding, cast(0 as double), (s, x) -> s + cast(x as double) * x))')} as norm from embeddings where embedding is not null",
         f"select vec_id, {r('sqrt(sum(x * x))')} as norm from dims group by vec_id",
     ),
-    "knn_exact": (
-        f"select vec_id, {r('dist')} as dist from (select vec_id, {_ARRAY_DIST.format('embedding', 'v')} as dist from (select vec_id, embedding, (select max(cast(embedding as array<double>)) from embeddings where vec_id = 0) as v from embeddings) q) t where dist is not null order by round(dist, 9), vec_id limit 10",
-        f"select vec_id, {r('dist')} as dist from (select b.vec_id, sum((b.x - a.x) * (b.x - a.x)) as dist from dims a join dims b on b.pos = a.pos where a.vec_id = 0 group by b.vec_id) t order by round(dist, 9), vec_id limit 10",
-    ),
-    "batch_knn": (
-        f"select query_id, vec_id, place, {r('dist')} as dist from (select *, row_number() over (partition by query_id order by round(dist, 9), vec_id) as place from (select q.vec_id as query_id, b.vec_id, {_ARRAY_DIST.format('b.embedding', 'q.v')} as dist from embeddings b lateral view explode((select collect_list(struct(vec_id, cast(embedding as array<double>) as v)) from embeddings where vec_id < 10)) e as q) t where dist is not null) u where place <= 5",
-        f"select query_id, vec_id, place, {r('dist')} as dist from (select *, row_number() over (partition by query_id order by round(dist, 9), vec_id) as place from (select a.vec_id as query_id, b.vec_id, sum((b.x - a.x) * (b.x - a.x)) as dist from dims a join dims b on b.pos = a.pos where a.vec_id < 10 group by a.vec_id, b.vec_id) t) u where place <= 5",
-    ),
     "farthest_first_r2": (
         f"select label, vec_id, {r('dist')} as dist from (select *, row_number() over (partition by label order by round(dist, 9) desc, vec_id) as rn from (select d.label, d.vec_id, {_ARRAY_DIST.format('d.embedding', 'm.v')} as dist from embeddings d join (select label, cast(embedding as array<double>) as v from embeddings where vec_id in (select vec_id from (select vec_id, row_number() over (partition by label order by near desc, vec_id) as rn from closeness) t where rn = 1)) m on m.label = d.label) p where dist is not null) q where rn = 1",
         f"with pair as (select m.label, d.vec_id, sum((d.x - e.x) * (d.x - e.x)) as dist from (select label, vec_id from (select *, row_number() over (partition by label order by near desc, vec_id) as rn from closeness) t where rn = 1) m join dims e on e.vec_id = m.vec_id join dims d on d.label = m.label and d.pos = e.pos group by m.label, d.vec_id) select label, vec_id, {r('dist')} as dist from (select *, row_number() over (partition by label order by round(dist, 9) desc, vec_id) as rn from pair) t where rn = 1",

@@ -40,17 +40,20 @@ def is_valid(files: DataFrame) -> bool:
 
 
 def read_attempts(spark: SparkSession, root: str) -> DataFrame:
-    """slug, attempt, output, query and result (JSON text) of the complete attempts; broken result files give a null reward.
+    """slug, attempt, output, query, result (JSON text) and reward of the complete attempts.
 
-    Files are read whole, one row each, and met by a grouped maximum: one exchange.
+    The reward is whether the result says true or 1; a result that isn't a JSON object gives null. Only files of the required
+    names are opened, whole, one row each, and they meet by a grouped maximum: one exchange. Names come from the same listing
+    as in ``list_files``, so any character in a slug does. Bytes that aren't UTF-8 become replacement characters.
     """
-    files = list_files(spark, root)
-    text = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    complete = list_attempts(list_files(spark, root)).where("complete").select("slug", "attempt")
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(REQUIRED) + "}").load(root)
     parts = F.split("path", "/")
-    text = text.select(F.element_at(parts, -3).alias("slug"), F.element_at(parts, -2).alias("attempt"), F.element_at(parts, -1).alias("name"), "value")
-    text = text.where(F.col("name").isin(*REQUIRED) & F.col("attempt").rlike("^[0-9]{1,9}$")).withColumn("attempt", F.col("attempt").cast("int"))
+    at = lambda i: F.element_at(parts, i)
+    text = held.where(F.size(parts) > 3).select(at(-3).alias("slug"), at(-2).alias("attempt"), at(-1).alias("name"), F.decode("content", "UTF-8").alias("value"))
+    text = text.where(F.col("attempt").rlike("^[0-9]{1,9}$")).withColumn("attempt", F.col("attempt").cast("int"))
     of = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
     read = text.groupBy("slug", "attempt").agg(of(REQUIRED[0]).alias("output"), of(REQUIRED[1]).alias("query"), of(REQUIRED[2]).alias("result"))
-    complete = list_attempts(files).where("complete").select("slug", "attempt")
-    reward = F.get_json_object("result", "$.reward").cast("string").eqNullSafe("true") | (F.try_to_number(F.get_json_object("result", "$.reward"), F.lit("9")) == 1)
-    return read.join(complete, ["slug", "attempt"]).withColumn("reward", F.coalesce(reward, F.lit(False)))
+    said = F.get_json_object("result", "$.reward")
+    reward = F.coalesce((said == "true") | (said.try_cast("double") == 1), said == "true", F.lit(False))
+    return read.join(complete, ["slug", "attempt"]).withColumn("reward", F.when(F.from_json("result", "map<string,string>").isNotNull(), reward))

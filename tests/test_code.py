@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,3 +226,13 @@ def test_evaluation_store(spark, tmp_path):
     assert sorted(map(tuple, evaluation.reason_counts(store.results()).collect())) == [("x", 2), ("y", 1)]
     store.clear()
     assert tuple(store.summary().first()) == (0, 0)
+
+
+def test_long_patches_are_linear(spark):
+    """20,000 lines in 5,000 hunks: what is computed a row isn't computed for each line or hunk again."""
+    patch = "--- a\n+++ b\n" + "\n".join("@@ -1,2 +1,2 @@\n x\n-a\n+b" for _ in range(5000))
+    begun = time.time()
+    assert column(spark, F.concat_ws("/", D.diff_error(F.col("c0")), F.size(D.hunk_count_errors(F.col("c0"))), D.misplaced_deletions(F.col("c0")), D.reversal_error(F.col("c0"), F.col("c0"))), [patch]) == ["0/0/additions: 0"]
+    code = "\n".join("x" * 80 for _ in range(20_000))
+    assert column(spark, F.length(D.join_cut_lines(F.col("c0"))), [code]) == [80 * 20_000 + 9_999]
+    assert time.time() - begun < 60

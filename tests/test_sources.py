@@ -24,6 +24,17 @@ def test_attempt_folders(spark, tmp_path):
     assert got["Lang_1", 1].reward and not got["Math_7", 10].reward
 
 
+def test_attempts_of_any_name_and_reward(spark, tmp_path):
+    rewards = {"My Chart_2": '{"reward": 1.0}', "a%20b_3": '{"reward": "true"}', "é_4": '{"reward": 1}', "x_5": '{"reward": 0}', "y_6": "broken", "z_7": "{}", "w_8": '{"reward": null}'}
+    for slug, text in rewards.items():
+        (tmp_path / slug / "1").mkdir(parents=True)
+        for f in (*attempts.REQUIRED, "other.bin"):
+            (tmp_path / slug / "1" / f).write_text(text if f.endswith("json") else f"{slug} {f}")
+    got = {x.slug: x for x in attempts.read_attempts(spark, str(tmp_path)).collect()}
+    assert {k: v.reward for k, v in got.items()} == {"My Chart_2": True, "a%20b_3": True, "é_4": True, "x_5": False, "y_6": None, "z_7": False, "w_8": False}
+    assert all(v.output == f"{k} model_output.txt" and v.query == f"{k} query.txt" and v.result == rewards[k] for k, v in got.items())
+
+
 def test_vector_store(spark, tmp_path):
     r = np.random.default_rng(1)
     centres = np.zeros((3, 32))
@@ -44,5 +55,5 @@ def test_vector_store(spark, tmp_path):
     near = store.similar_to("v05", 19).collect()
     assert len(near) == 19 and all(int(y.id[1:]) < 20 and y.id != "v05" for y in near) and store.similar_to("gone").count() == 0
     again = store.rebuild(f"{tmp_path}/again")
-    assert sorted(map(str, again.vectors().collect())) == sorted(map(str, store.vectors().collect())) and again._rows().count() == 60
+    assert sorted(map(str, again.vectors().collect())) == sorted(map(str, store.vectors().collect())) and again.table.rows().count() == 60
     assert {(y.folder, y.vectors, y.dims) for y in again.statistics().collect()} == {("moved", 1, 32), ("f0", 19, 32), ("f1", 20, 32), ("f2", 20, 32)}
