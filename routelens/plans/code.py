@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routelens.adapters import read_table, view
+from routelens.adapters import read_table, view, with_views
 from routelens.functions import chunks, java
 from routelens.functions import diffs as D
 from routelens.functions import patches as P
 from routelens.functions import text as T
-from routelens.operators import ivf, layout, methods, normalize
+from routelens.operators import grid, ivf, layout, methods, normalize
 from routelens.operators.shared import new_folder
 from routelens.sources import evaluation
 
@@ -205,7 +205,23 @@ def ivf_flat_search(spark: SparkSession, d: str) -> DataFrame:
     return _index_search(spark, d, "ivf_flat")
 
 
+def _grid(spark: SparkSession, d: str, algorithms: list[str], samplers: list[str], reps: list[int]) -> DataFrame:
+    got = grid.run_grid(read_table(spark, d, "embeddings"), view(spark, d, "score_pairs"), algorithms, [5, 10], samplers, reps, ["majority", "mean_score"])
+    return got.select("algorithm", "k", "sampler", "reps", "voting", "clusters", "total", "wins", *(F.round(c, 6).alias(c) for c in ("win_rate", "mean_score", "oracle_score")))
+
+
+def experiment_grid_given(spark: SparkSession, d: str) -> DataFrame:
+    """The grid over the labels as the clustering, with one and two farthest-first representatives."""
+    return _grid(spark, d, ["given"], ["farthest_first"], [1, 2])
+
+
+def experiment_grid_fitted(spark: SparkSession, d: str) -> DataFrame:
+    """The grid over fitted clusterings and both samplers."""
+    return _grid(spark, d, ["kmeans", "bisecting", "hierarchical"], ["farthest_first", "kdpp"], [1, 3])
+
+
 _ALL = (
+    experiment_grid_given, experiment_grid_fitted,
     java_method_ranges, java_methods_located, method_ranges_by_text, edits_matched_to_functions, source_file_search, patches_normalized, diff_verdicts, patch_verifications, cut_lines_joined, chunks_halved, edits_applied_in_order,
     edit_checks, block_counts, tree_positions, evaluation_stored, ivf_pq_search, ivf_flat_search,
 )
@@ -252,5 +268,16 @@ kids as (select parent, count(*) as n from p where parent is not null group by p
 depth as (select node, 0 as depth from p where parent is null union all select p.node, depth.depth + 1 from p join depth on p.parent = depth.node),
 up as (select node as leaf, node, parent, cast(1 as double) as w from p where node in (select node from leaf) union all select up.leaf, p.node, p.parent, up.w / kids.n from up join kids on kids.parent = up.parent join p on p.node = up.parent)
 select up.node, cast(min(depth.depth) as int) as depth, round(sum(w * leaf.x), 6) as x from up join leaf on leaf.node = up.leaf join depth on depth.node = up.node group by up.node""",
+        "experiment_grid_given": with_views("""with unit as (select vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x))) as n from embeddings where embedding is not null),
+u as (select vec_id, label, unnest(range(len(embedding))) as pos, unnest(embedding) / n as x from unit), mid as (select label, pos, avg(x) as c from u group by label, pos),
+one as (select label, vec_id from (select label, vec_id, row_number() over (partition by label order by round(near, 9) desc, vec_id) as rn from (select u.label, u.vec_id, sum(u.x * mid.c) as near from u join mid on mid.label = u.label and mid.pos = u.pos group by u.label, u.vec_id)) where rn = 1),
+two as (select label, vec_id from (select label, vec_id, row_number() over (partition by label order by round(far, 9) desc, vec_id) as rn from (select b.label, b.vec_id, 1 - sum(a.x * b.x) as far from one join u a on a.vec_id = one.vec_id join u b on b.label = one.label and b.pos = a.pos and b.vec_id <> one.vec_id group by b.label, b.vec_id)) where rn = 1),
+reps as (select 1 as reps, label, vec_id from one union all select 2, label, vec_id from one union all select 2, label, vec_id from two),
+vote as (select reps, label, count(case when p.e <= p.g or p.e is not null and p.g is null then 1 end) as ev, count(case when p.g < p.e or p.g is not null and p.e is null then 1 end) as gv, round(avg(p.e), 9) as me, round(avg(p.g), 9) as mg from reps left join score_pairs p on p.slug = reps.vec_id group by reps, label),
+means as (select *, case when me is not null and (mg is null or me <= mg) then 'edit' when mg is not null then 'gen' else 'edit' end as by_mean from vote),
+choice as (select reps, label, 'majority' as voting, case when ev > gv then 'edit' when gv > ev then 'gen' else by_mean end as chosen from means union all select reps, label, 'mean_score', by_mean from means),
+item as (select a.label, p.e, p.g from embeddings a join score_pairs p on p.slug = a.vec_id where p.e is not null and p.g is not null and a.embedding is not null)
+select 'given' as algorithm, cast(0 as int) as k, 'farthest_first' as sampler, cast(reps as int) as reps, voting, count(distinct c.label) as clusters, count(i.e) as total, count(case when chosen = case when i.e <= i.g then 'edit' else 'gen' end then i.e end) as wins,
+  round(count(case when chosen = case when i.e <= i.g then 'edit' else 'gen' end then i.e end) / count(i.e), 6) as win_rate, round(sum(case when chosen = 'edit' then i.e else i.g end) / count(i.e), 6) as mean_score, round(sum(least(i.e, i.g)) / count(i.e), 6) as oracle_score from choice c left join item i on i.label = c.label group by reps, voting""", duck=True),
         "evaluation_stored": "with r as (select user_id, count(*) as total, min(case when event_type = 'purchase' then 1 end) as won, user_id % 2 = 0 as edit, (user_id % 10) / 4 + case when user_id % 2 = 0 then 0 else 1 end as seconds from events group by user_id) select count(*) as bugs, count(won) as fixed, count(*) - count(won) as failed, count(case when edit then won end) as edit_fixed, count(case when not edit then won end) as rewrite_fixed, round(count(won) / count(*), 6) as share, round(count(case when edit then won end) / count(case when edit then 1 end), 6) as edit_share, cast(sum(total) as bigint) as attempts, round(sum(total) / count(*), 6) as mean_attempts, round(sum(seconds), 6) as seconds from r",
     }

@@ -184,3 +184,36 @@ def test_stream_runs_to_the_end_and_goes_on(spark, tmp_path):
     ingest.run_available(ingest.daily_means(ingest.score_stream(spark, src)), out, at)
     got = {(r.window.start.day, r.value, r.n) for r in spark.read.parquet(out).collect()}
     assert {(1, 2.0, 2), (9, 9.0, 1)} <= got
+
+
+def test_grid_cells_by_hand(spark):
+    """Votes and metrics of every cell again in Python, from the clusterings and samples that the grid's steps give."""
+    from routelens.operators import grid
+
+    r = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, r.normal(size=6).tolist(), int(i % 4)) for i in range(90)] + [(900, None, 1)], "vec_id long, embedding array<double>, label int")
+    score = {i: (None if i % 7 == 0 else float(r.random()), None if i % 11 == 0 else float(r.random())) for i in range(80)}
+    scores = spark.createDataFrame([(i, e, g) for i, (e, g) in score.items()], "slug long, e double, g double")
+    settings = (["given", "kmeans", "hierarchical"], [4], ["farthest_first", "kdpp"], [1, 3], ["majority", "mean_score"])
+    got = {tuple(x[c] for c in grid.CELL): x for x in grid.run_grid(v, scores, *settings).collect()}
+    assigned = grid.clusterings(v.where("embedding is not null"), settings[0], settings[1])
+    picked = grid.samples(v.where("embedding is not null"), assigned, settings[2], 3).collect()
+    assigned = assigned.collect()
+    assert len(got) == 3 * 2 * 2 * 2 and len({x["cell_key"] for x in got.values()}) == 24
+    mean = lambda xs: sum(xs) / len(xs) if xs else None
+    for (algorithm, k, sampler, reps, voting), cell in got.items():
+        mine = [x for x in assigned if (x["algorithm"], x["k"]) == (algorithm, k)]
+        chosen = {}
+        for c in {x["cluster_id"] for x in mine}:
+            votes = [score.get(x["id"], (None, None)) for x in picked if (x["algorithm"], x["k"], x["sampler"], x["cluster_id"]) == (algorithm, k, sampler, c) and x["rank"] <= reps]
+            assert 1 <= len(votes) <= reps
+            edit, gen = sum(e is not None and (g is None or e <= g) for e, g in votes), sum(g is not None and (e is None or g < e) for e, g in votes)
+            me, mg = mean([e for e, _ in votes if e is not None]), mean([g for _, g in votes if g is not None])
+            by_mean = "edit" if me is not None and (mg is None or me <= mg) or mg is None else "gen"
+            chosen[c] = by_mean if voting == "mean_score" or edit == gen else "edit" if edit > gen else "gen"
+        items = [(chosen[x["cluster_id"]], *score[x["id"]]) for x in mine if x["id"] in score and None not in score[x["id"]]]
+        wins = sum(c == ("edit" if e <= g else "gen") for c, e, g in items)
+        assert (cell["clusters"], cell["total"], cell["wins"]) == (len(chosen), len(items), wins)
+        assert abs(cell["mean_score"] - mean([e if c == "edit" else g for c, e, g in items])) < 1e-9 and abs(cell["win_rate"] - wins / len(items)) < 1e-9
+    cells = grid.run_grid(v, scores, ["given"], [4], ["kdpp"], [1], ["majority"])
+    assert grid.remaining_cells(cells, cells.limit(0)).count() == 1 and grid.remaining_cells(cells, cells).count() == 0
