@@ -35,25 +35,33 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，、！？；：]")
 #: Elements by kind.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_DROPPED = frozenset("nav footer aside form button select option input fieldset dialog menu head object canvas audio video map".split())
+_DROPPED = frozenset("nav footer aside button select option input menu head object canvas audio video map".split())
+_FORMS = frozenset("form fieldset dialog".split())
 _NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner cookie cookies consent gdpr notice notices alert sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond discussion disqus share sharing social related recommended promo promotion sponsor sponsored newsletter subscribe subscription popup modal overlay toolbar pagination pager skip widget login signup search".split())
 _NOISY_ARTICLE = frozenset("ad ads advert advertisement comment comments promo related recommended sponsored teaser".split())
 _LAYOUT = frozenset("banner header menu menus modal nav navbar navigation overlay sidebar toolbar widget".split())
+_COMMENTS = frozenset("comment comments commentlist respond discussion disqus".split())
+_PLAIN = frozenset("area articles bar block body bottom box btn buttons container content count footer form global group header holder icon icons inner item items left link links list message module outer page panel post posts primary right secondary section site slot stories text title tools top unit wrap wrapper".split())
+_COMMENTS = frozenset("comment comments commentlist respond discussion disqus".split())
+_PLAIN = frozenset("area articles bar block body bottom box btn buttons container content count footer form global group header holder icon icons inner item items left link links list message module outer page panel post posts primary right secondary section site slot stories text title tools top unit wrap wrapper".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _CLOSES = {"p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())}
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption ul ol dl table thead tbody tfoot figure".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_RUNNING = ("p", "li", "dd", "td", "blockquote", "pre", *sorted(_HEADINGS))
+_RUNNING = ("p", "li", "dd", "td", "blockquote", "pre", *sorted(_HEADINGS))
 _SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
 def _noise(name: str, attributes: str, inside_article: bool) -> str:
-    """Why an element doesn't count: "mark" (its kind or what it says about itself), "layout" (a class or id with a layout
-    word, which a wrapper of the whole page may have too), or "" where it counts."""
+    """What speaks against an element: "drop" (its kind, its role or being hidden), or a mark to be weighed against its text:
+    "comment", "mark" or "layout" (a name of class or id made of noise words and plain ones; a form is marked as well), "weak"
+    (a noise word in a name that says something else, such as has-sidebar or related-work), or "" for nothing."""
     if name in _DROPPED or name == "header" and not inside_article:
-        return "mark"
+        return "drop"
+    why = "mark" if name in _FORMS else ""
     if not attributes or attributes.isspace():
-        return ""
-    why = ""
+        return why
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (values[0] or values[1] or values[2]).lower()
         if key in ("class", "id"):
@@ -61,12 +69,16 @@ def _noise(name: str, attributes: str, inside_article: bool) -> str:
                 if any(x in _NOISY_ARTICLE or x.startswith("comment-") for x in value.split()):
                     return "mark"
             elif name not in ("html", "body", "main"):
-                words = set(_WORD.findall(value))
-                found = (words & _NOISE) | (words & {"header"} if not inside_article else set())
-                if found:
-                    why = "layout" if found <= _LAYOUT and why != "mark" else "mark"
+                for token in value.split():
+                    words = set(_WORD.findall(token))
+                    found = (words & _NOISE) | (words & {"header"} if not inside_article else set())
+                    if not found:
+                        continue
+                    strong = all(x in _NOISE or x in _PLAIN or x.isdigit() for x in words)
+                    kind = "weak" if not strong else "comment" if found & _COMMENTS else "layout" if found <= _LAYOUT else "mark"
+                    why = max(why, kind, key=("", "weak", "layout", "mark", "comment").index)
         elif key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return "mark"
+            return "drop"
     return why
 
 
@@ -80,12 +92,12 @@ class _Page:
 
     def __init__(self, html: str):
         self.blocks: list[tuple[int, int, str, int]] = []
-        self.parent, self.path_of = [0], [0]
+        self.parent, self.path_of, self.mark = [0], [0], [""]
         self.names, self.above, self.inside = [""], [0], [frozenset()]
         self._paths: dict[tuple[int, str], int] = {}
         self._read(html)
 
-    def _open(self, parent: int, name: str) -> int:
+    def _open(self, parent: int, name: str, mark: str) -> int:
         at = self.path_of[parent]
         path = self._paths.get((at, name))
         if path is None:
@@ -95,6 +107,7 @@ class _Page:
             self.inside.append(self.inside[at] | {name} if name in ("article", "main", "p") else self.inside[at])
         self.parent.append(parent)
         self.path_of.append(path)
+        self.mark.append(mark)
         return len(self.parent) - 1
 
     def _read(self, html: str) -> None:
@@ -103,7 +116,7 @@ class _Page:
         solid = [-1]
         where: dict[str, list[int]] = defaultdict(list)
         buffer: list[str] = []
-        linked, dropped_at, why = 0, -1, ""
+        linked, dropped_at = 0, -1
 
         def flush() -> None:
             nonlocal linked
@@ -124,15 +137,16 @@ class _Page:
             if dropped_at >= i:
                 dropped_at = -1
 
-        def push(name: str, attributes: str) -> None:
-            nonlocal dropped_at, why
-            noise = _noise(name, attributes, bool(where["article"]))
-            if dropped_at < 0 and noise:
-                dropped_at, why = len(stack), noise
-            elif why == "layout" and dropped_at >= 0 and not noise and name in ("article", "main"):
-                dropped_at = -1  # what seemed a menu or a sidebar is a wrapper
+        def push(name: str, attributes: str) -> str:
+            """The element's mark. Inline ones can't be weighed, so a strong mark drops them outside of running text."""
+            nonlocal dropped_at
+            mark = _noise(name, attributes, bool(where["article"]))
+            inline = name in _INLINE and mark not in ("", "weak") and not any(where[x] for x in _RUNNING)
+            if dropped_at < 0 and (mark == "drop" or inline):
+                dropped_at = len(stack)
             where[name].append(len(stack))
             stack.append(name)
+            return mark
 
         for m in _TOKEN.finditer(html):
             raw = m.group()
@@ -169,11 +183,73 @@ class _Page:
                 close(where["p"][-1])
             elif last >= 0 and name in _SELF_CLOSING and not any(where[x] and where[x][-1] >= last for x in _SELF_CLOSING[name]):
                 close(last)
-            push(name, m.group(4))
+            mark = push(name, m.group(4))
             solid.append(len(stack) - 1)
-            elements.append(self._open(elements[-1], name))
+            elements.append(self._open(elements[-1], name, mark))
         if dropped_at < 0:
             flush()
+        if any(self.mark):
+            self._weigh()
+
+    def _weigh(self) -> None:
+        """Leave out the blocks of marked elements, but for those whose text speaks for them.
+
+        A weak mark counts for elements of links mostly. What is marked as layout is a wrapper if an article or main element
+        without a mark lies in it. Other marks (but comments) don't count for an element that holds over half of the page's
+        unlinked text beside comments, unless the page has an article or main element elsewhere.
+        """
+        n = len(self.parent)
+        text, core, comment = [[0, 0] for _ in range(n)], [0] * n, [False] * n
+        for i in range(1, n):
+            comment[i] = comment[self.parent[i]] or self.mark[i] == "comment"
+            core[i] = int(not self.mark[i] and self.names[self.path_of[i]] in ("article", "main"))
+        for _, element, block, linked in self.blocks:
+            text[element][0] += len(block) - linked
+            text[element][1] += linked
+        total = sum(text[e][0] for e in range(n) if not comment[e])
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            text[up][0] += text[i][0]
+            text[up][1] += text[i][1]
+            core[up] += core[i]
+        gone = [False]
+        for i in range(1, n):
+            mark, (plain, linked) = self.mark[i], text[i]
+            noise = mark == "weak" and linked > plain or mark == "comment" or mark == "layout" and not core[i] or mark == "mark"
+            if noise and mark in ("mark", "layout") and 2 * plain > total and core[i] == core[0]:
+                noise = False
+            gone.append(gone[self.parent[i]] or noise)
+        self.blocks = [x for x in self.blocks if not gone[x[1]]]
+
+    def _weigh(self) -> None:
+        """Leave out the blocks of marked elements, but for those whose text speaks for them.
+
+        A weak mark counts for elements of links mostly. What is marked as layout is a wrapper if an article or main element
+        without a mark lies in it. Other marks (but comments) don't count for an element that holds over half of the page's
+        unlinked text beside comments, unless the page has an article or main element elsewhere.
+        """
+        n = len(self.parent)
+        text, core, comment = [[0, 0] for _ in range(n)], [0] * n, [False] * n
+        for i in range(1, n):
+            comment[i] = comment[self.parent[i]] or self.mark[i] == "comment"
+            core[i] = int(not self.mark[i] and self.names[self.path_of[i]] in ("article", "main"))
+        for _, element, block, linked in self.blocks:
+            text[element][0] += len(block) - linked
+            text[element][1] += linked
+        total = sum(text[e][0] for e in range(n) if not comment[e])
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            text[up][0] += text[i][0]
+            text[up][1] += text[i][1]
+            core[up] += core[i]
+        gone = [False]
+        for i in range(1, n):
+            mark, (plain, linked) = self.mark[i], text[i]
+            noise = mark == "weak" and linked > plain or mark == "comment" or mark == "layout" and not core[i] or mark == "mark"
+            if noise and mark in ("mark", "layout") and 2 * plain > total and core[i] == core[0]:
+                noise = False
+            gone.append(gone[self.parent[i]] or noise)
+        self.blocks = [x for x in self.blocks if not gone[x[1]]]
 
     def roots(self, beneath: list[list[int]]) -> list[int]:
         """Of each element the one whose blocks count with its own; 0 for the whole page.
