@@ -46,7 +46,8 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     the law is ``bytes``, so grown_shard is null. Slots are gapless from 0 in each shard, in no particular order between
     groups. Repeated rows get a slot each; an empty table gives an empty result. Null texts are one group of equal ones (size 1).
     Groups of equal sizes are placed by their hash. Very long texts are items of their own. A null doc_id is kept.
-    A group of over 1/(4 * shards) of all bytes is cut, as shards can't be level otherwise; all others stay whole.
+    A group of over 1/shards of all bytes, which no shard can hold, is cut; all others stay whole. Only where shards still
+    differ from their mean by over 1 % in bytes (many groups of nearly a shard each) those of over 1/(4 * shards) are cut too.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -59,24 +60,29 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     groups = sized.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     # fewer than 2 * HEAVY_PARTS groups can reach that share, and their parts are fewer than twice as many
     parts = F.ceil(F.greatest(F.col("bytes") / F.lit(heavy_bytes), F.col("n") / F.lit(heavy_rows))).cast("long")
-    heavy = groups.where((F.col("bytes") > heavy_bytes) | (F.col("n") > heavy_rows)).select("h1", "h2", parts.alias("parts"), (F.col("bytes") > total // (4 * shards)).alias("cut"))
-    rows = sized.join(F.broadcast(heavy), ["h1", "h2"], "left")
-    # a cut group's parts are placed each; a whole group's go to one shard, and only their slots are counted apart
-    dealt = F.pmod(F.xxhash64("spread", F.lit("part")), F.greatest("parts", F.lit(1).cast("long")))
-    item = F.when(F.col("parts").isNull(), F.pmod("h1", F.lit(BUCKETS).cast("long"))).otherwise(F.lit(BUCKETS).cast("long") + F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 40).cast("long")))
+    heavy = materialize(groups.where((F.col("bytes") > heavy_bytes) | (F.col("n") > heavy_rows)).select("h1", "h2", "bytes", parts.alias("parts")), "heavy")
     none = F.lit(0).cast("long")
-    rows = rows.select("doc_id", "size", "text_crc32", "tokens", item.alias("item"), F.when(F.col("cut"), dealt).otherwise(none).alias("part"), F.when(F.col("cut"), none).otherwise(F.coalesce(dealt, none)).alias("sub"))
-    sums = rows.groupBy("item", "part", "sub").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
-    got = sums.orderBy("item", "part", "sub").toArrow()  # at most BUCKETS + 4 * HEAVY_PARTS rows
-    keys = np.stack([got[c].to_numpy() for c in ("item", "part", "sub")], 1)
-    if not len(keys):
-        return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")
-    values = np.stack([got[c].to_numpy() for c in ("bytes", "tokens", "n")], 1)
-    units, of_unit = np.unique(keys[:, :2], axis=0, return_inverse=True)
-    of_unit = of_unit.ravel()
-    sizes = np.zeros((len(units), 3), np.int64)
-    np.add.at(sizes, of_unit, values)
-    to = place(sizes, shards)[of_unit]
+    for share in (1, 4):
+        marked = heavy.select("h1", "h2", "parts", (F.col("bytes") > total // (share * shards)).alias("cut"))
+        rows = sized.join(F.broadcast(marked), ["h1", "h2"], "left")
+        # a cut group's parts are placed each; a whole group's go to one shard, and only their slots are counted apart
+        dealt = F.pmod(F.xxhash64("spread", F.lit("part")), F.greatest("parts", F.lit(1).cast("long")))
+        item = F.when(F.col("parts").isNull(), F.pmod("h1", F.lit(BUCKETS).cast("long"))).otherwise(F.lit(BUCKETS).cast("long") + F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 40).cast("long")))
+        rows = rows.select("doc_id", "size", "text_crc32", "tokens", item.alias("item"), F.when(F.col("cut"), dealt).otherwise(none).alias("part"), F.when(F.col("cut"), none).otherwise(F.coalesce(dealt, none)).alias("sub"))
+        sums = rows.groupBy("item", "part", "sub").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+        got = sums.orderBy("item", "part", "sub").toArrow()  # at most BUCKETS + 4 * HEAVY_PARTS rows
+        keys = np.stack([got[c].to_numpy() for c in ("item", "part", "sub")], 1)
+        if not len(keys):
+            return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")
+        values = np.stack([got[c].to_numpy() for c in ("bytes", "tokens", "n")], 1)
+        units, of_unit = np.unique(keys[:, :2], axis=0, return_inverse=True)
+        of_unit = of_unit.ravel()
+        sizes = np.zeros((len(units), 3), np.int64)
+        np.add.at(sizes, of_unit, values)
+        to = place(sizes, shards)[of_unit]
+        held = np.bincount(to, values[:, 0], shards)
+        if held.max() <= 1.01 * held.mean() and held.min() >= 0.99 * held.mean():
+            break
     slots = np.zeros(len(keys), np.int64)
     for s in range(shards):
         at = np.flatnonzero(to == s)
