@@ -89,27 +89,28 @@ def expand(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
     return np.concatenate([z, z * z, np.ones((len(z), 1))], 1)
 
 
-def _shrunk(prior: Column, strength: float) -> Column:
-    return (F.col("good") + strength * prior) / (F.col("n") + strength)
+def _shrunk(good: Column, n: Column, prior: Column, strength: float) -> Column:
+    return (good + strength * prior) / (n + strength)
 
 
 def _strength(groups: DataFrame, prior: str, within: int, low: float = 0.5, high: float = 1000.0) -> float:
-    """Beta prior strength by moments, less what sampling alone spreads; within bounds.
+    """Beta prior strength from how far groups' true shares lie apart (one-way random effects); within bounds.
 
-    groups: good, n and the prior's share; within: number of priors fitted, each of which takes a degree of freedom. Squared
-    deviations weighted by n are expected to sum to (k - within) + rho * (N - sum(n**2) / N - (k - within)), in units of
-    prior * (1 - prior), where rho = 1 / (strength + 1). So sparse groups, which spread by chance, don't look spread out.
+    groups: n scores with their sum (good) and sum of squares (squares), and the prior's share; within: number of priors
+    fitted, each of which takes a degree of freedom. In units of prior * (1 - prior), squared deviations of the groups' means
+    weighted by n are expected to sum to (k - within) * w + rho * (N - sum(n**2) / N), where w is the variance of scores within
+    groups, measured beside, and rho = 1 / (strength + 1) that of the true shares. Scores may be counts of 0 and 1 or
+    probabilities: what they spread within a group is taken off either way.
     """
     p = F.least(F.greatest(F.col(prior), F.lit(1e-6)), F.lit(1 - 1e-6))
-    spread = F.col("n") * F.pow(F.col("good") / F.col("n") - p, 2) / (p * (1 - p))
-    r = groups.agg(F.count("*").alias("k"), F.sum(spread).alias("s"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn")).first()
+    unit = p * (1 - p)
+    between = F.col("n") * F.pow(F.col("good") / F.col("n") - p, 2) / unit
+    inside = (F.col("squares") - F.col("good") * F.col("good") / F.col("n")) / unit
+    r = groups.agg(F.count("*").alias("k"), F.sum(between).alias("between"), F.sum(inside).alias("inside"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn")).first()
     free = r["k"] - within
-    if free < 1:
+    if free < 1 or r["n"] == r["k"]:
         return high
-    room = r["n"] - r["nn"] / r["n"] - free
-    if room <= 0:
-        return high
-    rho = (r["s"] - free) / room
+    rho = (r["between"] - free * max(0.0, r["inside"]) / (r["n"] - r["k"])) / max(r["n"] - r["nn"] / r["n"], 1e-9)
     return high if rho <= 1 / (high + 1) else float(max(low, 1 / min(rho, 1.0) - 1))
 
 
@@ -163,20 +164,27 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_la
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(logit), *b.columns[4:]], ["doc_id", "host", "path", "evidence", *more])
 
     judged = measured.mapInArrow(judge, "doc_id long, host string, path string, evidence double" + kinds)
-    good = (1 / (1 + F.exp(-F.col("evidence")))).alias("p")
-    paths = materialize(judged.select("host", "path", good).groupBy("host", "path").agg(F.sum("p").alias("good"), F.count("*").alias("n")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+    own = 1 / (1 + F.exp(-F.col("evidence")))
+    total = lambda rows, *keys: rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("good", "squares", "n")))
+    paths = materialize(total(judged.select("host", "path", own.alias("good"), (own * own).alias("squares"), F.lit(1).alias("n")), "host", "path"), "paths")
+    hosts = total(paths, "host")
     whole = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     share = (whole["good"] or 0.0) / whole["n"] if whole["n"] else 0.5
     share = min(1 - 1e-6, max(1e-6, share))
-    hosts = hosts.withColumn("prior", F.lit(share))
-    hosts = materialize(hosts.select("host", _shrunk(F.lit(share), _strength(hosts, "prior", 1)).alias("host_share")), "hosts")
+    hosts = materialize(hosts.withColumn("prior", F.lit(share)), "hosts")
+    of_hosts = _strength(hosts, "prior", 1)
+    hosts = hosts.select("host", F.col("good").alias("host_good"), F.col("n").alias("host_n"), _shrunk(F.col("good"), F.col("n"), F.lit(share), of_hosts).alias("host_share"))
     paths = paths.join(hosts, "host")
-    sites = paths.select("path", _shrunk(F.col("host_share"), _strength(paths, "host_share", hosts.count())).alias("site_share"))
-    sites = materialize(sites.groupBy("path").agg(F.max("site_share").alias("site_share")), "sites")
+    of_paths = _strength(paths, "host_share", hosts.count())
+    sites = materialize(paths.select("host", "path", "good", "n", "host_good", "host_n"), "sites")
     if sites.count() <= most_sites:
         sites = F.broadcast(sites)
+    judged = judged.join(sites, ["host", "path"])
+    # a document's own evidence counts once: its site and host are judged by the others
+    host_share = _shrunk(F.col("host_good") - own, F.col("host_n") - 1, F.lit(share), of_hosts)
+    site_share = _shrunk(F.col("good") - own, F.col("n") - 1, host_share, of_paths)
+    judged = judged.withColumn("site_share", site_share)
     held = F.least(F.greatest("site_share", F.lit(1e-6)), F.lit(1 - 1e-6))
     logit = F.col("evidence") + site_weight * (F.log(held / (1 - held)) - float(np.log(share / (1 - share))))
-    out = judged.join(sites, "path").withColumn("score", 1 / (1 + F.exp(-logit)))
+    out = judged.withColumn("score", 1 / (1 + F.exp(-logit)))
     return out.select("doc_id", "evidence", "site_share", "score", (F.col("score") >= threshold).alias("keep"), *more)

@@ -486,14 +486,19 @@ def test_place_balances_all_three_sizes():
 def test_quality_strength(spark):
     """Sites that differ by chance alone are shrunk strongly, sites that do differ are not."""
     r = np.random.default_rng(15)
-    def strength(shares, n):
-        rows = [(float(r.binomial(n, p)), n, 0.5) for p in shares]
-        return quality._strength(spark.createDataFrame(rows, "good double, n long, prior double"), "prior", 1)
+    def strength(shares, n, scores=lambda p, n: r.binomial(1, p, n)):
+        drawn = [np.asarray(scores(p, n), float) for p in shares]
+        rows = [(float(x.sum()), float((x * x).sum()), n, 0.5) for x in drawn]
+        return quality._strength(spark.createDataFrame(rows, "good double, squares double, n long, prior double"), "prior", 1)
 
     assert strength([0.5] * 400, 3) > 30
     assert strength(r.beta(1, 1, 400), 3) < 4
     assert 5 < strength(r.beta(5, 5, 2000), 6) < 20
     assert strength([0.5], 5) == 1000.0
+    for n in (2, 3, 5, 20):  # a true strength of 4, by counts, by probabilities that differ within a site, and by some that don't
+        assert 2.8 < strength(r.beta(2, 2, 4000), n) < 5.2
+        assert 2.8 < strength(r.beta(2, 2, 4000), n, lambda p, n: np.clip(p + r.uniform(-0.2, 0.2, n) * min(p, 1 - p), 0, 1)) < 5.2
+        assert 2.8 < strength(r.beta(2, 2, 4000), n, lambda p, n: np.full(n, p)) < 5.2
 
 
 def test_quality_by_brute_force(spark):
@@ -511,11 +516,10 @@ def test_quality_by_brute_force(spark):
         paths[(s or "").split("/")[0], "/".join([s or "", g or ""])].append(p[i])
 
     def strength(groups, priors, within):
-        n = np.array([len(x) for x in groups], float)
-        q = np.clip(np.array(priors), 1e-6, 1 - 1e-6)
-        s = (n * (np.array([sum(x) for x in groups]) / n - q) ** 2 / (q * (1 - q))).sum()
-        free = len(groups) - within
-        rho = (s - free) / (n.sum() - (n * n).sum() / n.sum() - free)
+        n, q = np.array([len(x) for x in groups], float), np.clip(np.array(priors), 1e-6, 1 - 1e-6)
+        between = sum(len(x) * (np.mean(x) - y) ** 2 / (y * (1 - y)) for x, y in zip(groups, q, strict=True))
+        inside = sum(((np.array(x) - np.mean(x)) ** 2).sum() / (y * (1 - y)) for x, y in zip(groups, q, strict=True)) / (n.sum() - len(n))
+        rho = (between - (len(groups) - within) * inside) / (n.sum() - (n * n).sum() / n.sum())
         return 1000.0 if rho <= 1 / 1001 else max(0.5, 1 / min(rho, 1) - 1)
 
     a = strength(list(held.values()), [share] * len(held), 1)
@@ -523,7 +527,8 @@ def test_quality_by_brute_force(spark):
     b = strength(list(paths.values()), [host[h] for h, _ in paths], len(host))
     for i, _, s, g in rows:
         key = (s or "").split("/")[0], "/".join([s or "", g or ""])
-        site = (sum(paths[key]) + b * host[key[0]]) / (len(paths[key]) + b)
+        others = (sum(held[key[0]]) - p[i] + a * share) / (len(held[key[0]]) - 1 + a)
+        site = (sum(paths[key]) - p[i] + b * others) / (len(paths[key]) - 1 + b)
         logit = got[i].evidence + 0.5 * (np.log(site / (1 - site)) - np.log(share / (1 - share)))
         assert abs(got[i].site_share - site) < 1e-9 and abs(got[i].score - 1 / (1 + np.exp(-logit))) < 1e-9 and got[i].keep == (got[i].score >= 0.5)
 
