@@ -89,10 +89,10 @@ def test_verdict(output: Column) -> Column:
 
 
 def patch_info(patch: Column) -> Column:
-    """struct<path, additions, deletions> of a unified diff."""
+    """struct<path, additions, deletions> of a unified diff, or of one that undoes it (whose names have changed sides)."""
     lines = F.split(patch, "\n")
     count = lambda sign: F.size(F.filter(lines, lambda x: x.startswith(sign) & ~x.startswith(sign * 3)))
-    return F.struct(F.regexp_extract(patch, r"(?m)^\+\+\+ (?:b/)?(\S+)", 1).alias("path"), count("+").alias("additions"), count("-").alias("deletions"))
+    return F.struct(F.regexp_extract(patch, r"(?m)^\+\+\+ (?:[ab]/)?(\S+)", 1).alias("path"), count("+").alias("additions"), count("-").alias("deletions"))
 
 
 def hunk_order_ok(patch: Column) -> Column:

@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routelens.operators.ranks import placed
 from routelens.operators.shared import written
 
 
-def _numbered(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` with place: 0, 1, ... in order of ``key``, numbered range by range (no single task sorts all)."""
-    dealt = written(rows.repartitionByRange(key).withColumn("part", F.spark_partition_id()), "ranges")
-    # ranges are in order; their sizes, one number a task, are summed ahead of them
-    before = dealt.groupBy("part").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.orderBy("part")) - F.col("c"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
-    return dealt.withColumn("own", own).join(F.broadcast(before), "part").select(*rows.columns, (F.col("before") + F.col("own")).alias("place"))
-
-
 def tree_layout(parents: DataFrame) -> DataFrame:
     """Per node: node, depth (0 for roots) and x: its place among all leaves by name, or the mean x of its children.
 
@@ -39,15 +31,15 @@ def tree_layout(parents: DataFrame) -> DataFrame:
     for depth, rows in enumerate(levels[1:], 1):
         nodes = nodes.unionByName(rows.select("node", "parent", F.lit(depth).alias("depth")))
     nodes = written(nodes, "nodes")
-    leaves = _numbered(nodes.join(inner, "node", "left_anti").select("node").distinct(), "node").select("node", F.col("place").cast("double").alias("x"))
+    leaves = placed(nodes.join(inner, "node", "left_anti").select("node", F.lit(0).alias("all")).distinct(), ["all"], ["node"]).select("node", (F.col("place") - 1).cast("double").alias("x"))
     leaves = written(leaves, "leaves")
     done, above = leaves, None
     for depth in range(len(levels) - 1, -1, -1):
         rows = nodes.where(F.col("depth") == depth)
-        placed = rows.join(leaves, "node", "left").select("node", "parent", "x")
+        at = rows.join(leaves, "node", "left").select("node", "parent", "x")
         if above is not None:
-            placed = placed.join(above, "node", "left").select("node", "parent", F.coalesce("x", "mean").alias("x"))
-        placed = written(placed, "placed")
-        above = placed.groupBy(F.col("parent").alias("node")).agg(F.avg("x").alias("mean"))
-        done = placed.select("node", "x") if depth == len(levels) - 1 else done.unionByName(placed.select("node", "x"))
+            at = at.join(above, "node", "left").select("node", "parent", F.coalesce("x", "mean").alias("x"))
+        at = written(at, "placed")
+        above = at.groupBy(F.col("parent").alias("node")).agg(F.avg("x").alias("mean"))
+        done = at.select("node", "x") if depth == len(levels) - 1 else done.unionByName(at.select("node", "x"))
     return nodes.select("node", "depth").join(done, "node").distinct()

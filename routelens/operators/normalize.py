@@ -76,6 +76,7 @@ def _outcome(source: pd.Series, kind: pd.Series, path: pd.Series, blocks: pd.Ser
     out = []
     for s, k, p, bs, found in zip(source, kind, path, blocks, ms, strict=True):
         bs, found = list(bs), [None if m is None or pd.isna(m["begin"]) else {c: int(x) for c, x in m.items()} for m in found]
+        found += [None] * (len(bs) - len(found))
         if k == "edit" and (bs or s is not None):
             strategy, located, tried, after = _edited(s, bs, found)
         elif k == "rewrite" and s is not None:
@@ -119,3 +120,21 @@ def failure_report(normalized: DataFrame) -> DataFrame:
     line = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["strategy"], F.lit(": block "), (x["block"] + 1).cast("string"), F.lit(", "), x["quality"])
     head = F.concat(F.lit("Patch "), F.col("id").cast("string"), F.lit(" needs a manual review"))
     return normalized.where(F.col("strategy") == MANUAL).select("id", F.array_join(F.concat(F.array(head), F.transform("tried", line)), "\n").alias("report"))
+
+
+def report_rows(normalized: DataFrame) -> DataFrame:
+    """id, status (success, empty, ambiguous or failed), strategy, detail: a report's row for each patch.
+
+    empty is a diff without changes, ambiguous a manual review whose last attempt found several places; detail is the last
+    attempt's block and quality.
+    """
+    last = F.try_element_at("tried", F.lit(-1))
+    status = F.when((F.col("strategy") != MANUAL) & (F.coalesce("diff", F.lit("")) != ""), "success").when(F.col("strategy") != MANUAL, "empty").when(last["quality"] == "exact_ambiguous", "ambiguous").otherwise("failed")
+    return normalized.select("id", status.alias("status"), "strategy", F.concat(F.lit("block "), (last["block"] + 1).cast("string"), F.lit(": "), last["quality"]).alias("detail"))
+
+
+def report_summary(reports: DataFrame) -> DataFrame:
+    """status, strategy, n and share of all."""
+    counted = reports.groupBy("status", "strategy").agg(F.count("*").alias("n"))
+    total = reports.agg(F.count("*").alias("total"))
+    return counted.join(F.broadcast(total)).select("status", "strategy", "n", (F.col("n") / F.col("total")).alias("share"))

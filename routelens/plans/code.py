@@ -8,17 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routelens.adapters import read_table, view, with_views
 from routelens.functions import chunks, java
+from routelens.functions import responses as R
 from routelens.functions import diffs as D
 from routelens.functions import patches as P
 from routelens.functions import text as T
-from routelens.operators import grid, ivf, layout, methods, normalize
+from routelens.functions import vectors as V
+from routelens.operators import grid, ivf, layout, methods, normalize, patch_items, prompts, ranks
 from routelens.operators.shared import new_folder
-from routelens.sources import evaluation
+from routelens.sources import evaluation, hierarchy
 
 _SHAPES = ("final java.util.Map<String, List<T>> a", "final Map<String, T> a, int[] b", "String... c")
 _TYPES = ("Map", "Map,int[]", "String[]")
@@ -100,6 +104,11 @@ def patches_normalized(spark: SparkSession, d: str) -> DataFrame:
     return got.select("id", "strategy", "located", F.size("tried").alias("failures"), F.when(F.size("tried") > 0, last).alias("quality"), after.alias("after"))
 
 
+def normalization_reports(spark: SparkSession, d: str) -> DataFrame:
+    reports = normalize.report_rows(normalize.normalize(_patches(spark, d), _files(spark, d)))
+    return normalize.report_summary(reports).select("status", "strategy", "n", F.round("share", 6).alias("share"))
+
+
 def _diff(counted: Column) -> Column:
     head = F.concat(F.lit("@@ -1,"), counted.cast("string"), F.lit(" +1,"), counted.cast("string"), F.lit(" @@\n"))
     return F.concat(head, F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit(" "), x)), "\n"))
@@ -205,6 +214,71 @@ def ivf_flat_search(spark: SparkSession, d: str) -> DataFrame:
     return _index_search(spark, d, "ivf_flat")
 
 
+def member_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Members of each label by distance to its centre; no label is sorted in one task."""
+    rows = read_table(spark, d, "embeddings").where("embedding is not null")
+    centres = rows.groupBy("label").agg(vector_to_array(Summarizer.mean(array_to_vector("embedding"))).alias("c"))
+    dist = rows.join(centres, "label").select("label", "vec_id", V.squared_l2(F.col("embedding"), F.col("c")).alias("dist")).withColumn("near", F.round("dist", 9))
+    return ranks.placed(dist, ["label"], ["near", "vec_id"]).select("label", "vec_id", F.col("place").cast("int").alias("place"), F.round("dist", 6).alias("dist"))
+
+
+def answers_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Answers made of conversation turns: edits with and without a heading, rewrites, of a kind that is given or unknown."""
+    k = F.col("conv_id") % 4
+    edit = F.concat(F.lit("### int f(int a)\n<<<<<<< SEARCH\n"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n=======\nnew\n>>>>>>> REPLACE\n<<<<<<< SEARCH\nx\n=======\nx\n>>>>>>> REPLACE\n"))
+    rewrite = F.concat(F.lit("### g()\n```java\nint g() { return "), F.col("turn").cast("string"), F.lit("; }\n```\nand\n```java\nlong h(int z)\n```\n"))
+    got = R.parse_answer(F.when(k == 0, edit).otherwise(rewrite), F.lit(""), F.when(k == 2, "other").when(k == 3, "rewrite"))
+    held = read_table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", got.alias("x"))
+    says = lambda c, of: F.array_join(F.transform(F.col(f"x.{c}"), lambda e: F.concat_ws(":", e["signature"], F.coalesce(e["error"], F.lit("ok")))), ",")
+    return held.select("conv_id", "turn", "x.kind", "x.ok", "x.error", says("edits", "search").alias("edits"), says("rewrites", "code").alias("rewrites"))
+
+
+def prompt_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts for customers as bugs, their orders as functions and failing orders as messages."""
+    orders = read_table(spark, d, "orders")
+    name = F.concat(F.lit("f"), F.col("o_orderkey").cast("string"))
+    functions = orders.select(
+        F.col("o_custkey").alias("slug"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("comment"), F.concat(F.lit("void "), name, F.lit("() { }")).alias("buggy_code"), F.concat(F.lit("/w/"), F.col("o_custkey").cast("string"), F.lit("_buggy/A.java")).alias("path"),
+        F.col("o_orderkey").alias("start_line"), (F.col("o_orderkey") + 1).alias("end_line"), name.alias("method_name"), F.concat(name, F.lit("()")).alias("method_sig"),
+    )
+    messages = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("slug"), F.concat(F.lit("E"), F.col("o_orderkey").cast("string")).alias("exception_info"), F.lit(None).cast("string").alias("test_method"))
+    query = prompts.build_query("agent", "C:{BUGGY_COMMENT}E:{ERROR_MESSAGE}\nT:{FAILED_TEST}\nB:{BUGGY_CODE}")
+    return prompts.bug_info(functions, messages).select("slug", "func_num", F.size("method_names").alias("names"), F.md5(query).alias("digest"))
+
+
+def hierarchy_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Regions and nations with their customers as the JSON of a hierarchical clustering, read back as lines of a tree."""
+    c = read_table(spark, d, "customer").join(read_table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    level = lambda name, parent: c.groupBy(name.alias("key"), parent.alias("parent")).agg(F.count("*").alias("size"))
+    region, nation = F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    as_map = lambda rows, name: rows.agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("parent", "size")))).alias("m")).select(F.lit(name).alias("name"), "m")
+    both = as_map(level(region, F.lit(None).cast("string")), "level_0").unionByName(as_map(level(nation, region), "level_1"))
+    text = both.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("name", "m"))).alias("hierarchy"))).alias("value"))
+    return hierarchy.tree_lines(hierarchy.clusters_of(text))
+
+
+def _document_patches(spark: SparkSession, d: str) -> DataFrame:
+    """A patch a document: its lines added, deleted or left by their number and the document's; null texts give none."""
+    k = F.col("doc_id") % 4
+    sign = lambda i: F.when(k == 0, F.when(i % 2 == 0, "+").otherwise("-")).when(k == 1, "+").when(k == 2, F.when(i % 3 == 0, "-").otherwise(" ")).otherwise(" ")
+    body = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(sign(i), F.lit("."), x)), "\n")
+    path = F.concat(F.lit("src/A"), F.when(F.col("doc_id") % 3 == 0, ".java").when(F.col("doc_id") % 3 == 1, ".xml").otherwise(""))
+    return read_table(spark, d, "documents").select(F.col("source").alias("project"), F.col("doc_id").alias("bug_id"), F.concat(F.lit("--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1,1 +1,1 @@\n"), body).alias("text"))
+
+
+def patch_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return patch_items.patch_items(_document_patches(spark, d), reverse=True).select("item_id", "source_file", "file_path", "additions", "deletions", "total_changes")
+
+
+def patch_statistics(spark: SparkSession, d: str) -> DataFrame:
+    got = patch_items.patch_statistics(patch_items.patch_items(_document_patches(spark, d)))
+    return got.select("kind", "name", "n", "least", "most", *(F.round(c, 6).alias(c) for c in ("mean", "median", "deviation")))
+
+
+def interesting_patches(spark: SparkSession, d: str) -> DataFrame:
+    return patch_items.interesting_patches(patch_items.patch_items(_document_patches(spark, d)))
+
+
 def _grid(spark: SparkSession, d: str, algorithms: list[str], samplers: list[str], reps: list[int]) -> DataFrame:
     got = grid.run_grid(read_table(spark, d, "embeddings"), view(spark, d, "score_pairs"), algorithms, [5, 10], samplers, reps, ["majority", "mean_score"])
     return got.select("algorithm", "k", "sampler", "reps", "voting", "clusters", "total", "wins", *(F.round(c, 6).alias(c) for c in ("win_rate", "mean_score", "oracle_score")))
@@ -221,8 +295,8 @@ def experiment_grid_fitted(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    experiment_grid_given, experiment_grid_fitted,
-    java_method_ranges, java_methods_located, method_ranges_by_text, edits_matched_to_functions, source_file_search, patches_normalized, diff_verdicts, patch_verifications, cut_lines_joined, chunks_halved, edits_applied_in_order,
+    experiment_grid_given, experiment_grid_fitted, member_rank, answers_parsed, prompt_queries, hierarchy_lines, patch_sizes, patch_statistics, interesting_patches,
+    java_method_ranges, java_methods_located, method_ranges_by_text, edits_matched_to_functions, source_file_search, patches_normalized, normalization_reports, diff_verdicts, patch_verifications, cut_lines_joined, chunks_halved, edits_applied_in_order,
     edit_checks, block_counts, tree_positions, evaluation_stored, ivf_pq_search, ivf_flat_search,
 )
 
@@ -230,6 +304,8 @@ _ALL = (
 _PARTS_SQL = """parts as (select *, p_partkey // 20 as file, 'f' || (p_partkey % 7) as name, case p_partkey % 3 when 0 then 'Map' when 1 then 'Map,int[]' else 'String[]' end as types,
   5 + p_size % 3 + case when p_partkey % 5 = 0 then 3 else 0 end as lines from part),
 placed as (select *, 4 + cast(coalesce(sum(lines) over (partition by file order by p_partkey rows between unbounded preceding and 1 preceding), 0) as int) as comment_line, 'repo/src/C' || file || '.java' as path from parts)"""
+_PATCHES_SQL = """counted as (select doc_id, source, len(string_split(text, chr(10))) as n, 'src/A' || case doc_id % 3 when 0 then '.java' when 1 then '.xml' else '' end as file_path, case doc_id % 3 when 0 then '.java' when 1 then '.xml' else '' end as extension from documents where text is not null),
+items as (select source || '_' || doc_id || '__patch' as item_id, doc_id, source, file_path, extension, cast(case doc_id % 4 when 0 then (n + 1) // 2 when 1 then n else 0 end as int) as additions, cast(case doc_id % 4 when 0 then n // 2 when 2 then (n + 2) // 3 else 0 end as int) as deletions from counted)"""
 _TEXT_SQL = """texts as (select *, '    // { ' || p_name || chr(10) as comment, '    public static <T> int ' || name || '(' || case p_partkey % 3 when 0 then 'final java.util.Map<String, List<T>> a' when 1 then 'final Map<String, T> a, int[] b' else 'String... c' end || ') {' || chr(10) as head,
   '        String s = "} ' || p_type || ' ' || p_partkey || '";' || chr(10) as own, case when p_partkey % 5 = 0 then '        go(new Runnable() { @Override' || chr(10) || '            public void run() { { } }' || chr(10) || '        });' || chr(10) else '' end || repeat('        if (a != null) { b(''{''); }' || chr(10), p_size % 3) as rest,
   '        return ' || p_size || ';' || chr(10) as back, '    }' || chr(10) as tail from placed)"""
@@ -247,6 +323,7 @@ def oracle_sql() -> dict[str, str]:
         "method_ranges_by_text": f"with {_PARTS_SQL} select p_partkey, cast(comment_line as int) as first_line, cast(comment_line + p_size % 3 + 4 as int) as last_line from placed",
         "edits_matched_to_functions": "select f.p_brand as case_id, f.p_partkey as function_id, e.p_partkey as edit_id from part f join part e on f.p_brand = e.p_brand and contains(regexp_replace('public' || e.p_type || '(' || split_part(e.p_name, ' ', 1) || 'a){', '\\s', '', 'g'), regexp_replace(f.p_type || '(' || split_part(f.p_name, ' ', 1) || 'a)', '\\s', '', 'g'))",
         "source_file_search": f"with {_PARTS_SQL}, held as (select file % 5 as repo, name, types, path, p_size from placed), asked as (select p_partkey, file % 5 as repo, name, types, p_size from placed) select p_partkey as id, coalesce(min(case when h.p_size = a.p_size then path end), min(path)) as path, count(distinct path) as candidates, case when count(distinct path) = 1 then 'only' when count(case when h.p_size = a.p_size then 1 end) > 0 then 'block' else 'first' end as chosen from asked a join held h using (repo, name, types) group by p_partkey",
+        "normalization_reports": f"with {_PARTS_SQL}, same as (select *, count(*) over (partition by file, p_size) as same from placed) select status, strategy, count(*) as n, round(count(*) / (select count(*) from part), 6) as share from (select case when p_partkey % 4 = 3 and same > 1 then 'ambiguous' else 'success' end as status, case when p_partkey % 4 in (0, 2) then 'method_scoped_exact' when p_partkey % 4 = 1 or same = 1 then 'file_scoped_exact' else 'manual_review' end as strategy from same) t group by status, strategy",
         "patches_normalized": f"""with {_PARTS_SQL}, {_TEXT_SQL}, same as (select *, count(*) over (partition by file, p_size) as n, 'package a;' || chr(10) || '/* class {{ */' || chr(10) || 'public class C' || file || ' {{' || chr(10) as top from texts),
 outcome as (select *, case when p_partkey % 4 in (0, 2) then 'method_scoped_exact' when p_partkey % 4 = 1 or n = 1 then 'file_scoped_exact' else 'manual_review' end as strategy from same),
 changed as (select a.p_partkey as id, a.strategy, a.p_partkey % 4 as k, min(a.top) || string_agg(case when b.p_partkey <> a.p_partkey then b.comment || b.head || b.own || b.rest || b.back || b.tail when a.p_partkey % 4 = 2 then b.comment || '    public int ' || b.name || '() {{' || chr(10) || '        return 1;' || chr(10) || '    }}' || chr(10)
@@ -268,6 +345,13 @@ kids as (select parent, count(*) as n from p where parent is not null group by p
 depth as (select node, 0 as depth from p where parent is null union all select p.node, depth.depth + 1 from p join depth on p.parent = depth.node),
 up as (select node as leaf, node, parent, cast(1 as double) as w from p where node in (select node from leaf) union all select up.leaf, p.node, p.parent, up.w / kids.n from up join kids on kids.parent = up.parent join p on p.node = up.parent)
 select up.node, cast(min(depth.depth) as int) as depth, round(sum(w * leaf.x), 6) as x from up join leaf on leaf.node = up.leaf join depth on depth.node = up.node group by up.node""",
+        "member_rank": with_views("select label, vec_id, cast(place as int) as place, round(dist, 6) as dist from (select *, row_number() over (partition by label order by round(dist, 9), vec_id) as place from (select d.label, d.vec_id, sum((d.x - c.c) * (d.x - c.c)) as dist from dims d join centroids c on c.label = d.label and c.pos = d.pos group by d.label, d.vec_id) t) u", duck=True),
+        "hierarchy_lines": "with n as (select n_regionkey as r, n_nationkey as n, count(*) as size from customer join nation on c_nationkey = n_nationkey group by n_regionkey, n_nationkey), g as (select r, cast(sum(size) as bigint) as size from n group by r) select 0 as level, 'r' || r as cluster, 'r' || r || ': ' || size as line from g union all select 1, 'n' || n.n, '  n' || n.n || ': ' || n.size || ', ' || cast(round(100 * n.size / g.size, 1) as varchar) || ' % of r' || n.r from n join g using (r)",
+        "patch_sizes": f"with {_PATCHES_SQL} select item_id, doc_id || '.src.patch' as source_file, file_path, deletions as additions, additions as deletions, additions + deletions as total_changes from items",
+        "patch_statistics": f"with {_PATCHES_SQL}, each as (select 'all' as kind, '' as name, additions + deletions as s from items union all select 'project', source, additions + deletions from items union all select 'extension', extension, additions + deletions from items) select kind, name, count(*) as n, min(s) as least, max(s) as most, round(avg(s), 6) as mean, round(median(s), 6) as median, round(coalesce(stddev_samp(s), 0), 6) as deviation from each group by kind, name",
+        "interesting_patches": f"with {_PATCHES_SQL} select (select item_id from items order by additions + deletions, item_id limit 1) as smallest, (select item_id from items order by additions + deletions desc, item_id limit 1) as largest, count(case when additions > 0 and deletions = 0 then 1 end) as only_additions, count(case when deletions > 0 and additions = 0 then 1 end) as only_deletions, count(case when abs(additions - deletions) <= 2 and additions + deletions > 4 then 1 end) as balanced from items",
+        "answers_parsed": "select conv_id, turn, case conv_id % 4 when 0 then 'edit' when 2 then 'other' else 'rewrite' end as kind, conv_id % 4 <> 2 as ok, case when conv_id % 4 = 2 then 'unknown kind: other' end as error, case when conv_id % 4 = 0 then 'int f(int a):' || case when text = '' then 'search' when trim(replace(text, chr(10), ' ')) = 'new' then 'identical' else 'ok' end || ',:signature' else '' end as edits, case when conv_id % 2 = 1 then 'g():ok,long h(int z):braces' else '' end as rewrites from conversations where text is not null",
+        "prompt_queries": "with f as (select o_custkey as slug, count(*) as n, string_agg('   ' || case when o_orderkey % 2 = 0 then trim(o_orderpriority) else 'This function has no comment.' end || chr(10), '' order by o_orderkey) as c, string_agg('```java' || chr(10) || 'void f' || o_orderkey || '() { }' || chr(10) || '```' || chr(10), '' order by o_orderkey) as b from orders group by o_custkey), m as (select o_custkey as slug, string_agg('E' || o_orderkey, chr(10) order by 'E' || o_orderkey) as e from orders where o_orderstatus = 'F' group by o_custkey) select f.slug, cast(n as int) as func_num, cast(n as int) as names, md5('C:' || c || 'E:' || coalesce(e, 'This function has no exception info.') || chr(10) || 'T:' || case when e is null then 'This function has no failed test.' else '' end || chr(10) || 'B:' || rtrim(b, chr(10))) as digest from f left join m on m.slug = f.slug",
         "experiment_grid_given": with_views("""with unit as (select vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x))) as n from embeddings where embedding is not null),
 u as (select vec_id, label, unnest(range(len(embedding))) as pos, unnest(embedding) / n as x from unit), mid as (select label, pos, avg(x) as c from u group by label, pos),
 one as (select label, vec_id from (select label, vec_id, row_number() over (partition by label order by round(near, 9) desc, vec_id) as rn from (select u.label, u.vec_id, sum(u.x * mid.c) as near from u join mid on mid.label = u.label and mid.pos = u.pos group by u.label, u.vec_id)) where rn = 1),

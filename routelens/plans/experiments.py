@@ -49,8 +49,8 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "marked_text": "select doc_id, md5(concat('// MIXED ', text)) as digest from documents",
     # maps between clusters and members
     "vector_to_cluster": (
-        "select cluster_id, cast(slug as bigint) as slug from (select cluster_id, explode(split(members, ',')) as slug from (select cluster_id, array_join(transform(array_sort(collect_list(slug)), x -> cast(x as string)), ',') as members from assignments group by cluster_id) t) u",
-        "select cluster_id, slug from assignments",
+        "select cluster_id, slug from assignments where cluster_id is not null",
+        "select cluster_id, slug from assignments where cluster_id is not null",
     ),
     "representatives_by_cluster": (
         "select cluster_id, array_join(transform(array_sort(collect_list(struct(rank, slug))), x -> cast(x.slug as string)), ',') as slugs, count(*) as n from representatives group by cluster_id",
@@ -62,10 +62,6 @@ QUERIES: dict[str, str | tuple[str, str]] = {
         "select conv_id, string_agg(role, ',' order by first_turn, role) as roles from (select conv_id, role, min(turn) as first_turn from conversations group by conv_id, role) t group by conv_id",
     ),
     "grouped_halves_joined": "select coalesce(a.conv_id, b.conv_id) as conv_id, a.n as user_turns, a.longest as user_longest, b.n as other_turns, b.longest as other_longest from (select conv_id, count(*) as n, max(char_length(text)) as longest from conversations where role = 'user' group by conv_id) a full outer join (select conv_id, count(*) as n, max(char_length(text)) as longest from conversations where role <> 'user' group by conv_id) b on b.conv_id = a.conv_id".replace("char_length", "length"),
-    "adaptive_reps_table": (
-        "select cast(id as int) as size, least(greatest(3, cast(floor(id / 3.0) as int)), 7) as reps from range(1, 101)",
-        "select cast(range as int) as size, least(greatest(3, cast(floor(range / 3.0) as int)), 7) as reps from range(1, 101)",
-    ),
     "store_statistics": (
         "select label as folder, count(*) as n, max(size(embedding)) as dims, min(vec_id) as first_id, max(vec_id) as last_id from embeddings group by label",
         "select label as folder, count(*) as n, cast(max(len(embedding)) as int) as dims, min(vec_id) as first_id, max(vec_id) as last_id from embeddings group by label",

@@ -150,6 +150,13 @@ def batch_knn(spark: SparkSession, d: str) -> DataFrame:
     return search.nearest_of(rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), rows).select("query_id", "vec_id", "place", F.round("dist", 6).alias("dist"))
 
 
+def self_knn_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each vector whose id is divisible by 20 is found first by a search for it, as after a migration."""
+    rows = read_table(spark, d, "embeddings")
+    found = search.nearest_of(rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), rows, 1)
+    return found.select("query_id", "vec_id", (F.col("query_id") == F.col("vec_id")).alias("itself"), F.round("dist", 6).alias("dist"))
+
+
 def knn_exact(spark: SparkSession, d: str) -> DataFrame:
     """The ten vectors nearest to the mean of all, by one scan and a top-k of each task."""
     rows = read_table(spark, d, "embeddings").where("embedding is not null")
@@ -159,7 +166,7 @@ def knn_exact(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(query).select("vec_id", F.round(dist, 6).alias("dist")).orderBy(F.round(dist, 9), "vec_id").limit(10).select("vec_id", "dist")
 
 
-_ALL = (batch_knn, knn_exact, batch_knn_all, kmeans_assign, bisecting_assign, hac_cut, hac_cut_ward, hierarchical_kmeans, pca2, kdpp_select, farthest_first, normalized_norms, code_fence_strip, sr_blocks, patch_features, chunk_overlap, identifier_obfuscation, outlier_merge_similarity, format_detect, search_replace_apply, diff_round_trip, reverse_patch_apply, locate_blocks, signature_keys, anonymized_patches, rewrite_parse, embedding_json, logprob_json, number_range_list)
+_ALL = (batch_knn, knn_exact, self_knn_check, batch_knn_all, kmeans_assign, bisecting_assign, hac_cut, hac_cut_ward, hierarchical_kmeans, pca2, kdpp_select, farthest_first, normalized_norms, code_fence_strip, sr_blocks, patch_features, chunk_overlap, identifier_obfuscation, outlier_merge_similarity, format_detect, search_replace_apply, diff_round_trip, reverse_patch_apply, locate_blocks, signature_keys, anonymized_patches, rewrite_parse, embedding_json, logprob_json, number_range_list)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -169,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "batch_knn": "select query_id, vec_id, place, round(dist, 6) as dist from (select *, cast(row_number() over (partition by query_id order by round(dist, 9), vec_id) as int) as place from (select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (cast(x[1] as double) - x[2]) * (cast(x[1] as double) - x[2]))) as dist from embeddings q, embeddings v where q.vec_id % 20 = 0) t) u where place <= 5",
+        "self_knn_check": "select query_id, vec_id, query_id = vec_id as itself, round(dist, 6) as dist from (select *, row_number() over (partition by query_id order by round(dist, 9), vec_id) as place from (select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (cast(x[1] as double) - x[2]) * (cast(x[1] as double) - x[2]))) as dist from embeddings q, embeddings v where q.vec_id % 20 = 0) t) u where place = 1",
         "knn_exact": "with dims as (select vec_id, unnest(range(len(embedding))) as pos, cast(unnest(embedding) as double) as x from embeddings), m as (select pos, avg(x) as c from dims group by pos) select vec_id, round(dist, 6) as dist from (select vec_id, sum((x - c) * (x - c)) as dist from dims join m using (pos) group by vec_id) t order by round(dist, 9), vec_id limit 10",
         "normalized_norms": "select vec_id, cast(1 as double) as norm from embeddings",
         "code_fence_strip": "select doc_id, md5(text) as digest from documents",

@@ -66,6 +66,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "purity_summary": f"select count(*) as clusters, {r('avg(purity)')} as mean, {r('median(purity)')} as median, {r('min(purity)')} as low, {r('max(purity)')} as high, {r('stddev_pop(purity)')} as std0, {r('sum(purity * total) / sum(total)')} as weighted, {r('1 - sum(purity * total) / sum(total)')} as misclassified, {r('avg(case when purity >= 0.9 then cast(1 as double) else cast(0 as double) end)')} as share90, {r('avg(case when purity < 0.6 then cast(1 as double) else cast(0 as double) end)')} as share_below60 from (select total, greatest(edit_count, gen_count) / cast(total as double) as purity from ({_PURITY}) p) q",
     "balanced_clusters": f"select cluster_id, n, small, {r('small / cast(n as double)')} as share from (select a.cluster_id, count(*) as n, count(case when {_PCT.replace('e -', 'p.e -').replace(' g)', ' p.g)').replace('least(e, g)', 'least(p.e, p.g)')} <= 20 then 1 end) as small from assignments a join score_pairs p on p.slug = a.slug where p.e is not null and p.g is not null group by a.cluster_id) t where small >= 0.2 * n",
     "outlier_merge_single": f"select a.slug, case when z.size <= 45 then -1 else a.cluster_id end as cluster_id from assignments a join ({_SIZES}) z on z.cluster_id = a.cluster_id",
+    "adaptive_reps_table": f"select size, count(*) as clusters, least(greatest(3, cast(floor(size / 3.0) as int)), 7) as reps from (select source, lang, count(*) as size from documents group by source, lang) s group by size",
     "adaptive_reps": f"select cluster_id, size, least(greatest(3, cast(floor(size / 3.0) as int)), 7) as reps from ({_SIZES}) s",
     "cluster_members": (
         "select cluster_id, array_join(transform(array_sort(collect_list(slug)), x -> cast(x as string)), ',') as members from assignments group by cluster_id",
@@ -104,7 +105,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "set_intersect": "select user_id as slug from events where event_type = 'click' intersect select user_id as slug from events where event_type = 'view'",
     "set_except": "select o_custkey as slug from orders where o_orderstatus = 'F' except select o_custkey as slug from orders where o_orderstatus = 'P'",
     # order-dependent
-    "run_diffs_lead": f"select slug, run_ts, lead(run_ts) over (partition by slug order by run_ts) as next_ts, {r('abs(lead(ppl) over (partition by slug order by run_ts) - ppl)')} as diff from runs",
+    "run_diffs_lead": f"select slug, run_ts, next_ts, {r('abs(next_ppl - ppl)')} as diff from (select *, lead(run_ts) over (partition by slug order by run_ts) as next_ts, lead(ppl) over (partition by slug order by run_ts) as next_ppl from runs) t where next_ts is not null",
     "pass_at_1": f"select count(*) as slugs, count(case when reward then 1 end) as passed, {r(_WINS.format('reward'))} as rate from attempts where attempt = 1",
     "pass_at_3": f"select count(*) as slugs, cast(sum(ok) as bigint) as passed, {r('sum(ok) / cast(count(*) as double)')} as rate from (select slug, max(case when reward then 1 else 0 end) as ok from attempts where attempt <= 3 group by slug) t",
     "any_success": "select slug, count(*) as attempts, max(case when reward then 1 else 0 end) as fixed from attempts group by slug",
@@ -151,20 +152,14 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "round_robin_fill": "select cluster_id, rank, slug from representatives order by rank, cluster_id limit 25",
     "level_analysis": f"select cluster_id % 2 as level, min(size) as smallest, max(size) as largest, {r('avg(size)')} as mean from ({_SIZES}) s group by cluster_id % 2",
     "slug_counts_per_cluster": "select cluster_id, project, n from (select *, row_number() over (partition by cluster_id order by n desc, project) as rn from (select a.cluster_id, d.source as project, count(*) as n from assignments a join documents d on d.doc_id = a.slug group by a.cluster_id, d.source) t) u where rn <= 10",
-    "member_rank": (
-        f"select label, vec_id, place, {r('dist')} as dist from (select *, row_number() over (partition by label order by round(dist, 9), vec_id) as place from (select d.label, d.vec_id, {_ARRAY_DIST.format('d.embedding', 'c.v')} as dist from embeddings d join (select label, transform(array_sort(collect_list(struct(pos, c))), z -> z.c) as v from centroids group by label) c on c.label = d.label) t where dist is not null) u",
-        f"select label, vec_id, place, {r('dist')} as dist from (select *, row_number() over (partition by label order by round(dist, 9), vec_id) as place from (select d.label, d.vec_id, sum((d.x - c.c) * (d.x - c.c)) as dist from dims d join centroids c on c.label = d.label and c.pos = d.pos group by d.label, d.vec_id) t) u",
-    ),
+    "reps_recommendation": f"select k as reps, {r('win_rate')} as win_rate, case when win_rate - best < -0.005 then '' when 100.0 * k / 8 < 80 then 'recommended' when 100.0 * k / 8 < 100 then 'usable' else 'oversampled' end as recommendation from (select k, avg(win_rate) as win_rate, max(avg(win_rate)) over () as best from grid group by k) t",
+    "cache_fifo": "select user_id, first_id from (select user_id, min(event_id) as first_id from events group by user_id) t order by first_id desc limit 100",
     "range_filter": "select p_partkey, p_brand from part where p_brand like 'Brand#%' and p_size between 10 and 20",
     "combination_count": "select count(distinct view_name) * count(distinct algorithm) * count(distinct k) as n from grid",
     "throughput": f"select run_ts, count(*) as done, {r('avg(ppl)')} as mean, {r('cast(86400 as double) / count(*)')} as seconds_each from runs group by run_ts",
     # vectors
     "centroid_by_label": f"select label, pos, {r('c')} as c from centroids",
     "medoid_by_label": f"select label, vec_id, {r('near')} as near from (select *, row_number() over (partition by label order by near desc, vec_id) as rn from closeness) t where rn = 1",
-    "self_knn_check": (
-        f"select vec_id, {r('sqrt(aggregate(embedding, cast(0 as double), (s, x) -> s + cast(x as double) * x))')} as norm from embeddings where embedding is not null",
-        f"select vec_id, {r('sqrt(sum(x * x))')} as norm from dims group by vec_id",
-    ),
     "farthest_first_r2": (
         f"select label, vec_id, {r('dist')} as dist from (select *, row_number() over (partition by label order by round(dist, 9) desc, vec_id) as rn from (select d.label, d.vec_id, {_ARRAY_DIST.format('d.embedding', 'm.v')} as dist from embeddings d join (select label, cast(embedding as array<double>) as v from embeddings where vec_id in (select vec_id from (select vec_id, row_number() over (partition by label order by near desc, vec_id) as rn from closeness) t where rn = 1)) m on m.label = d.label) p where dist is not null) q where rn = 1",
         f"with pair as (select m.label, d.vec_id, sum((d.x - e.x) * (d.x - e.x)) as dist from (select label, vec_id from (select *, row_number() over (partition by label order by near desc, vec_id) as rn from closeness) t where rn = 1) m join dims e on e.vec_id = m.vec_id join dims d on d.label = m.label and d.pos = e.pos group by m.label, d.vec_id) select label, vec_id, {r('dist')} as dist from (select *, row_number() over (partition by label order by round(dist, 9) desc, vec_id) as rn from pair) t where rn = 1",

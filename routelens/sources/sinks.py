@@ -18,7 +18,7 @@ def write_members(assignments: DataFrame, path: str) -> None:
 
 def write_report(frames: list[DataFrame], path: str) -> None:
     """One CSV over the union of all columns, blanks where a frame lacks one."""
-    reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).write.csv(path, header=True)
+    reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).write.csv(path, header=True, escape='"')
 
 
 def write_split_failures(df: DataFrame, path: str, errors_path: str, error_column: str = "error") -> None:
@@ -44,3 +44,25 @@ def write_assignments(df: DataFrame, path: str) -> None:
 def append_records(df: DataFrame, path: str) -> None:
     """Adds to what is there; each run's files appear together, so no lock is needed."""
     df.write.mode("append").json(path)
+
+
+def write_metadata(assignments: DataFrame, path: str, algorithm: str, **settings: object) -> None:
+    """One JSON row: algorithm, n_clusters, n_samples and the settings given, counted from cluster_id of the assignments."""
+    counted = assignments.agg(F.count_distinct("cluster_id").alias("n_clusters"), F.count("*").alias("n_samples"))
+    counted.select(F.lit(algorithm).alias("algorithm"), "n_clusters", "n_samples", *(F.lit(x).alias(name) for name, x in settings.items())).write.json(path)
+
+
+def representative_summary(representatives: DataFrame) -> DataFrame:
+    """cluster_id, size and representatives (ids by rank) of each cluster; as many ids a row as were asked for a cluster."""
+    held = representatives.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("r"))
+    return held.select("cluster_id", F.size("r").alias("size"), F.transform("r", lambda x: x["id"]).alias("representatives"))
+
+
+def write_markdown(table: DataFrame, path: str, title: str, most: int = 1000) -> None:
+    """A report's table as Markdown text, in the order of its rows; for reports of at most ``most`` rows, more is an error."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
+    lines = [f"# {title}", "", "| " + " | ".join(map(cell, table.columns)) + " |", "|" + " - |" * len(table.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]
+    table.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from routelens.functions import chunks, java
 from routelens.functions import diffs as D
 from routelens.functions import patches as P
-from routelens.operators import layout, methods, normalize
+from routelens.functions import responses as R
+from routelens.operators import layout, methods, normalize, prompts, ranks
 from routelens.sources import evaluation
 
 SOURCE = '''package a.b;
@@ -119,7 +120,7 @@ def test_normalize_falls_back_and_keeps_failures(spark):
     got, table = normalized(spark, [
         (1, path, "edit", [("g()", "y();", "        w();")]), (2, path, "edit", [("h()", "  x();\n  y();", "w();")]), (3, path, "edit", [("h()", "y();", "w();")]), (4, path, "edit", [("f(int)", "x();", "1"), ("g()", "z();", "2")]),
         (5, path, "rewrite", [("f(int)", None, "int f(int b) {\n    q();\n}"), ("no()", None, "x")]), (6, "gone", "edit", [("g()", "y();", "w();")]), (7, path, "rewrite", [("no()", None, "x")]), (8, path, "other", []), (9, path, "edit", []), (10, path, "edit", None),
-        (11, path, "edit", [("f(int)", "x();\ny();", "1"), ("f(int)", "y();", "2")]), (12, path, "edit", [("f(int)", "nothing", "1")]), (13, path, "edit", [("g()", "z();", None)]),
+        (11, path, "edit", [("f(int)", "x();\ny();", "1"), ("f(int)", "y();", "2")]), (12, path, "edit", [("f(int)", "nothing", "1")]), (13, path, "edit", [("g()", "z();", None)]), (14, None, "edit", [("g()", "z();", "a"), (None, None, None)]), (15, path, None, [("g()", "z();", "a")]),
     ])
     assert got[1] == (m, 1, [], BODY.replace("        y();\n        z();", "        w();\n        z();"))
     assert got[2] == (f, 1, [(m, 0, "method_not_found")], BODY.replace("        x();\n        y();\n", "w();\n"))
@@ -130,6 +131,7 @@ def test_normalize_falls_back_and_keeps_failures(spark):
     assert got[7][:3] == (m, 0, []) and got[9][:3] == got[10][:3] == (m, 0, []) and got[8][0] == normalize.MANUAL
     assert got[11] == (normalize.MANUAL, 0, [(m, 0 + 1, "overlapping"), (f, 1, "exact_ambiguous")], None)
     assert got[12][2] == [(m, 0, "not_found"), (f, 0, "not_found")] and got[13][3] == BODY.replace("        z();", "")
+    assert got[14][0] == got[15][0] == normalize.MANUAL and got[14][2][0] == (m, 0, "no_file")
     assert normalize.failure_report(table).where("id = 3").first()["report"] == "Patch 3 needs a manual review\n1. method_scoped_exact: block 1, method_not_found\n2. file_scoped_exact: block 1, exact_ambiguous"
 
 
@@ -236,3 +238,45 @@ def test_long_patches_are_linear(spark):
     code = "\n".join("x" * 80 for _ in range(20_000))
     assert column(spark, F.length(D.join_cut_lines(F.col("c0"))), [code]) == [80 * 20_000 + 9_999]
     assert time.time() - begun < 60
+
+
+def test_answers(spark):
+    edit = "### int f(int a)\n<<<<<<< SEARCH\na\n=======\nb\n>>>>>>> REPLACE\ntext\n<<<<<<< SEARCH\nc\n=======\nc\n>>>>>>> REPLACE\n"
+    fenced = "intro ### not a head\n```java\n### g()\n<<<<<<< SEARCH\na\n=======\nb\n>>>>>>> REPLACE\n```\n"
+    query = "### Buggy functions\n```java\npublic  static\n int k(int a,\n  int b) { }\n```"
+    rows = [(edit, query, None), (fenced, query, "edit"), ("```java\nprivate int m(int z) { }\n```\n```\nx\n```", query, "rewrite"), ("no fence {}", "none", "rewrite"), (None, query, None), (edit, query, "odd"), ("", query, "rewrite"), ("### h(int)\n```java\nvoid h(int q) { }\n```", None, None)]
+    frame = spark.createDataFrame(rows, "a string, q string, k string").select(R.parse_answer(F.col("a"), F.col("q"), F.col("k")).alias("x"))
+    got = [(x["kind"], x["ok"], x["error"], [tuple(e) for e in x["edits"]], [(r["signature"], r["error"]) for r in x["rewrites"]]) for (x,) in frame.collect()]
+    assert got[0] == ("edit", True, None, [("int f(int a)", "a", "b", None), ("", "c", "c", "signature")], [])
+    assert got[1] == ("edit", True, None, [("g()", "a", "b", None)], [])
+    assert got[2] == ("rewrite", True, None, [], [("private int m(int z)", None), ("public static int k(int a, int b)", "braces")])
+    assert got[3] == ("rewrite", True, None, [], [("", "signature")])
+    assert got[4] == (None, False, "no answer", [], []) and got[5] == ("odd", False, "unknown kind: odd", [], []) and got[6] == ("rewrite", True, None, [], [])
+    assert got[7] == ("rewrite", True, None, [], [("h(int)", None)])
+
+
+def test_prompts(spark):
+    kind = "slug string, comment string, buggy_code string, path string, start_line int, end_line int, method_name string, method_sig string"
+    functions = [("B_1", " doc ", "x();\ny();", "/w/B_1_buggy/src/A.java", 7, 8, " f ", "f()"), ("B_1", None, "z();", "/w/B_1_buggy/src/A.java", 3, 3, "g", " g()"), ("B_1", "", "z();", "/elsewhere", 9, 9, "g", "g()"), ("B_2", None, None, None, None, None, None, None), (None, "a", "b", "c", 1, 1, "d", "e")]
+    messages = spark.createDataFrame([("B_1", "E1", None), ("B_1", "E0", "t"), ("B_9", "x", "y")], "slug string, exception_info string, test_method string")
+    got = {x["slug"]: x for x in prompts.bug_info(spark.createDataFrame(functions, kind), messages, numbered=True).withColumn("q", prompts.build_query("no_comment", "{BUGGY_COMMENT}|{ERROR_MESSAGE}|{FAILED_TEST}")).collect()}
+    one = got["B_1"]
+    assert set(got) == {"B_1", "B_2"} and one["func_num"] == 3 and one["method_names"] == ["g", "f"] and one["method_signatures"] == ["g()", "f()"]
+    assert one["buggy_comment"] == "   This function has no comment.\n   doc\n" and one["error_message"] == "E0\nE1" and one["failed_test"] == "t"
+    assert one["buggy_code"] == "/elsewhere\n```java\nz(); // Line 9\n```\n/src/A.java\n```java\nz(); // Line 3\n```\n/src/A.java\n```java\nx(); // Line 7\ny(); // Line 8\n```\n"
+    assert [tuple(x) for x in one["locations"]] == [("g()", "/elsewhere", 9, 9), ("g()", "/src/A.java", 3, 3), ("f()", "/src/A.java", 7, 8)]
+    assert one["q"] == "{BUGGY_COMMENT}|E0\nE1|t" and got["B_2"]["q"] == "{BUGGY_COMMENT}|This function has no exception info.|This function has no failed test."
+    with pytest.raises(ValueError):
+        prompts.build_query("other", "")
+
+
+def test_places_in_groups_of_any_size(spark):
+    r = random.Random(6)
+    rows = [(r.choice([1, 1, 1, 2, None]), r.choice([None, r.randint(0, 40), 7]), i) for i in range(3000)]
+    got = {x["i"]: x["place"] for x in ranks.placed(spark.createDataFrame(rows, "g int, v int, i int").repartition(5), ["g"], ["v", "i"]).collect()}
+    want = {}
+    for g in {x[0] for x in rows}:
+        for place, x in enumerate(sorted((x for x in rows if x[0] == g), key=lambda x: (x[1] is not None, x[1] or 0, x[2])), 1):
+            want[x[2]] = place
+    assert got == want
+    assert ranks.placed(spark.createDataFrame([], "g int, v int"), ["g"], ["v"]).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from routelens.operators.store import VectorStore
 from routelens.sources import attempts
@@ -57,3 +58,41 @@ def test_vector_store(spark, tmp_path):
     again = store.rebuild(f"{tmp_path}/again")
     assert sorted(map(str, again.vectors().collect())) == sorted(map(str, store.vectors().collect())) and again.table.rows().count() == 60
     assert {(y.folder, y.vectors, y.dims) for y in again.statistics().collect()} == {("moved", 1, 32), ("f0", 19, 32), ("f1", 20, 32), ("f2", 20, 32)}
+
+
+def test_hierarchy(spark, tmp_path):
+    from routelens.sources import hierarchy
+
+    one = lambda parent, size, ids: {"parent": parent, "cluster_id": 0, "size": size, "center": [1.0, 2.0], "project_distribution": {"Lang": 1}, "vectors": [{"id": i, "folder": f, "file": None, "tokens": 3} for i, f in ids]}
+    text = {"total_vectors": 3, "dimension": 2, "hierarchy": {"level_0": {"c0": one(None, 3, [("a", "Lang_1"), ("b", None), ("c", "Math_2")])}, "level_10": {"c1": one("c0", 2, [("a", "Lang_1"), ("b", None)]), "gone": None}, "level_x": {"c": one(None, 1, [])}, "other": {}}}
+    (tmp_path / "r.json").write_text(json.dumps(text, indent=1))
+    (tmp_path / "broken.json").write_text("{")
+    held = hierarchy.read_hierarchy(spark, str(tmp_path)).cache()
+    assert hierarchy.available_levels(held) == [0, 10] and hierarchy.resolve_level(held) == 10 and hierarchy.resolve_level(held, 0) == 0
+    for level, rows in ((5, held), (None, held.limit(0))):
+        try:
+            hierarchy.resolve_level(rows, level)
+        except ValueError:
+            continue
+        raise AssertionError
+    assert [tuple(x) for x in hierarchy.level_clusters(held, 10).collect()] == [("c1", [1.0, 2.0], 2)]
+    assert sorted(map(tuple, hierarchy.members(held, 10).select("id", "cluster").collect())) == [("a", "c1"), ("b", "c1")]
+    assert {tuple(x) for x in hierarchy.project_counts(held).where("level = 0").collect()} == {(0, "c0", "Lang", 1), (0, "c0", "unknown", 1), (0, "c0", "Math", 1)}
+    assert {x["line"] for x in hierarchy.tree_lines(held.withColumn("level", F.when(F.col("level") == 10, 1).otherwise(0))).collect()} == {"c0: 3", "  c1: 2, 66.7 % of c0"}
+
+
+def test_metadata_summaries_and_markdown(spark, tmp_path):
+    from routelens.sources import sinks
+
+    sinks.write_metadata(spark.createDataFrame([(1, 0), (2, 0), (3, 4)], "id int, cluster_id int"), f"{tmp_path}/m", "kmeans", metric="cosine", seed=42)
+    assert json.loads(spark.read.text(f"{tmp_path}/m").first()[0]) == {"algorithm": "kmeans", "n_clusters": 2, "n_samples": 3, "metric": "cosine", "seed": 42}
+    got = sinks.representative_summary(spark.createDataFrame([(0, 2, "b"), (0, 1, "c"), (5, 1, "a")], "cluster_id int, rank int, id string"))
+    assert sorted(map(tuple, got.collect())) == [(0, 2, ["c", "b"]), (5, 1, ["a"])]
+    table = spark.createDataFrame([(1, "a|b"), (2, None)], "n int, s string").orderBy("n")
+    sinks.write_markdown(table, f"{tmp_path}/t", "Title")
+    assert "\n".join(x[0] for x in spark.read.text(f"{tmp_path}/t").collect()) == "# Title\n\n| n | s |\n| - | - |\n| 1 | a\\|b |\n| 2 |  |"
+    try:
+        sinks.write_markdown(table, f"{tmp_path}/u", "Title", most=1)
+    except ValueError:
+        return
+    raise AssertionError
