@@ -7,7 +7,9 @@
    more steps with at most 256 members. So no shard outgrows a task, however alike the texts are, and nothing is capped.
 3. A task builds each shard's BK-tree: children are keyed by the integer Hamming distance to their parent. Each member
    follows only edges within the radius of its own distance, and is then added.
-4. Links (a spanning forest of each shard) are joined to components; each takes its smallest doc_id.
+4. Links (a spanning forest of each shard) are joined to components; each takes its smallest doc_id. Documents learn it by
+   their fingerprint: those of the few fingerprints that many share by a broadcast of a bounded number of rows, the others by
+   an exchange.
 
 The trees stay in the tasks that build them, and probes come to them by the exchange: a broadcast of all trees would
 gather every fingerprint on the driver.
@@ -28,8 +30,8 @@ from routelens.llm.common import bounded_batches, materialize, release
 from routelens.llm.components import connected_components
 
 RADIUS, BLOCKS = 2, 4
-#: Fingerprints of a shard; beyond it the shard is dealt again.
-MOST = 512
+#: Fingerprints of a shard, beyond which it is dealt again; and the most fingerprints that can each hold that part of all rows.
+MOST, HOT = 512, 1000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -164,7 +166,7 @@ def simhash_components(docs: DataFrame, k: int = 3, most: int = MOST) -> DataFra
     """
     bounded_batches(docs.sparkSession)
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(k), "doc_id long, f long"), "simhash")
-    unique = materialize(rows.groupBy("f").agg(F.min("doc_id").alias("rep")), "simhashes")
+    unique = materialize(rows.groupBy("f").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhashes")
     shards, links, width = unique.select("f", F.lit(0).cast("long").alias("g"), F.col("f").alias("v")), None, 64
     while width > 8:
         dealt, width = materialize(_deal(shards, width), "shards"), width // 2
@@ -180,5 +182,7 @@ def simhash_components(docs: DataFrame, k: int = 3, most: int = MOST) -> DataFra
     joined = materialize(connected_components(links), "joined")
     least = joined.join(unique, joined["node"] == unique["f"]).groupBy("component").agg(F.min("rep").alias("least"))
     of_node = joined.join(least, "component").select(F.col("node").alias("f"), "least")
-    named = unique.join(of_node, "f", "left").select("f", F.coalesce("least", "rep").alias("component_id"))
-    return rows.join(named, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
+    named = materialize(unique.join(of_node, "f", "left").select("f", "n", F.coalesce("least", "rep").alias("component_id")), "named")
+    hot = F.broadcast(named.where(F.col("n") > named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT).drop("n"))  # fewer than HOT rows
+    out = rows.join(hot, "f").unionByName(rows.join(hot.select("f"), "f", "left_anti").join(named.drop("n"), "f"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
