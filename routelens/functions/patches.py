@@ -247,6 +247,12 @@ apply_unified_diff = _string_function(apply_diff, arity=2)
 unified_diff = _string_function(diff_text, arity=3)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def code_lines(text: pd.Series) -> pd.Series:
+    """Lines that carry code, as ``locate`` compares them."""
+    return _texts(lambda t: [s for _, s in _bare(t.split("\n"))])(text)
+
+
 @F.pandas_udf(ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType())])))
 def locate_block(source: pd.Series, block: pd.Series) -> pd.Series:
     return _texts(lambda s, b: [{"first": i, "last": j} for i, j in locate(s, b)])(source, block)

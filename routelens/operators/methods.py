@@ -1,16 +1,17 @@
 """Methods in tables of source files: location by signature, the file that holds one, and edits matched to functions.
 
 Sources are read once, each in its own row; what is joined and exchanged are names, keys and places, never texts (but for the
-methods of signatures that several files share, which a search block has to tell apart).
+methods among which a search block has to find its file, once each).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routelens.functions import patches as P
 from routelens.functions.java import java_methods
+from routelens.operators.shared import written
 
 #: Lengths of the pieces by which signatures are found in each other: each signature uses the longest that fits it.
 PIECES = (16, 8, 4, 2, 1)
@@ -45,24 +46,36 @@ def source_file_of(files: DataFrame, wanted: DataFrame) -> DataFrame:
     ``files`` needs repo, path and source; ``wanted`` id, repo, signature and block. A posting table of method keys gives the
     files of a signature. Where several hold it, the first (by path) whose method has the block's lines is taken, or the first
     at all when none has or the block is null. Methods that no file holds give a null path and 0 candidates.
+
+    No wanted method meets its candidates: they are counted by signature, and a block's first file comes from an index of the
+    methods' runs of code lines, as long as the blocks that are asked for. Texts are exchanged once, a method each.
     """
+    held = ["repo", "key"]
     table = files.select("repo", "path", "source", F.explode(java_methods("source")).alias("m"))
-    posting = table.groupBy("repo", F.col("m.key").alias("key"), "path").agg(F.min("m.begin").alias("begin"), F.min_by("m.end", "m.begin").alias("end"))
-    asked = wanted.select("id", "repo", P.signature_key("signature").alias("key"), "block")
-    met = asked.join(posting, ["repo", "key"], "left")
-    met = met.withColumn("candidates", F.count("path").over(Window.partitionBy("id", "repo", "key", "block")))
-    several = met.where("candidates > 1 and block is not null")
-    texts = files.select("repo", "path", "source").join(several.select("repo", "path").distinct(), ["repo", "path"])
-    method = F.expr("substring(source, begin + 1, end - begin)")
-    holds = several.join(texts, ["repo", "path"]).select("id", "repo", "key", "block", "path", F.size(P.locate_block(method, "block")) > 0)
-    holds = holds.toDF("id", "repo", "key", "block", "path", "holds").where("holds").groupBy("id", "repo", "key", "block").agg(F.min("path").alias("by_block"))
-    one = met.groupBy("id", "repo", "key", "block").agg(F.min("path").alias("first"), F.max("candidates").alias("candidates"))
-    same = [one[c].eqNullSafe(holds[c]) for c in ("id", "repo", "key", "block")]
-    got = one.join(holds, same, "left").select(one["id"], "candidates", "first", "by_block")
+    method = table.select("repo", "path", F.col("m.key").alias("key"), F.col("m.begin").alias("begin"), F.expr("substring(source, m.begin + 1, m.end - m.begin)").alias("text"))
+    posting = written(method.groupBy("repo", "key", "path").agg(F.min_by("text", "begin").alias("text")), "methods")  # lexed once
+    counts = posting.groupBy(held).agg(F.count("path").alias("candidates"), F.min("path").alias("first"))
+    asked = wanted.select("id", "repo", P.signature_key("signature").alias("key"), "block").distinct()
+
+    blocks = asked.where("block is not null").select("repo", "key", "block").distinct().withColumn("lines", P.code_lines("block"))
+    blocks = blocks.where(F.size("lines") > 0).select("repo", "key", "block", F.size("lines").alias("n"), _run(F.col("lines")).alias("run"))
+    lengths = blocks.select("repo", "key", "n").distinct()
+    several = posting.join(counts.where("candidates > 1").select(held), held, "left_semi").withColumn("lines", P.code_lines("text"))
+    fits = several.select("repo", "key", "path", "lines").join(lengths, held).where(F.size("lines") >= F.col("n"))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("lines") - F.col("n") + 1), lambda i: _run(F.slice("lines", i, F.col("n")))))
+    index = fits.select("repo", "key", "path", "n", F.explode(runs).alias("run")).groupBy("repo", "key", "n", "run").agg(F.min("path").alias("by_block"))
+    placed = blocks.join(index, [*held, "n", "run"]).select("repo", "key", "block", "by_block")
+
+    got = asked.join(counts, held, "left").join(placed, [*held, "block"], "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
     chosen = F.when(F.col("candidates") == 1, "only").when(F.col("by_block").isNotNull(), "block").when(F.col("candidates") > 1, "first")
     return got.select("id", F.coalesce("by_block", "first").alias("path"), "candidates", chosen.alias("chosen"))
 
 
+def _run(lines: Column) -> Column:
+    """What stands for a run of lines: the hash of their text."""
+    return F.sha2(F.array_join(lines, "\n"), 256)
+
+
 def _bare(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", "")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from routelens.adapters import view
+from routelens.operators import methods
 from routelens.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -12,3 +13,17 @@ def test_run_diffs_lead_has_a_row_for_every_run(spark):
     got = catalogue.queries()["run_diffs_lead"](spark, DATA)
     assert got.count() == view(spark, DATA, "runs").count()
     assert got.where("next_ts is null").count() == view(spark, DATA, "runs").select("slug").distinct().count()
+
+
+def test_source_search_meets_no_pairs(spark):
+    """Each wanted method of a signature that all files share finds its block's first file; rows of joins don't multiply."""
+    body = lambda i: f"class C{i} {{\n int f(int a) {{\n  x{i % 3}();\n\n  y{i % 2}();\n }}\n}}"
+    files = spark.createDataFrame([("r", f"p{i:03d}", body(i)) for i in range(300)] + [("r", "p000", None), ("r", None, "")], "repo string, path string, source string")
+    blocks = ["x1();\ny1();", "x2();", "{\n  x2();\n}\n y1();\n", "y1();\nx1();", "", None, "int f(int a) {\n x2();"]
+    wanted = spark.createDataFrame([(i, "r", "f(int z)", blocks[i % 7]) for i in range(350)] + [(900, None, "f(int z)", "x1();"), (901, "r", None, None)], "id int, repo string, signature string, block string")
+    found = methods.source_file_of(files, wanted)
+    first = ["p001", "p002", "p005", None, None, None, "p002"]
+    want = {(i, first[i % 7] or "p000", 300, "block" if first[i % 7] else "first") for i in range(350)} | {(900, None, 0, None), (901, None, 0, None)}
+    assert {tuple(r) for r in found.collect()} == want and found.count() == 352
+    widest = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in widest and "Window" not in widest
