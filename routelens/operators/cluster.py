@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 
 from routelens.functions.vectors import squared_l2
 
+#: Distances that a part of a tree's round holds at once.
+CELLS = 2 << 20
+
 
 def _vectors(df: DataFrame, column: str, cosine: bool) -> DataFrame:
     df = df.withColumn("_raw", array_to_vector(F.col(column).cast("array<double>")))
@@ -84,13 +89,18 @@ def merge_tree(x: np.ndarray, linkage: str = "average", cosine: bool = False) ->
     """Merges (left, right, distance) by Lance and Williams' update; node n + i is the i-th merge. O(n**2) memory.
 
     Distances are Euclidean, or one minus the dot product of unit rows with ``cosine`` (not for ward)."""
-    n = len(x)
     square = np.einsum("ij,ij->i", x, x)
     d = 1 - x @ x.T if cosine else np.sqrt(np.maximum(0, square[:, None] + square[None] - 2 * x @ x.T))
     if linkage == "ward":
         d = d**2
+    return _merged(d, np.ones(len(x)), linkage)
+
+
+def _merged(d: np.ndarray, size: np.ndarray, linkage: str) -> list[tuple[int, int, float]]:
+    """The merges of clusters with these distances (squared for ward) and sizes; both are changed."""
+    n = len(d)
     np.fill_diagonal(d, np.inf)
-    size, name, alive, out = np.ones(n), list(range(n)), np.ones(n, bool), []
+    name, alive, out = list(range(n)), np.ones(n, bool), []
     for step in range(n - 1):
         i, j = divmod(int(np.argmin(d)), n)
         i, j = min(i, j), max(i, j)
@@ -115,6 +125,126 @@ def merge_tree(x: np.ndarray, linkage: str = "average", cosine: bool = False) ->
     return out
 
 
+def _between(x: np.ndarray, w: np.ndarray, start: np.ndarray, size: np.ndarray, take: np.ndarray, linkage: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(clusters, their distances from all) for the clusters ``take``, in parts of bounded memory.
+
+    ``x`` and ``w`` hold the points and their numbers of copies, sorted by cluster, or for ward the centres."""
+    square, many = np.einsum("ij,ij->i", x, x), max(1, CELLS // len(x))
+    merge = {"single": np.minimum, "complete": np.maximum}.get(linkage, np.add)
+    count, copied = np.diff(np.append(start, len(x))), bool((w != 1).any())
+    ends = np.cumsum(count[take])
+    i = 0
+    while i < len(take):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + many, "right")))
+        part = take[i:j]
+        rows = np.concatenate([np.arange(start[c], start[c] + count[c]) for c in part])
+        of = np.repeat(np.arange(len(part)), count[part])
+        got = np.full((len(part), len(start)), {"single": np.inf, "complete": -np.inf}.get(linkage, 0.0))
+        for at in range(0, len(rows), many):  # a large cluster takes several turns
+            r, o = rows[at : at + many], of[at : at + many]
+            d = (-2 * x[r]) @ x.T
+            d += square
+            d += square[r][:, None]
+            np.maximum(d, 0, out=d)
+            if linkage == "ward":
+                d *= 2 * size[part][o][:, None] * size / (size[part][o][:, None] + size)
+            else:
+                np.sqrt(d, out=d)
+                if linkage == "average" and copied:
+                    d *= w
+                    d *= w[r][:, None]
+                d = merge.reduceat(d, start, axis=1) if len(start) < len(x) else d
+            first = np.flatnonzero(np.diff(o, prepend=-1))
+            got[o[first]] = merge(got[o[first]], merge.reduceat(d, first, axis=0))
+        yield part, got / (size[part][:, None] * size) if linkage == "average" else got
+        i = j
+
+
+def merge_rounds(x: np.ndarray, w: np.ndarray, linkage: str = "average", most: int = 2_000) -> list[tuple[int, int, float]]:
+    """The merges of ``merge_tree`` over distinct rows with ``w`` copies each, in memory that grows as the rows.
+
+    Clusters that are each other's nearest merge in rounds, which gives the same tree for these linkages; only clusters that
+    merged, or whose nearest did, look for their nearest again. From ``most`` clusters on their distances are one matrix."""
+    n, start, size, of = len(x), np.arange(len(x)), w.astype(float), np.arange(len(x))
+    w, name, height, out = size.copy(), np.arange(n), np.zeros(n), []
+    nearest, dist = np.zeros(n, np.int64), np.zeros(n)
+    todo = np.arange(n)
+    while len(size) > most:
+        for part, d in _between(x, w, start, size, todo, linkage):
+            d[np.arange(len(part)), part] = np.inf
+            dist[part] = d.min(1)
+            nearest[part] = (d <= dist[part][:, None] + 1e-12).argmax(1)  # the first of those that rounding alone tells apart
+        here = np.arange(len(size))
+        left = np.flatnonzero((nearest[nearest] == here) & (here < nearest))
+        if not len(left):  # distances that differ by their rounding alone
+            left = np.array([dist.argmin()])
+        right = nearest[left]
+        high = np.maximum(np.sqrt(dist[left]) if linkage == "ward" else dist[left], np.maximum(height[left], height[right]))
+        out += zip(name[left].tolist(), name[right].tolist(), high.tolist(), strict=True)
+        if linkage == "ward":
+            both = size[left] + size[right]
+            x[left] = (x[left] * size[left][:, None] + x[right] * size[right][:, None]) / both[:, None]
+        name[left], height[left] = n + len(out) - len(left) + np.arange(len(left)), high
+        size[left] += size[right]
+        changed = np.zeros(len(size), bool)
+        changed[left] = changed[right] = True
+        again = changed | changed[nearest]
+        keep = np.ones(len(size), bool)
+        keep[right] = False
+        to = np.cumsum(keep) - 1
+        to[right] = to[left]
+        nearest, dist, again, name, height, size = to[nearest][keep], dist[keep], again[keep], name[keep], height[keep], size[keep]
+        if linkage == "ward":
+            x, start, w = x[keep], np.arange(len(size)), size
+        else:
+            of = to[of]
+            order = np.argsort(of, kind="stable")
+            x, w, of = x[order], w[order], of[order]
+            start = np.flatnonzero(np.diff(of, prepend=-1))
+        todo = np.flatnonzero(again)
+    d = np.empty((len(size), len(size)))
+    for part, got in _between(x, w, start, size, np.arange(len(size)), linkage):
+        d[part] = got
+    base = n + len(out)
+    known = lambda c: int(name[c]) if c < len(name) else base + c - len(name)
+    last = _merged((d + d.T) / 2, size.copy(), linkage)
+    tops = dict(zip(name.tolist(), height.tolist(), strict=True))
+    for a, b, far in last:
+        a, b = known(a), known(b)
+        tops[n + len(out)] = far = max(far, tops[a], tops[b])
+        out.append((a, b, far))
+    order = np.argsort([far for _, _, far in out], kind="stable")  # a node comes after those below it
+    place = np.empty(len(out), np.int64)
+    place[order] = np.arange(len(out))
+    renamed = lambda c: c if c < n else n + int(place[c - n])
+    return [(renamed(out[i][0]), renamed(out[i][1]), out[i][2]) for i in order]
+
+
+def cuts(x: np.ndarray, ks: list[int], linkage: str, direct: int = 2_000) -> list[list[int]]:
+    """Labels of the rows for every k, in first-seen order. Beyond ``direct`` rows copies merge first, at distance 0, and the
+    tree is that of ``merge_rounds`` over the distinct rows."""
+    n = len(x)
+    if n <= direct:
+        tree = merge_tree(x, linkage)
+        return [cut_tree(tree, n, min(k, n)) for k in ks]
+    _, first, of, copies = np.unique(x, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(first)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    of = place[of.ravel()]
+    tree, out = merge_rounds(x[first[order]], copies[order], linkage, direct), []
+    for k in ks:
+        label = np.array(cut_tree(tree, len(order), min(k, len(order))))[of]
+        if k > len(order):  # more clusters than distinct rows: the last copies stay alone
+            again = np.ones(n, bool)
+            again[first] = False
+            alone = np.array(sorted(np.flatnonzero(again), key=lambda i: (of[i], i))[max(0, n - k) :], np.int64)
+            label[alone] = n + alone
+        seen: dict[int, int] = {}
+        out.append([seen.setdefault(c, len(seen)) for c in label.tolist()])
+    return out
+
+
 def cut_tree(tree: list[tuple[int, int, float]], n: int, k: int) -> list[int]:
     """Labels in first-seen order after the first n - k merges."""
     parent = list(range(2 * n))
@@ -131,19 +261,16 @@ def cut_tree(tree: list[tuple[int, int, float]], n: int, k: int) -> list[int]:
     return [label.setdefault(find(i), len(label)) for i in range(n)]
 
 
-def agglomerative(df: DataFrame, ks: list[int], linkage: str = "average", group: str | None = None, id_column: str = "vec_id", column: str = "embedding", most: int = 5000) -> DataFrame:
-    """(group, id, k, cluster_id) for every k from one tree per group; a group beyond ``most`` rows is an error."""
-    rows = df.select((F.col(group).cast("string") if group else F.lit("all")).alias("grp"), F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
+def agglomerative(df: DataFrame, ks: list[int], linkage: str = "average", group: str | None = None, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(group, id, k, cluster_id) for every k from one tree per group. A group of any size is one task, whose memory grows as
+    its rows and whose time as their square; null vectors take no part."""
+    rows = df.where(F.col(column).isNotNull()).select((F.col(group).cast("string") if group else F.lit("all")).alias("grp"), F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) > most:
-            raise ValueError(f"group of {len(g)} rows; agglomerative trees take at most {most}")
         g = g.sort_values("id")
         x = np.stack(g["v"].to_numpy())
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        tree = merge_tree(x, linkage)
-        parts = [pd.DataFrame({"grp": g["grp"], "id": g["id"], "k": k, "cluster_id": cut_tree(tree, len(g), min(k, len(g)))}) for k in ks]
-        return pd.concat(parts)
+        return pd.concat([pd.DataFrame({"grp": g["grp"], "id": g["id"], "k": k, "cluster_id": label}) for k, label in zip(ks, cuts(x, ks, linkage), strict=True)])
 
     return rows.groupBy("grp").applyInPandas(solve, "grp string, id long, k int, cluster_id int")
 

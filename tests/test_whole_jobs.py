@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from routelens.adapters import view
-from routelens.operators import methods
+from routelens.operators import cluster, methods
 from routelens.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -27,3 +31,25 @@ def test_source_search_meets_no_pairs(spark):
     assert {tuple(r) for r in found.collect()} == want and found.count() == 352
     widest = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in widest and "Window" not in widest
+
+
+@pytest.mark.parametrize("linkage", ["average", "ward", "single", "complete"])
+def test_trees_by_rounds_are_the_trees_of_the_matrix(linkage):
+    r = np.random.default_rng(0)
+    x = r.normal(size=(400, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = cluster.merge_tree(x, linkage)
+    for most in (1, 60):
+        other = cluster.merge_rounds(x.copy(), np.ones(400), linkage, most)
+        assert np.allclose([m[2] for m in tree], [m[2] for m in other])
+        assert all(cluster.cut_tree(tree, 400, k) == cluster.cut_tree(other, 400, k) for k in range(1, 401))
+    copied = np.concatenate([x[:90], x[:30], np.repeat(x[3:4], 40, 0)])[r.permutation(160)]
+    assert cluster.cuts(copied, [1, 3, 90], linkage, direct=20) == cluster.cuts(copied, [1, 3, 90], linkage)
+    assert [len(set(y)) for y in cluster.cuts(copied, [95, 160, 500], linkage, direct=20)] == [95, 160, 160]
+
+
+def test_groups_of_any_size_have_trees(spark):
+    x = np.random.default_rng(1).normal(size=(6000, 2)).round(2)
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)] + [(9000, None, 1)], "vec_id long, embedding array<double>, label int")
+    got = cluster.agglomerative(rows, [2, 5], linkage="ward", group="label").groupBy("k").agg(F.count("*"), F.countDistinct("cluster_id"))
+    assert sorted(map(tuple, got.collect())) == [(2, 6000, 2), (5, 6000, 5)]
