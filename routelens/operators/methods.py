@@ -94,19 +94,29 @@ def match_edits(functions: DataFrame, edits: DataFrame) -> tuple[DataFrame, Data
 
     No function is compared with all edits: of a signature's pieces the rarest among the case's edits (counted exactly) is
     looked up in an index of the edits' pieces, and only what it finds is compared. A piece that no edit has rules a function out.
+    Equal signatures and equal edits of a case are compared once; the pairs of their ids come from the last joins, which are
+    not exchanged again.
     """
     f = functions.where("signature is not null and case_id is not null").select("case_id", "function_id", _bare(F.col("signature")).alias("f"))
-    size = F.element_at(F.filter(F.array(*map(F.lit, PIECES)), lambda x: x <= F.length("f")), 1)
-    f = f.withColumn("size", F.when(F.length("f") > 0, size))
     head = F.regexp_extract("text", r"\A###([^\n]+)", 1)
     e = edits.where("case_id is not null").select("case_id", "edit_id", F.when(F.trim(head) != "", _bare(head)).alias("e"))
-    sizes = f.groupBy("case_id", "size").agg(F.lit(1).alias("one")).where("size is not null").select("case_id", "size")
-    index = e.where("e is not null").join(sizes, "case_id").where("length(e) >= size").select("case_id", "edit_id", "e", "size", F.explode(_pieces("e", "size")).alias("piece"))
+    # an id's signatures, one or several: what has the same ones is one class
+    f_ids = f.groupBy("case_id", "function_id").agg(F.array_sort(F.collect_set("f")).alias("fs"))
+    e_ids = e.where("e is not null").groupBy("case_id", "edit_id").agg(F.array_sort(F.collect_set("e")).alias("es"))
+    f_classes, e_classes = f_ids.select("case_id", "fs").distinct(), e_ids.select("case_id", "es").distinct()
+    of_f, of_e = f_classes.select("case_id", "fs", F.explode("fs").alias("f")), e_classes.select("case_id", "es", F.explode("es").alias("e"))
+    size = F.element_at(F.filter(F.array(*map(F.lit, PIECES)), lambda x: x <= F.length("f")), 1)
+    f_one = of_f.select("case_id", "f").distinct().withColumn("size", F.when(F.length("f") > 0, size))
+    e_one = of_e.select("case_id", "e").distinct()
+    sizes = f_one.where("size is not null").select("case_id", "size").distinct()
+    index = e_one.join(sizes, "case_id").where("length(e) >= size").select("case_id", "e", "size", F.explode(_pieces("e", "size")).alias("piece"))
     counts = index.groupBy("case_id", "piece").agg(F.count("*").alias("c"))
-    asked = f.where("size is not null").select("case_id", "function_id", "f", F.explode(_pieces("f", "size")).alias("piece"))
-    held = asked.join(counts, ["case_id", "piece"], "left").groupBy("case_id", "function_id", "f").agg(F.min_by("piece", F.struct(F.coalesce("c", F.lit(0)), "piece")).alias("piece"), F.min(F.coalesce("c", F.lit(0))).alias("c"))
-    pairs = held.where("c > 0").join(index.select("case_id", "piece", "edit_id", "e"), ["case_id", "piece"]).where(F.contains("e", "f")).select("case_id", "function_id", "edit_id")
-    whole = f.where("size is null").select("case_id", "function_id").join(e.where("e is not null").select("case_id", "edit_id"), "case_id")
-    pairs = pairs.unionByName(whole).distinct()
-    left = e.select("case_id", "edit_id").join(pairs, ["case_id", "edit_id"], "left_anti")
+    asked = f_one.where("size is not null").select("case_id", "f", F.explode(_pieces("f", "size")).alias("piece"))
+    held = asked.join(counts, ["case_id", "piece"], "left").groupBy("case_id", "f").agg(F.min_by("piece", F.struct(F.coalesce("c", F.lit(0)), "piece")).alias("piece"), F.min(F.coalesce("c", F.lit(0))).alias("c"))
+    met = held.where("c > 0").join(index.select("case_id", "piece", "e"), ["case_id", "piece"]).where(F.contains("e", "f")).select("case_id", "f", "e")
+    whole = f_one.where("size is null").select("case_id", "f").join(e_one, "case_id")
+    classes = met.unionByName(whole).join(of_f, ["case_id", "f"]).join(of_e, ["case_id", "e"]).select("case_id", "fs", "es").distinct()
+    pairs = classes.join(f_ids, ["case_id", "fs"]).join(e_ids, ["case_id", "es"]).select("case_id", "function_id", "edit_id")
+    taken = classes.select("case_id", "es").distinct().join(e_ids, ["case_id", "es"]).select("case_id", "edit_id")
+    left = e.select("case_id", "edit_id").join(taken, ["case_id", "edit_id"], "left_anti")
     return pairs, left.groupBy("case_id").agg(F.count("*").alias("unassigned"))

@@ -53,3 +53,13 @@ def test_groups_of_any_size_have_trees(spark):
     rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)] + [(9000, None, 1)], "vec_id long, embedding array<double>, label int")
     got = cluster.agglomerative(rows, [2, 5], linkage="ward", group="label").groupBy("k").agg(F.count("*"), F.countDistinct("cluster_id"))
     assert sorted(map(tuple, got.collect())) == [(2, 6000, 2), (5, 6000, 5)]
+
+
+def test_copies_of_edits_and_functions_meet_once(spark):
+    """Copies pair up in the last joins alone; an id with several signatures gives a pair once."""
+    functions = spark.createDataFrame([("c", i, "f(int)") for i in range(60)] + [("c", 99, "f("), ("c", 99, "int)"), ("c", 99, "int)")], "case_id string, function_id int, signature string")
+    edits = spark.createDataFrame([("c", i, "### f( int )\nx") for i in range(50)] + [("c", 70, "### g()"), ("c", 7, "### int f(int)"), (None, 1, "### f(int)")], "case_id string, edit_id int, text string")
+    pairs, left = methods.match_edits(functions, edits)
+    assert sorted(map(tuple, pairs.collect())) == sorted(("c", f, e) for f in [*range(60), 99] for e in range(50)) and list(map(tuple, left.collect())) == [("c", 1)]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Project") and "Join" in plan.split("\n")[1]  # nothing gathers the pairs after the join
