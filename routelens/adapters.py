@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from routelens.operators.shared import bounded_batches
+
 #: View name -> (SQL for Spark, SQL for DuckDB); one string where both read it alike.
 VIEWS: dict[str, str | tuple[str, str]] = {
     "samples": "select cast(user_id as bigint) as slug, case when event_type = 'click' then 'edit' else 'gen' end as strategy, value, event_id as ord from events where event_type in ('click', 'view')",
@@ -62,6 +64,7 @@ def with_views(sql: str, duck: bool = False) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

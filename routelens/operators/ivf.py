@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from routelens.functions import vectors as V
-from routelens.operators.shared import written
+from routelens.operators.shared import bounded_batches, written
 
 #: Bounds: rows that centres and codebooks are fitted on, sampled queries of the calibration, lists, codewords of a part.
 TRAIN_ROWS, TRIAL_ROWS, MOST_LISTS, CODES = 20_000, 256, 4096, 256
-#: Codes of a block and queries of a pack.
-BLOCK, QUERIES = 16_384, 256
+#: Codes of a block, queries of a pack, and copies of queries that are made at once.
+BLOCK, QUERIES, PROBED = 16_384, 256, 8_192
 KINDS, METRICS = ("ivf_flat", "ivf_pq"), ("cosine", "l2", "ip")
 
 
@@ -106,6 +106,7 @@ class IVFIndex:
         """
         if kind not in KINDS or metric not in METRICS:
             raise ValueError(f"kind is one of {KINDS}, metric one of {METRICS}")
+        bounded_batches(rows.sparkSession)
         spark, path, v = rows.sparkSession, path.rstrip("/"), _usable(rows, "id")
         n, least, dims = v.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
         if not n or least != dims:
@@ -208,13 +209,15 @@ class IVFIndex:
         centres, metric = self.centres, self.facts["metric"]
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            many = max(1, PROBED // probes)  # a query's vector goes out once a list
             for b in batches:
-                if not len(b):
-                    continue
-                x = _measured(_matrix(b.column(1)), metric)
-                near = np.argsort(_to_centres(x, centres, metric), 1, kind="stable")[:, :probes].astype(np.int32)
-                rows = np.repeat(np.arange(len(b)), near.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), b.column(0).take(pa.array(rows)), pa.array([x[i].tobytes() for i in rows])], ["list", "query_id", "q"])
+                for part in (b.slice(i, many) for i in range(0, len(b), many)):
+                    x = _measured(_matrix(part.column(1)), metric)
+                    near = np.argsort(_to_centres(x, centres, metric), 1, kind="stable")[:, :probes].astype(np.int32)
+                    rows = np.repeat(np.arange(len(part)), near.shape[1])
+                    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (8 * x.shape[1])
+                    q = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x[rows], float))])
+                    yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), part.column(0).take(pa.array(rows)), q], ["list", "query_id", "q"])
 
         asked = queries.mapInArrow(probe, "list int, query_id string, q binary")
         packs = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("packs"))
@@ -233,6 +236,7 @@ class IVFIndex:
         or negative inner product; ties go to the smaller id. ``depth`` codes a query are compared by their vectors (10 k).
         Of rows that repeat a query_id one vector is searched.
         """
+        bounded_batches(self.spark)  # rows of blocks are long
         facts, centres, books, dims = self.facts, self.centres, self.books, self.facts["dims"]
         metric, depth, probes = facts["metric"], max(k, depth or 10 * k), min(probes or facts["probes"], facts["lists"])
         asked = _usable(queries, "query_id").where(F.size("embedding") == dims).groupBy("query_id").agg(F.min("embedding").alias("embedding"))
