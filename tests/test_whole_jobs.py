@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from routelens.adapters import view
+from routelens.adapters import read_table, view
 from routelens.operators import cluster, methods
 from routelens.plans import catalogue
 
@@ -63,3 +63,10 @@ def test_copies_of_edits_and_functions_meet_once(spark):
     assert sorted(map(tuple, pairs.collect())) == sorted(("c", f, e) for f in [*range(60), 99] for e in range(50)) and list(map(tuple, left.collect())) == [("c", 1)]
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lstrip().startswith("Project") and "Join" in plan.split("\n")[1]  # nothing gathers the pairs after the join
+
+
+def test_batches_of_long_rows_are_bounded(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = read_table(spark, DATA, "documents").limit(1).select(F.explode(F.sequence(F.lit(1), F.lit(2000))).alias("i")).repartition(1).select(F.repeat(F.lit("x"), 20_000).alias("t"))
+    largest = rows.mapInArrow(lambda batches: (b.from_pydict({"n": [len(b)]}) for b in batches), "n long").agg(F.max("n")).first()[0]
+    assert largest * 20_000 <= 9 << 20
