@@ -1,6 +1,7 @@
 """Model answers to unified diffs: strategies are tried in order, each failure is kept, and nothing is raised.
 
-Signatures meet methods and patches meet sources by joins; what is left is one row a patch, which a small fold turns to a diff.
+Each source is lexed once and meets its patches by one sorted join on the path; what is left is one row a patch, which a small
+fold turns to a diff.
 """
 
 from __future__ import annotations
@@ -10,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelens.functions import patches as P
-from routelens.operators.methods import method_table
+from routelens.functions.java import java_methods
+from routelens.operators.shared import written
 
 #: The strategies, in the order in which they are tried.
 METHOD, FILE, MANUAL = "method_scoped_exact", "file_scoped_exact", "manual_review"
+#: What is kept of a method's place.
+_PLACE = ("first_line", "last_line", "begin", "end")
 _OUTCOME = "strategy string, located int, tried array<struct<strategy:string,block:int,quality:string>>, diff string"
 
 
@@ -72,11 +76,20 @@ def _rewritten(source: str, blocks: list, ms: list) -> tuple[str, int, list, str
     return METHOD, located, [], "".join(out) + source[at:]
 
 
-def _outcome(source: pd.Series, kind: pd.Series, path: pd.Series, blocks: pd.Series, ms: pd.Series) -> pd.DataFrame:
+def _named(blocks: list, keys: list | None, places: list | None) -> list[dict | None]:
+    """The first method that each block names, or None."""
+    at: dict[str, int] = {}
+    for n, key in enumerate(() if keys is None else keys):
+        at.setdefault(key, n)
+    found = [at.get(P.signature_text(b["signature"] or "")) for b in blocks]
+    return [None if n is None else dict(zip(_PLACE, map(int, places[n * len(_PLACE) : (n + 1) * len(_PLACE)]), strict=True)) for n in found]
+
+
+def _outcome(source: pd.Series, kind: pd.Series, path: pd.Series, blocks: pd.Series, keys: pd.Series, places: pd.Series) -> pd.DataFrame:
     out = []
-    for s, k, p, bs, found in zip(source, kind, path, blocks, ms, strict=True):
-        bs, found = list(bs), [None if m is None or pd.isna(m["begin"]) else {c: int(x) for c, x in m.items()} for m in found]
-        found += [None] * (len(bs) - len(found))
+    for s, k, p, bs, *ms in zip(source, kind, path, blocks, keys, places, strict=True):
+        bs = list(bs)
+        found = _named(bs, *ms)
         if k == "edit" and (bs or s is not None):
             strategy, located, tried, after = _edited(s, bs, found)
         elif k == "rewrite" and s is not None:
@@ -87,8 +100,8 @@ def _outcome(source: pd.Series, kind: pd.Series, path: pd.Series, blocks: pd.Ser
     return pd.DataFrame(out, columns=["strategy", "located", "tried", "diff"])
 
 
-def normalize(patches: DataFrame, files: DataFrame) -> DataFrame:
-    """Per patch: id, strategy, located (blocks that found their place), tried, diff.
+def normalize(patches: DataFrame, files: DataFrame, with_source: bool = False) -> DataFrame:
+    """Per patch: id, strategy, located (blocks that found their place), tried, diff; its source too, if asked for.
 
     ``patches`` needs id, path, kind ("edit" or "rewrite") and blocks (array of signature, search, replace; a rewrite's code is
     in replace), ``files`` path and source; other columns are ignored.
@@ -102,17 +115,17 @@ def normalize(patches: DataFrame, files: DataFrame) -> DataFrame:
     Lines are compared without indent, blank ones and lone braces left out. Patches of unknown kind and rewrites of unknown
     files go to manual review as well. Null or empty blocks give an empty diff. Repeated patches give one row each; of files
     that repeat a path one counts.
+
+    The join is never a broadcast: sources compress so well that their exchanged size says little of what they fill in memory.
     """
-    first = method_table(files).groupBy("path", "key").agg(F.min_by(F.struct("first_line", "last_line", "begin", "end"), "place").alias("m"))
+    texts = files.groupBy("path").agg(F.min("source").alias("source")).withColumn("ms", java_methods("source"))
+    places = F.flatten(F.transform("ms", lambda m: F.array(*(m[c] for c in _PLACE))))
+    sources = written(texts.select("path", "source", F.transform("ms", lambda m: m["key"]).alias("keys"), places.alias("places")), "sources")  # lexed once
     p = patches.select("id", "path", "kind", F.coalesce("blocks", F.array()).alias("blocks"))
-    p = p.withColumn("row", F.struct("path", "blocks"))  # equal ones meet the same methods
-    each = p.select("row", "path", F.posexplode("blocks").alias("n", "b")).withColumn("key", P.signature_key("b.signature")).drop("b").distinct()
-    ranges = each.join(first, ["path", "key"], "left").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "m"))), lambda x: x["m"]).alias("ms"))
-    held = p.join(ranges, "row", "left").join(files.groupBy("path").agg(F.min("source").alias("source")), "path", "left")
-    none = F.array().cast(ranges.schema["ms"].dataType)
+    held = p.join(sources.hint("merge"), "path", "left")
     fold = F.pandas_udf(_outcome, _OUTCOME)
-    got = held.select("id", fold("source", "kind", P.relative_path(F.col("path")), "blocks", F.coalesce("ms", none)).alias("x"))
-    return got.select("id", "x.*")
+    got = held.select("id", "source", fold("source", "kind", P.relative_path(F.col("path")), "blocks", "keys", "places").alias("x"))
+    return got.select("id", *["source"] * with_source, "x.*")
 
 
 def failure_report(normalized: DataFrame) -> DataFrame:

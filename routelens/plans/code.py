@@ -97,8 +97,7 @@ def _patches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def patches_normalized(spark: SparkSession, d: str) -> DataFrame:
-    files, patches = _files(spark, d), _patches(spark, d)
-    got = normalize.normalize(patches, files).join(patches.select("id", "path"), "id").join(files.select("path", "source"), "path")
+    got = normalize.normalize(_patches(spark, d), _files(spark, d), with_source=True)
     last = F.element_at(F.transform("tried", lambda x: x["quality"]), -1)
     after = F.when(F.col("diff").isNotNull(), F.md5(P.apply_unified_diff("source", "diff")))
     return got.select("id", "strategy", "located", F.size("tried").alias("failures"), F.when(F.size("tried") > 0, last).alias("quality"), after.alias("after"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routelens.adapters import read_table, view
-from routelens.operators import cluster, methods
+from routelens.operators import cluster, methods, normalize
 from routelens.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -70,3 +70,15 @@ def test_batches_of_long_rows_are_bounded(spark):
     rows = read_table(spark, DATA, "documents").limit(1).select(F.explode(F.sequence(F.lit(1), F.lit(2000))).alias("i")).repartition(1).select(F.repeat(F.lit("x"), 20_000).alias("t"))
     largest = rows.mapInArrow(lambda batches: (b.from_pydict({"n": [len(b)]}) for b in batches), "n long").agg(F.max("n")).first()[0]
     assert largest * 20_000 <= 9 << 20
+
+
+def test_sources_meet_their_patches_without_a_broadcast(spark):
+    """Texts that compress well look small where they are exchanged; a table of them fills memory all the same."""
+    body = lambda i: f"class C{i} {{\n int f(int a) {{\n  x();\n }}\n" + "// same\n" * 500 + "}"
+    files = spark.createDataFrame([(f"p{i}", body(i)) for i in range(40)], "path string, source string").repartition(3)
+    patches = [(i, f"p{i % 45}", "edit", [("f(int z)" if i % 2 else "gone()", "x();", f"y{i}();")]) for i in range(200)]
+    kind = "id int, path string, kind string, blocks array<struct<signature:string,search:string,replace:string>>"
+    got = normalize.normalize(spark.createDataFrame(patches, kind).repartition(3), files)
+    rows = {r["id"]: (r["strategy"], "" if r["diff"] is None else r["diff"].split("\n")[-4]) for r in got.collect()}
+    want = {i: (normalize.MANUAL, "") if i % 45 >= 40 else (normalize.METHOD if i % 2 else normalize.FILE, f"+y{i}();") for i in range(200)}
+    assert rows == want and "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
