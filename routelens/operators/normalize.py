@@ -7,7 +7,7 @@ fold turns to a diff.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routelens.functions import patches as P
@@ -149,5 +149,5 @@ def report_rows(normalized: DataFrame) -> DataFrame:
 def report_summary(reports: DataFrame) -> DataFrame:
     """status, strategy, n and share of all."""
     counted = reports.groupBy("status", "strategy").agg(F.count("*").alias("n"))
-    total = reports.agg(F.count("*").alias("total"))
-    return counted.join(F.broadcast(total)).select("status", "strategy", "n", (F.col("n") / F.col("total")).alias("share"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # a row for each status and strategy
+    return counted.select("status", "strategy", "n", (F.col("n") / total).alias("share"))
