@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routelens.functions.vectors import squared_l2
-
 #: Distances that a part of a tree's round holds at once.
 CELLS = 2 << 20
 
@@ -55,34 +54,84 @@ def hierarchical_kmeans(df: DataFrame, per_level: list[int], id_column: str = "v
     """(id, path): each cluster is split again per level, and path holds the cluster of each level.
 
     A level starts from centres fitted on at most ``sample`` rows of each cluster (by a hash of the id) and refines them by
-    ``rounds`` grouped means over all rows. Only centres, bounded by the product of ``per_level``, reach the driver. Null
-    vectors take no part.
+    ``rounds`` grouped means over all rows, summed batch by batch first. Only centres, bounded by the product of ``per_level``, and
+    counts of hash ranges reach the driver. Null vectors take no part.
     """
-    spark = df.sparkSession
-    rows = df.where(F.col(column).isNotNull()).select(id_column, F.col(column).cast("array<double>").alias("v"), F.lit("root").alias("path"))
     kind = "path string, centres array<array<double>>"
+    rows = df.where(F.col(column).isNotNull()).select(id_column, F.col(column).cast("array<double>").alias("v"), F.lit("root").alias("path"))
+    placed = f"{id_column} {rows.schema[id_column].dataType.simpleString()}, v array<double>, path string"
     for k in per_level:
 
         def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
             g = g.sort_values(id_column)
             return pd.DataFrame({"path": [key[0]], "centres": [_lloyd(np.stack(g["v"].to_numpy()), k).tolist()]})  # noqa: B023
 
-        order = Window.partitionBy("path").orderBy(F.xxhash64(id_column), id_column)
-        picked = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).drop("_n")
-        centres = spark.createDataFrame(picked.groupBy("path").applyInPandas(fit, kind).collect(), kind)
+        centres = _centres(_first_by_hash(rows, id_column, sample).groupBy("path").applyInPandas(fit, kind))
         for _ in range(rounds):
-            means = _nearest(rows, centres).select("path", "c", F.posexplode("v").alias("pos", "x")).groupBy("path", "c", "pos").agg(F.avg("x").alias("x"))
+            sums = rows.select("path", "v").mapInArrow(_summed(centres), "path string, c int, n long, v array<double>")
+            means = sums.select("path", "c", "n", F.posexplode("v").alias("pos", "x")).groupBy("path", "c", "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
             means = means.groupBy("path", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda z: z["x"]).alias("v"))
-            means = means.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda z: z["v"]).alias("centres"))
-            centres = spark.createDataFrame(means.collect(), kind)
-        rows = _nearest(rows, centres).select(id_column, "v", F.concat_ws("/", "path", F.col("c").cast("string")).alias("path"))
+            centres = _centres(means.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda z: z["v"]).alias("centres")))
+        rows = rows.mapInArrow(_split(centres), placed)
     return rows.select(id_column, "path")
 
 
-def _nearest(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    """``rows`` with c, the place of the nearest centre of their path."""
-    far = F.transform("centres", lambda m: squared_l2(F.col("v"), m))
-    return rows.join(F.broadcast(centres), "path").withColumn("_far", far).withColumn("c", F.array_position("_far", F.array_min("_far")) - 1).drop("_far", "centres")
+def _first_by_hash(rows: DataFrame, id_column: str, most: int) -> DataFrame:
+    """Of each path the first ``most`` rows by a hash of the id. Ranges of the hash are counted, so that only rows of those that
+    hold the first ones are sorted."""
+    place = F.shiftright(F.xxhash64(id_column), 54)
+    last: dict[str, int] = {}
+    seen: dict[str, int] = {}
+    for r in rows.groupBy("path", place.alias("place")).count().orderBy("path", "place").collect():  # at most 1,024 a path
+        if seen.get(r["path"], 0) < most:
+            last[r["path"]] = r["place"]
+        seen[r["path"]] = seen.get(r["path"], 0) + r["count"]
+    if not last:
+        return rows
+    bound = F.create_map(*(F.lit(x) for item in last.items() for x in item))
+    order = Window.partitionBy("path").orderBy(F.xxhash64(id_column), id_column)
+    return rows.where(place <= F.element_at(bound, F.col("path"))).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
+
+def _centres(df: DataFrame) -> dict[str, np.ndarray]:
+    return {r["path"]: np.array(r["centres"]) for r in df.collect()}
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of equally long vectors, in double precision."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1 if len(column) else 0)
+
+
+def _nearest(batch: pa.RecordBatch, centres: dict[str, np.ndarray]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(path, places in the batch, vectors, place of the nearest centre) for each path in the batch."""
+    paths, x = batch.column("path").to_numpy(zero_copy_only=False), matrix(batch.column("v"))
+    for path in sorted(set(paths)):
+        at = np.flatnonzero(paths == path)
+        yield path, at, x[at], np.argmin([((x[at] - c) ** 2).sum(1) for c in centres[path]], 0)
+
+
+def _summed(centres: dict[str, np.ndarray]) -> Callable:
+    """Numbers and sums of each batch's rows by their path and nearest centre."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(path, int(c), int((to == c).sum()), x[to == c].sum(0).tolist()) for path, _, x, to in _nearest(batch, centres) for c in np.unique(to)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["path", "c", "n", "v"])
+
+    return sums
+
+
+def _split(centres: dict[str, np.ndarray]) -> Callable:
+    """Rows with the place of the nearest centre added to their path."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            path = np.empty(batch.num_rows, object)
+            for parent, at, _, to in _nearest(batch, centres):
+                path[at] = [f"{parent}/{c}" for c in to]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(path, pa.string())], batch.schema.names)
+
+    return split
 
 
 def merge_tree(x: np.ndarray, linkage: str = "average", cosine: bool = False) -> list[tuple[int, int, float]]:

@@ -45,6 +45,7 @@ def samples(vectors: DataFrame, assigned: DataFrame, samplers: list[str], most:
     names = assigned.sparkSession.createDataFrame([(a, k, i) for i, (a, k) in enumerate(found)], "algorithm string, k int, place long")
     key = (F.col("place") * MOST_CLUSTERS + F.col("cluster_id")).alias("key")
     rows = assigned.join(F.broadcast(names), ["algorithm", "k"]).select(key, "id").join(vectors.select(F.col("vec_id").cast("long").alias("id"), "embedding"), "id")
+    rows = written(rows, "members")  # each sampler reads it several times
     out = None
     for sampler in samplers:
         part = sample.representatives(rows, most, sampler, "key", "id").select(F.lit(sampler).alias("sampler"), F.floor(F.col("cluster_id") / MOST_CLUSTERS).alias("place"), (F.col("cluster_id") % MOST_CLUSTERS).alias("cluster_id"), "rank", "id")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.functions.vectors import dot, l2_normalize
+from routelens.operators.cluster import matrix
 
 
 def farthest_first_order(x: np.ndarray, most: int) -> list[int]:
@@ -59,42 +62,71 @@ def representatives(df: DataFrame, per_cluster: int, method: str = "farthest_fir
     return rows.groupBy("cluster_id").applyInPandas(pick, "cluster_id long, rank int, id long")
 
 
+def _scored(batches: Iterator[pa.RecordBatch], method: str, state: dict[int | None, tuple]) -> Iterator[tuple]:
+    """(cluster, ids, unit vectors, scores) of each batch's rows of the clusters in ``state`` that aren't taken yet."""
+    for batch in batches:
+        keys, ids, x = batch.column("cluster_id").to_pandas().to_numpy(object), batch.column("id").to_numpy(), matrix(batch.column("v"))
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        place: dict[int | None, list[int]] = {}
+        for i, key in enumerate(keys.tolist()):
+            place.setdefault(None if key is None or key != key else int(key), []).append(i)
+        for key, at in place.items():
+            if key not in state:
+                continue
+            mean, taken, held = state[key]
+            at = np.array(at)[~np.isin(ids[at], taken)]
+            v = x[at]
+            if method == "farthest_first":
+                score = np.round((1 - v @ np.array(held).T).min(1) if held else v @ mean, 9)
+            else:
+                score = np.einsum("ij,ij->i", v, v)
+                score = np.round(score - ((v @ np.array(held).T) ** 2).sum(1) if held else score, 12)
+            if len(at):
+                yield key, ids[at], v, score
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"cluster_id": pa.int64(), "id": pa.int64(), "score": pa.float64(), "v": pa.list_(pa.float64())}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
+
+
 def _by_rounds(rows: DataFrame, per_cluster: int, method: str) -> DataFrame:
-    """One pick of each cluster per round. The driver holds the picks alone: clusters times ``per_cluster`` vectors."""
+    """One pick of each cluster per round: each batch's best first, then the best of all by a grouped maximum. The driver holds
+    the picks and means alone: clusters times ``per_cluster`` + 1 vectors."""
     spark, diverse = rows.sparkSession, method == "farthest_first"
-    rows = rows.withColumn("v", l2_normalize(F.col("v")))
-    kind = "cluster_id long, taken array<long>, held array<array<double>>"
-    held: dict[int | None, tuple[list, list]] = {}
+    kind = "cluster_id long, id long, score double, v array<double>"
+    keys = [r["cluster_id"] for r in rows.select("cluster_id").distinct().collect()]
+    state: dict[int | None, tuple] = {c: (None, [], []) for c in keys}
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids, v, _ in _scored(batches, "kdpp", state):
+            yield _table([(key, len(ids), 0.0, v.sum(0).tolist())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids, v, score in _scored(batches, method, state):
+            i = np.lexsort((ids, -score))[0]
+            yield _table([(key, int(ids[i]), float(score[i]), v[i].tolist())])
+
     if diverse:
-        means = rows.select("cluster_id", F.posexplode("v").alias("pos", "x")).groupBy("cluster_id", "pos").agg(F.avg("x").alias("x"))
-        means = means.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda z: z["x"]).alias("m"))
-        scored = rows.join(F.broadcast(means), "cluster_id").withColumn("score", F.round(dot(F.col("v"), F.col("m")), 9))
-    else:
-        scored = rows.withColumn("score", F.round(dot(F.col("v"), F.col("v")), 12))
+        parts = rows.mapInArrow(sums, kind).select("cluster_id", F.col("id").alias("n"), F.posexplode("v").alias("pos", "x"))
+        means = parts.groupBy("cluster_id", "pos").agg((F.sum("x") / F.sum("n")).alias("x")).groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda z: z["x"]).alias("m"))
+        state = {r["cluster_id"]: (np.array(r["m"]), [], []) for r in means.collect()}
     out: list[tuple] = []
     for rank in range(1, per_cluster + 1):
-        best = scored.groupBy("cluster_id").agg(F.max_by(F.struct("id", "v", "score"), F.struct("score", -F.col("id"))).alias("b")).collect()
-        best = [(r["cluster_id"], r["b"]) for r in best if diverse or r["b"]["score"] > 1e-14]
-        if not best:
-            break
-        for c, b in best:
-            taken, vectors = held.setdefault(c, ([], []))
+        found = rows.mapInArrow(best, kind).groupBy("cluster_id").agg(F.max_by(F.struct("id", "v", "score"), F.struct("score", -F.col("id"))).alias("b")).collect()
+        found = [(r["cluster_id"], r["b"]) for r in found if diverse or r["b"]["score"] > 1e-14]
+        for c, b in found:
+            _, taken, held = state[c]
             v = np.array(b["v"])
             if not diverse:  # what is left of the pick beside those before it
-                for q in vectors:
-                    v = v - (v @ np.array(q)) * np.array(q)
+                for q in held:
+                    v = v - (v @ q) * q
                 v = v / np.linalg.norm(v)
             taken.append(b["id"])
-            vectors.append(v.tolist())
+            held.append(v)
             out.append((c, rank, b["id"]))
-        if rank == per_cluster:
+        done = {c for c, _ in found}
+        state = {c: x for c, x in state.items() if c in done}
+        if not state:
             break
-        done = {c for c, _ in best}
-        state = spark.createDataFrame([(c, t, v) for c, (t, v) in held.items() if c in done], kind)
-        left = rows.join(F.broadcast(state), "cluster_id").where(~F.array_contains("taken", F.col("id")))
-        if diverse:
-            score = F.round(F.array_min(F.transform("held", lambda q: 1 - dot(F.col("v"), q))), 9)
-        else:
-            score = F.round(F.aggregate("held", dot(F.col("v"), F.col("v")), lambda s, q: s - dot(F.col("v"), q) * dot(F.col("v"), q)), 12)
-        scored = left.withColumn("score", score).select("cluster_id", "id", "v", "score")
     return spark.createDataFrame(out, "cluster_id long, rank int, id long")

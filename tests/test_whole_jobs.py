@@ -82,3 +82,15 @@ def test_sources_meet_their_patches_without_a_broadcast(spark):
     rows = {r["id"]: (r["strategy"], "" if r["diff"] is None else r["diff"].split("\n")[-4]) for r in got.collect()}
     want = {i: (normalize.MANUAL, "") if i % 45 >= 40 else (normalize.METHOD if i % 2 else normalize.FILE, f"+y{i}();") for i in range(200)}
     assert rows == want and "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_rows_by_hash_sort_few_rows(spark):
+    """A level's sample is that of sorting all rows, but only ranges of the hash that hold it reach the sort."""
+    rows = spark.range(0, 30_000).select(F.col("id").alias("vec_id"), F.concat(F.lit("root/"), (F.col("id") % 2).cast("string")).alias("path")).unionByName(spark.range(40_000, 40_007).select(F.col("id").alias("vec_id"), F.lit("small").alias("path")))
+    got = cluster._first_by_hash(rows, "vec_id", 100)
+    want = [r["vec_id"] for p in ("root/0", "root/1", "small") for r in rows.where(F.col("path") == p).orderBy(F.xxhash64("vec_id"), "vec_id").limit(100).collect()]
+    assert sorted(r["vec_id"] for r in got.collect()) == sorted(want) and len(want) == 207
+    sorted_rows = got._jdf.queryExecution().optimizedPlan()
+    while sorted_rows.nodeName() != "Window":
+        sorted_rows = sorted_rows.children().head()
+    assert spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sorted_rows.children().head()).count() < 400
