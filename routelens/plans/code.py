@@ -145,9 +145,8 @@ def chunks_halved(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    pieces = read_table(spark, d, "documents").select("doc_id", chunks.halved("text", 300, ranks, pattern).alias("pieces"))
-    most = pieces.select("doc_id", "pieces", F.explode_outer("pieces").alias("piece")).withColumn("tokens", chunks.token_number("piece", ranks, pattern))
-    return most.groupBy("doc_id", F.md5(F.array_join("pieces", "")).alias("digest")).agg((F.max("tokens") <= 300).alias("within"))
+    cut = read_table(spark, d, "documents").select("doc_id", chunks.halved_counted("text", 300, ranks, pattern).alias("cut"))
+    return cut.select("doc_id", F.md5(F.array_join("cut.pieces", "")).alias("digest"), (F.array_max("cut.tokens") <= 300).alias("within"))
 
 
 def edits_applied_in_order(spark: SparkSession, d: str) -> DataFrame:

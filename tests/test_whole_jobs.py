@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routelens.adapters import read_table, view
+from routelens.functions import chunks
 from routelens.operators import cluster, methods, normalize
 from routelens.plans import catalogue
 
@@ -94,3 +95,22 @@ def test_first_rows_by_hash_sort_few_rows(spark):
     while sorted_rows.nodeName() != "Window":
         sorted_rows = sorted_rows.children().head()
     assert spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sorted_rows.children().head()).count() < 400
+
+
+@pytest.mark.parametrize("query", ["chunks_halved"])
+def test_a_row_passes_one_python_worker(spark, query):
+    """Each Python step of a task holds a worker of its own, with its modules, vocabulary and batches."""
+    plan = catalogue.queries()[query](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1 and "Generate" not in plan and "Exchange" not in plan
+
+
+def test_halving_counts_its_pieces(spark):
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    texts = ["", "naïve 😀 text " * 30, "word " * 900, None, "a   b\n\n\n" * 50, "a   b\n\n\n" * 50]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(chunks.halved_counted("t", 20, ranks, pattern).alias("c"))
+    pieces = rows.select(F.explode(F.arrays_zip("c.pieces", "c.tokens")).alias("p")).select(F.col("p.tokens").alias("n"), chunks.token_number("p.pieces", ranks, pattern).alias("again")).collect()
+    assert len(pieces) > 100 and all(r["n"] == r["again"] <= 20 for r in pieces)
+    assert [r["c"]["pieces"] and "".join(r["c"]["pieces"]) for r in rows.collect()] == texts
+    assert [r["c"]["tokens"] for r in rows.collect()][3] is None
