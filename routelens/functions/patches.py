@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from routelens.functions.text import JAVA_WORDS
+from routelens.functions.text import JAVA_WORDS, reverse_diff
 
 #: Roots that source paths are taken from, in order; prefixes of names that keep their sense.
 ROOTS = ("source/", "src/main/java/", "src/")
@@ -247,6 +247,20 @@ apply_unified_diff = _string_function(apply_diff, arity=2)
 unified_diff = _string_function(diff_text, arity=3)
 
 
+@F.pandas_udf(StructType([StructField("patch", StringType()), StructField("applied", StringType())]))
+def diff_applied(before: pd.Series, after: pd.Series, path: pd.Series) -> pd.DataFrame:
+    """struct<patch, applied>: the unified diff, and ``before`` after its hunks, both in one Python worker."""
+    patch = _texts(diff_text)(before, after, path)
+    return pd.DataFrame({"patch": patch, "applied": _texts(apply_diff)(before, patch)})
+
+
+@F.pandas_udf(StructType([StructField("patch", StringType()), StructField("applied", StringType())]))
+def diff_undone(before: pd.Series, after: pd.Series, path: pd.Series) -> pd.DataFrame:
+    """struct<patch, applied>: the diff that undoes a unified diff, and ``after`` after its hunks, both in one Python worker."""
+    patch = _texts(lambda *texts: reverse_diff(diff_text(*texts)))(before, after, path)
+    return pd.DataFrame({"patch": patch, "applied": _texts(apply_diff)(after, patch)})
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def code_lines(text: pd.Series) -> pd.Series:
     """Lines that carry code, as ``locate`` compares them."""

@@ -87,40 +87,39 @@ def hash_identifiers(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else _NAME.sub(sub, t))
 
 
-@F.pandas_udf(StringType())
-def reverse_patch(texts: pd.Series) -> pd.Series:
+def reverse_diff(text: str) -> str:
     """The unified diff that undoes a patch: sides swapped, deletions before additions in each run."""
-
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        out, minus, plus = [], [], []
-
-        def flush() -> None:
-            out.extend(minus + plus)
-            minus.clear()
-            plus.clear()
-
-        for line in text.split("\n"):
-            if line.startswith(("--- ", "+++ ")):
-                flush()
-                if line[0] == "+":  # names swap places
-                    last = out.pop() if out and out[-1].startswith("--- ") else None
-                    out.append("--- " + line[4:])
-                    out.append("+++ " + (last or "--- ")[4:])
-                else:
-                    out.append(line)
-            elif m := re.match(r"@@ -(\S+) \+(\S+) @@(.*)", line):
-                flush()
-                out.append(f"@@ -{m[2]} +{m[1]} @@{m[3]}")
-            elif line.startswith("+"):
-                minus.append("-" + line[1:])
-            elif line.startswith("-"):
-                plus.append("+" + line[1:])
+    out, minus, plus = [], [], []
+
+    def flush() -> None:
+        out.extend(minus + plus)
+        minus.clear()
+        plus.clear()
+
+    for line in text.split("\n"):
+        if line.startswith(("--- ", "+++ ")):
+            flush()
+            if line[0] == "+":  # names swap places
+                last = out.pop() if out and out[-1].startswith("--- ") else None
+                out.append("--- " + line[4:])
+                out.append("+++ " + (last or "--- ")[4:])
             else:
-                flush()
                 out.append(line)
-        flush()
-        return "\n".join(out)
+        elif m := re.match(r"@@ -(\S+) \+(\S+) @@(.*)", line):
+            flush()
+            out.append(f"@@ -{m[2]} +{m[1]} @@{m[3]}")
+        elif line.startswith("+"):
+            minus.append("-" + line[1:])
+        elif line.startswith("-"):
+            plus.append("+" + line[1:])
+        else:
+            flush()
+            out.append(line)
+    flush()
+    return "\n".join(out)
 
-    return texts.map(one)
+
+@F.pandas_udf(StringType())
+def reverse_patch(texts: pd.Series) -> pd.Series:
+    """``reverse_diff`` of each patch; null for a null one."""
+    return texts.map(lambda t: None if t is None else reverse_diff(t))

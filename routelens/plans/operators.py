@@ -93,15 +93,14 @@ def search_replace_apply(spark: SparkSession, d: str) -> DataFrame:
 
 def diff_round_trip(spark: SparkSession, d: str) -> DataFrame:
     after = F.concat(F.lit("first\n"), "text", F.lit("\nlast"))
-    docs = read_table(spark, d, "documents").select("doc_id", "text", after.alias("after"))
-    docs = docs.withColumn("patch", P.unified_diff("text", "after", F.lit("text.txt")))
-    return docs.select("doc_id", F.md5(P.apply_unified_diff("text", "patch")).alias("digest"), P.patch_info(F.col("patch"))["path"].alias("path"), P.hunk_order_ok(F.col("patch")).alias("ordered"))
+    made = P.diff_applied("text", after, F.lit("text.txt"))
+    docs = read_table(spark, d, "documents").select("doc_id", made.alias("made")).select("doc_id", "made.*")
+    return docs.select("doc_id", F.md5("applied").alias("digest"), P.patch_info(F.col("patch"))["path"].alias("path"), P.hunk_order_ok(F.col("patch")).alias("ordered"))
 
 
 def reverse_patch_apply(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "conversations").select("conv_id", "turn", "text", F.concat("text", F.lit("\nlast")).alias("after"))
-    back = T.reverse_patch(P.unified_diff("text", "after", F.lit("text.txt")))
-    return docs.select("conv_id", "turn", F.md5(P.apply_unified_diff("after", back)).alias("digest"))
+    back = P.diff_undone("text", F.concat("text", F.lit("\nlast")), F.lit("text.txt"))
+    return read_table(spark, d, "conversations").select("conv_id", "turn", F.md5(back["applied"]).alias("digest"))
 
 
 def locate_blocks(spark: SparkSession, d: str) -> DataFrame:

@@ -97,7 +97,7 @@ def test_first_rows_by_hash_sort_few_rows(spark):
     assert spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sorted_rows.children().head()).count() < 400
 
 
-@pytest.mark.parametrize("query", ["chunks_halved"])
+@pytest.mark.parametrize("query", ["chunks_halved", "diff_round_trip", "reverse_patch_apply"])
 def test_a_row_passes_one_python_worker(spark, query):
     """Each Python step of a task holds a worker of its own, with its modules, vocabulary and batches."""
     plan = catalogue.queries()[query](spark, DATA)._jdf.queryExecution().executedPlan().toString()
