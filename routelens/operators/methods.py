@@ -15,6 +15,9 @@ from routelens.operators.shared import written
 
 #: Lengths of the pieces by which signatures are found in each other: each signature uses the longest that fits it.
 PIECES = (16, 8, 4, 2, 1)
+#: Ids that a group's array holds about at most, and ids of a run in which edits meet functions. Parquet packs 504 values behind one
+#: header, so runs of that length repeat byte for byte.
+GROUP, RUN = 16_384, 504
 
 
 def method_table(files: DataFrame) -> DataFrame:
@@ -85,6 +88,15 @@ def _pieces(c: str, size: Column) -> Column:
     return F.expr(f"array_distinct(transform(sequence(1, greatest(1, length({c}) - {size} + 1)), i -> substring({c}, i, {size})))")
 
 
+def _grouped(ids: DataFrame, held: list[str], name: str) -> DataFrame:
+    """Per group of about GROUP ids at most that have the same ``held``: these, deal (the group's number), ids (sorted, a null one last)."""
+    counted = ids.groupBy(held).agg(F.count("*").alias("n"))
+    dealt = ids.join(counted, held).withColumn("deal", F.expr(f"pmod(xxhash64({name}), ceil(n / {GROUP}))"))
+    none = F.array(F.lit(None).cast(ids.schema[name].dataType))
+    found = F.array_sort(F.collect_list(name))
+    return dealt.groupBy(*held, "deal").agg(F.when(F.bool_or(F.col(name).isNull()), F.concat(found, none)).otherwise(found).alias("ids"))
+
+
 def match_edits(functions: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(case_id, function_id, edit_id of each edit that belongs to a function; case_id, unassigned: cases with edits left over).
 
@@ -94,8 +106,9 @@ def match_edits(functions: DataFrame, edits: DataFrame) -> tuple[DataFrame, Data
 
     No function is compared with all edits: of a signature's pieces the rarest among the case's edits (counted exactly) is
     looked up in an index of the edits' pieces, and only what it finds is compared. A piece that no edit has rules a function out.
-    Equal signatures and equal edits of a case are compared once; the pairs of their ids come from the last joins, which are
-    not exchanged again.
+    Equal signatures and equal edits of a case are compared once; the pairs of their ids come from the last join, which is
+    not exchanged again. There are as many as the product of the copies, so they must be small where they are stored: edits are
+    cut in runs of RUN ids, and each function in turn meets a whole run, always in the same order. The runs deal out the work.
     """
     f = functions.where("signature is not null and case_id is not null").select("case_id", "function_id", _bare(F.col("signature")).alias("f"))
     head = F.regexp_extract("text", r"\A###([^\n]+)", 1)
@@ -116,7 +129,14 @@ def match_edits(functions: DataFrame, edits: DataFrame) -> tuple[DataFrame, Data
     met = held.where("c > 0").join(index.select("case_id", "piece", "e"), ["case_id", "piece"]).where(F.contains("e", "f")).select("case_id", "f", "e")
     whole = f_one.where("size is null").select("case_id", "f").join(e_one, "case_id")
     classes = met.unionByName(whole).join(of_f, ["case_id", "f"]).join(of_e, ["case_id", "e"]).select("case_id", "fs", "es").distinct()
-    pairs = classes.join(f_ids, ["case_id", "fs"]).join(e_ids, ["case_id", "es"]).select("case_id", "function_id", "edit_id")
+    cut = F.expr(f"transform(sequence(0, (size(ids) - 1) div {RUN}), i -> slice(ids, i * {RUN} + 1, {RUN}))")
+    runs = _grouped(e_ids, ["case_id", "es"], "edit_id").select("case_id", "es", "deal", F.posexplode(cut).alias("run", "edits"))
+    groups = _grouped(f_ids, ["case_id", "fs"], "function_id").select("case_id", "fs", F.col("ids").alias("functions"))
+    key, n = ["case_id", "es", "deal", "run"], int(functions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as many tasks as partitions are set: what they read is small, what they give isn't
+    asking = groups.join(classes, ["case_id", "fs"]).join(runs.select(key), ["case_id", "es"]).select(*key, "functions").repartition(n, *key)
+    answers = runs.repartition(n, *key).select(*key, F.explode("edits").alias("edit_id")).hint("shuffle_hash")
+    pairs = asking.select(*key, F.explode("functions").alias("function_id")).join(answers, key).select("case_id", "function_id", "edit_id")
     taken = classes.select("case_id", "es").distinct().join(e_ids, ["case_id", "es"]).select("case_id", "edit_id")
     left = e.select("case_id", "edit_id").join(taken, ["case_id", "edit_id"], "left_anti")
     return pairs, left.groupBy("case_id").agg(F.count("*").alias("unassigned"))

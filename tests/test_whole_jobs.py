@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +116,25 @@ def test_halving_counts_its_pieces(spark):
     assert len(pieces) > 100 and all(r["n"] == r["again"] <= 20 for r in pieces)
     assert [r["c"]["pieces"] and "".join(r["c"]["pieces"]) for r in rows.collect()] == texts
     assert [r["c"]["tokens"] for r in rows.collect()][3] is None
+
+
+def test_pairs_of_copies_are_small_where_they_are_written(spark, tmp_path):
+    """The pairs of one large class are dealt over tasks and take far less than a byte each; before, 0.7."""
+    functions = spark.range(100).selectExpr("string(id div 10000) as case_id", "id * 7919 as function_id", "'f(int)' as signature")
+    edits = spark.range(8000).selectExpr("string(id div 10000) as case_id", "id * 7919 as edit_id", "'### f(int)' as text")
+    methods.match_edits(functions, edits)[0].write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    assert got.distinct().count() == got.count() == 800_000
+    files = list((tmp_path / "pairs").glob("*.parquet"))
+    assert sum(f.stat().st_size for f in files) < 0.35 * 800_000 and len(files) > 1
+
+
+def test_groups_and_runs_lose_no_pair(spark, monkeypatch):
+    """Classes of several groups and runs, the last of them short, and null ids."""
+    monkeypatch.setattr(methods, "GROUP", 20)
+    monkeypatch.setattr(methods, "RUN", 3)
+    ids = [None, *range(70)]
+    functions = spark.createDataFrame([("c", i, "f(int)") for i in ids] + [("d", 1, "g()")], "case_id string, function_id int, signature string")
+    edits = spark.createDataFrame([("c", i, "### f(int)") for i in ids] + [("d", None, "### g()")], "case_id string, edit_id int, text string")
+    pairs, left = methods.match_edits(functions, edits)
+    assert Counter(map(tuple, pairs.collect())) == Counter([("c", f, e) for f in ids for e in ids] + [("d", 1, None)])
